@@ -71,9 +71,14 @@ def strip_html(text: Column) -> Column:
     return F.when(text != "", F.trim(spaced))
 
 
+def trim_space(text: Column) -> Column:
+    """Trim every kind of leading and trailing white space."""
+    return F.btrim(text, F.lit(" \t\n\r\f\v\u00a0\u2028\u2029\ufeff"))
+
+
 def clean(text: Column) -> Column:
     """Trimmed text, null when nothing is left."""
-    return F.nullif(F.trim(text), F.lit(""))
+    return F.nullif(trim_space(text), F.lit(""))
 
 
 def first_clean(*texts: Column) -> Column:

@@ -451,21 +451,30 @@ def category_counts(products: DataFrame) -> DataFrame:
         F.min("category").alias("name"), F.sum("n").alias("product_count"))
 
 
-def category_tree(categories: DataFrame, counts: DataFrame) -> DataFrame:
-    """Every category with its depth, slug path from the root and own product count."""
-    tree = categories.sparkSession.sql(
-        """
-        WITH RECURSIVE tree AS (
-          SELECT id, name, slug, parent_id, 0 AS depth, slug AS path FROM {categories} WHERE parent_id IS NULL
-          UNION ALL
-          SELECT c.id, c.name, c.slug, c.parent_id, t.depth + 1, concat(t.path, '/', c.slug)
-          FROM {categories} c JOIN tree t ON c.parent_id = t.id
-        )
-        SELECT * FROM tree
-        """, categories=categories)
+def category_tree(categories: DataFrame, counts: DataFrame, max_depth: int = 6) -> DataFrame:
+    """Every category reachable from a root, with depth, slug path and own product count.
+
+    The ancestors are joined one level at a time, so the plan is linear and has
+    one row per category; a chain longer than ``max_depth`` is an error.
+    """
+    tree = categories.select("id", "name", "slug", "parent_id").withColumns({
+        "path": F.col("slug"), "depth": F.lit(0), "above": F.col("parent_id"), "orphan": F.lit(False)})
+    for level in range(max_depth):
+        up = categories.select(
+            F.col("id").alias("up_id"), F.col("slug").alias("up_slug"), F.col("parent_id").alias("up_parent"))
+        joined = tree.join(up, F.col("above") == F.col("up_id"), "left")
+        found = F.col("up_id").isNotNull()
+        tree = joined.select(
+            "id", "name", "slug", "parent_id",
+            F.concat(F.coalesce(F.concat("up_slug", F.lit("/")), F.lit("")), "path").alias("path"),
+            (F.col("depth") + found.cast("int")).alias("depth"),
+            F.col("up_parent").alias("above"),
+            (F.col("orphan") | (F.col("above").isNotNull() & ~found)).alias("orphan"))
     own = counts.select("slug", "product_count")
-    return tree.join(own, "slug", "left").select(
-        "id", "name", "slug", "parent_id", "depth", "path",
+    too_deep = F.raise_error(F.lit(f"category tree deeper than {max_depth} levels or cyclic"))
+    return tree.filter(~F.col("orphan")).join(own, "slug", "left").select(
+        "id", "name", "slug", "parent_id", "depth",
+        F.when(F.col("above").isNull(), F.col("path")).otherwise(too_deep.cast("string")).alias("path"),
         F.coalesce("product_count", F.lit(0)).alias("product_count"))
 
 

@@ -6,7 +6,7 @@ from importlib import import_module
 
 from .registry import QUERIES, Query
 
-AREAS = ("catalog",)
+AREAS = ("catalog", "baskets", "ingest")
 
 
 def load() -> dict[str, Query]:

@@ -58,9 +58,11 @@ RUN_LEDGER = _table(
     ("started_at", TS, None), ("finished_at", TS, None),
 )
 
-# Landed catalog payload of one product; several spellings are looked up.
+# Landed catalog payload of one product. Spellings that differ only in case are
+# read through RAW_ALTERNATE, since one struct cannot hold both.
 _IMAGE = T.StructType([T.StructField(n, S) for n in ("imageUrl", "imageLabel", "imageText")])
-_REFERENCE = T.StructType([T.StructField(n, S) for n in ("Value", "value")])
+_REFERENCE = T.StructType([T.StructField("Value", S)])
+_REFERENCE_LOWER = T.StructType([T.StructField("value", S)])
 _OFFER = T.StructType([
     T.StructField("Price", S), T.StructField("ListPrice", S), T.StructField("PriceWithoutDiscount", S),
     T.StructField("AvailableQuantity", S), T.StructField("IsAvailable", S),
@@ -70,14 +72,14 @@ _SELLER = T.StructType([
     T.StructField("commertialOffer", _OFFER), T.StructField("commercialOffer", _OFFER),
 ])
 _ITEM = T.StructType([
-    T.StructField("itemId", S), T.StructField("id", S), T.StructField("ean", S), T.StructField("EAN", S),
+    T.StructField("itemId", S), T.StructField("id", S), T.StructField("ean", S),
     T.StructField("referenceId", T.ArrayType(_REFERENCE)), T.StructField("images", T.ArrayType(_IMAGE)),
     T.StructField("sellers", T.ArrayType(_SELLER)), T.StructField("measurementUnit", S),
 ])
 RAW_PRODUCT = T.StructType([
     *[T.StructField(n, S) for n in (
         "productId", "productName", "name", "brand", "brandName", "description", "metaTagDescription", "linkText",
-        "link", "ean", "EAN", "category", "price", "listPrice", "unitMultiplier", "measurementUnit", "available")],
+        "link", "ean", "category", "price", "listPrice", "unitMultiplier", "measurementUnit", "available")],
     T.StructField("categories", T.ArrayType(S)),
     T.StructField("categoryTree", T.ArrayType(T.StructType([T.StructField("name", S)]))),
     T.StructField("referenceId", T.ArrayType(_REFERENCE)),
@@ -86,6 +88,12 @@ RAW_PRODUCT = T.StructType([
     T.StructField("sellers", T.ArrayType(_SELLER)),
 ])
 
+RAW_ALTERNATE = T.StructType([
+    T.StructField("EAN", S), T.StructField("referenceId", T.ArrayType(_REFERENCE_LOWER)),
+    T.StructField("items", T.ArrayType(T.StructType([
+        T.StructField("EAN", S), T.StructField("referenceId", T.ArrayType(_REFERENCE_LOWER))]))),
+])
+
 TABLES = {
     "supermarkets": SUPERMARKETS, "products": PRODUCTS, "supermarket_products": SUPERMARKET_PRODUCTS,
     "price_history": PRICE_HISTORY, "promotions": PROMOTIONS, "promotion_products": PROMOTION_PRODUCTS,
