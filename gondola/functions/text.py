@@ -107,7 +107,7 @@ def category_from_text(text: Column) -> Column:
 
 def category_leaf(path: Column) -> Column:
     """Last non-empty segment of a slash path; plain values pass through."""
-    parts = F.filter(F.transform(F.split(path, "/"), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(path, "/"), trim_space), lambda p: p != "")
     leaf = F.when(F.size(parts) > 0, F.element_at(parts, -1))
     return F.when(path == "", F.lit(None)).when(F.contains(path, F.lit("/")), leaf).otherwise(path)
 
@@ -144,4 +144,4 @@ def has_broken_text(text: Column, pattern: str = BROKEN_TEXT_PATTERN) -> Column:
 
 def split_ean_list(text: Column) -> Column:
     """EANs separated by newline, comma, semicolon or space; trimmed, distinct."""
-    return F.array_distinct(F.filter(F.transform(F.split(text, r"[,;\s]+"), F.trim), lambda e: e != ""))
+    return F.array_distinct(F.filter(F.transform(F.split(text, r"[,;\s]+"), trim_space), lambda e: e != ""))

@@ -21,12 +21,12 @@ def url_host(url: Column) -> Column:
 
 
 def normalized_product_url(url: Column) -> Column:
-    """Host and path in lower case without trailing slashes; otherwise the text up to ? or #."""
-    trimmed = F.trim(url)
-    authority = F.regexp_replace(_part(trimmed, "AUTHORITY"), "^.*@", "")
+    """Host name and path in lower case without trailing slashes; otherwise the text up to ? or #."""
+    trimmed = F.lower(F.trim(url))
     path = F.regexp_replace(F.coalesce(_part(trimmed, "PATH"), F.lit("")), "/+$", "")
-    parsed = F.when(_has_scheme(trimmed), F.lower(F.concat(authority, path)))
-    plain = F.lower(F.regexp_replace(F.regexp_replace(trimmed, "[?#].*$", ""), "/+$", ""))
+    parsed = F.when(_has_scheme(trimmed), F.concat(
+        _part(trimmed, "HOST"), F.when(path == "", "/").otherwise(path)))
+    plain = F.regexp_replace(F.regexp_replace(trimmed, "[?#].*$", ""), "/+$", "")
     return F.when(trimmed != "", F.coalesce(parsed, plain))
 
 

@@ -6,7 +6,7 @@ from importlib import import_module
 
 from .registry import QUERIES, Query
 
-AREAS = ("catalog", "baskets", "ingest")
+AREAS = ("catalog", "baskets", "ingest", "monitor")
 
 
 def load() -> dict[str, Query]:

@@ -36,18 +36,25 @@ def find_product_records(payloads: DataFrame, max_depth: int = 10) -> DataFrame:
     The payload is parsed once and walked level by level inside the row; a payload
     nested deeper than ``max_depth`` containers raises an error instead of losing records.
     """
-    level = payloads.withColumn("_level", F.filter(
-        F.array(F.try_parse_json("raw")), lambda v: v.isNotNull())).withColumn("_hits", F.expr(_NO_NODES))
-    for _ in range(max_depth):
-        level = level.withColumn("_hits", F.concat("_hits", F.filter("_level", _is_product))).withColumn(
-            "_level", F.flatten(F.transform("_level", _children)))
-    too_deep = F.raise_error(F.lit(f"payload nested deeper than {max_depth} levels")).cast("array<variant>")
-    hits = F.when(F.size("_level") > 0, too_deep).otherwise(F.col("_hits"))
-    return level.withColumn("_hits", hits).select(
-        *payloads.drop("raw").columns, F.posexplode("_hits").alias("pos", "_v")).withColumn(
+    root = F.filter(F.array(F.try_parse_json("raw")), lambda v: v.isNotNull())
+    hits = _walk(root, _is_product, _children, max_depth, "payload")
+    return payloads.select(*payloads.drop("raw").columns, F.posexplode(hits).alias("pos", "_v")).withColumn(
         "record", F.to_json("_v")).drop("_v")
 
 
+def _walk(roots: Column, keep, children, max_depth: int, what: str) -> Column:
+    """Kept nodes of all levels in breadth-first order, as one fold so no level is evaluated twice."""
+    none = F.expr(_NO_NODES)
+    return F.aggregate(
+        F.sequence(F.lit(1), F.lit(max_depth)),
+        F.struct(none.alias("hits"), F.coalesce(roots, none).alias("level")),
+        lambda acc, _: F.struct(
+            F.concat(acc["hits"], F.filter(acc["level"], keep)).alias("hits"),
+            F.flatten(F.transform(acc["level"], children)).alias("level")),
+        lambda acc: F.when(F.size(acc["level"]) == 0, acc["hits"]).otherwise(
+            F.raise_error(F.lit(f"{what} nested deeper than {max_depth} levels")).cast("array<variant>")))
+
+
 def _truthy(text: Column) -> Column:
     return text.isNotNull() & ~F.lower(text).isin("", "0", "0.0", "false")
 
@@ -82,7 +89,10 @@ def normalize_payloads(records: DataFrame) -> DataFrame:
     available = F.coalesce(F.col("_offer.AvailableQuantity"), F.col("_offer.IsAvailable"), p["available"])
     keep = [c for c in records.columns if c not in ("record", "base_url")]
     return (
-        records.withColumn("_p", F.from_json("record", RAW_PRODUCT)).withColumn("_q", F.from_json("record", RAW_ALTERNATE))
+        # the generator keeps the parsed structs from being re-evaluated per use
+        records.select(*keep, "base_url", F.explode(F.array(F.struct(
+            F.from_json("record", RAW_PRODUCT).alias("p"), F.from_json("record", RAW_ALTERNATE).alias("q")))).alias("_d"))
+        .withColumn("_p", F.col("_d.p")).withColumn("_q", F.col("_d.q"))
         .withColumn("_seller", seller).withColumn("_offer", offer)
         .withColumn("ean", F.get(F.filter(eans, lambda e: e.rlike(r"^\d{8,14}$")), F.lit(0)))
         .withColumn("name", strip_html(first_clean(p["productName"], p["name"])))
@@ -156,15 +166,9 @@ def flatten_category_trees(payloads: DataFrame, max_depth: int = 8) -> DataFrame
         return F.coalesce(*kids, F.expr(_NO_NODES))
 
     keys = payloads.drop("raw").columns
-    level = payloads.withColumn(
-        "_level", F.coalesce(F.try_parse_json("raw").try_cast("array<variant>"), F.expr(_NO_NODES))
-    ).withColumn("_nodes", F.expr(_NO_NODES))
-    for _ in range(max_depth):
-        level = level.withColumn("_nodes", F.concat("_nodes", "_level")).withColumn(
-            "_level", F.flatten(F.transform("_level", children)))
-    too_deep = F.raise_error(F.lit(f"category payload deeper than {max_depth} levels")).cast("array<variant>")
-    nodes = level.select(*keys, F.explode(
-        F.when(F.size("_level") > 0, too_deep).otherwise(F.col("_nodes"))).alias("n"))
+    roots = F.try_parse_json("raw").try_cast("array<variant>")
+    found = _walk(roots, lambda _: F.lit(True), children, max_depth, "category payload")
+    nodes = payloads.select(*keys, F.explode(found).alias("n"))
     n = F.col("n")
     url_path = F.regexp_replace(F.regexp_replace("url", r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*", ""), r"[?#].*$", "")
     return (
