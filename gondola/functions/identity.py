@@ -55,3 +55,8 @@ def record_hash(names: list[str], arrays: tuple[str, ...] = ()) -> Column:
 
 def four_decimals(value: Column) -> Column:
     return value.cast("decimal(18,4)").cast("string")
+
+
+def first_clean_identity_text() -> Column:
+    """Any usable identity text of a candidate row; null when there is none."""
+    return F.coalesce(*[clean(F.col(c)) for c in ("sku_id", "product_url", "ean", "identity", "name")])

@@ -43,3 +43,20 @@ def carried(chunks: DataFrame, keys: list[str], totals: dict) -> DataFrame:
 def before(keys: list[str]) -> "Window":
     """All earlier chunks of the key."""
     return Window.partitionBy(*keys).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+
+
+def previous_in_order(rows: DataFrame, key: str, order: list[str], column: str, out: str) -> DataFrame:
+    """``column`` of the preceding row of the same key, without one task per key.
+
+    A lag inside contiguous chunks; the first row of a chunk takes the key's last
+    value from its nearest earlier chunk.
+    """
+    chunks = ordered_chunks(rows, [key, *order])
+    inside = Window.partitionBy(key, "chunk").orderBy(*order)
+    local = chunks.withColumn("_n", F.row_number().over(inside)).withColumn("_lag", F.lag(F.struct(column)).over(inside))
+    ends = carried(chunks, [key], {"_end": F.max_by(F.struct(column), F.struct(*order))})
+    step = Window.partitionBy(key).orderBy("chunk")
+    carry = ends.select(key, "chunk", F.lag("_end").over(step).alias("_carry"))
+    before_row = F.when(F.col("_n") == 1, F.col("_carry")).otherwise(F.col("_lag"))
+    return local.join(carry, [key, "chunk"]).withColumn("_before", before_row).withColumns({
+        out: F.col(f"_before.{column}"), "is_first": F.col("_before").isNull()}).drop("chunk", "_n", "_lag", "_carry", "_before")
