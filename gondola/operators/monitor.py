@@ -205,14 +205,15 @@ def ingest_alerts(snapshot: DataFrame, source_rows: DataFrame, max_rejected_shar
         snapshot.filter("below_alert").select(F.lit("freshness_sla_violation").alias("alert"), "slug"))
 
 
-def failure_streaks(log: DataFrame, source: str = "source_slug", time: str = "checked_at", ok: str = "is_healthy") -> DataFrame:
+def failure_streaks(log: DataFrame, initial: DataFrame | None = None, source: str = "source_slug",
+                    time: str = "checked_at", ok: str = "is_healthy") -> DataFrame:
     """Length of the run of consecutive failures at every row; 0 on success.
 
     A running count over contiguous chunks plus the count carried in from earlier
     chunks of the same source, so no task ever holds one source's whole log.
+    ``initial`` gives the failures (source, initial) counted before this log.
     """
-    order = [source, time, "id"]
-    chunks = ordered_chunks(log.select("id", source, time, ok), order)
+    chunks = ordered_chunks(log.select("id", source, time, ok), [source, time, "id"])
     inside = Window.partitionBy(source, "chunk").orderBy(time, "id")
     group = chunks.withColumn("_good", F.sum(F.col(ok).cast("int")).over(inside))
     in_group = Window.partitionBy(source, "chunk", "_good").orderBy(time, "id")
@@ -221,15 +222,17 @@ def failure_streaks(log: DataFrame, source: str = "source_slug", time: str = "ch
     tail = carried(local, [source], {
         "_any": F.max(F.col(ok)), "_tail": F.max_by("_streak", F.struct(time, "id"))})
     earlier = before([source])
-    last_reset = F.max(F.when(F.col("_any"), F.col("chunk"))).over(earlier)
-    carry = tail.withColumn("_reset", F.coalesce(last_reset, F.lit(-1)))
+    reset = F.coalesce(F.max(F.when(F.col("_any"), F.col("chunk"))).over(earlier), F.lit(-1))
     chunk_tails = F.collect_list(F.struct("chunk", "_tail")).over(earlier)  # one small entry per chunk
+    carry = tail.withColumns({"_reset": reset, "_tails": chunk_tails})
+    start = F.lit(0).cast("bigint")
+    if initial is not None:
+        carry = carry.join(initial.select(source, "initial"), source, "left")
+        start = F.when(F.col("_reset") == -1, F.coalesce("initial", F.lit(0))).otherwise(0).cast("bigint")
     carry = carry.select(source, "chunk", F.aggregate(
-        F.filter(chunk_tails, lambda c: c["chunk"] >= F.col("_reset")), F.lit(0).cast("bigint"),
-        lambda total, c: total + c["_tail"]).alias("_carry"))
-    add = F.when(F.col("_good") == 0, F.col("_carry")).otherwise(F.lit(0))
-    return local.join(carry, [source, "chunk"]).select(
-        "id", source, time, ok, (F.col("_streak") + add).alias("failures"))
+        F.filter("_tails", lambda c: c["chunk"] >= F.col("_reset")), start, lambda total, c: total + c["_tail"]).alias("_carry"))
+    add = F.when((F.col("_good") == 0) & ~F.col(ok), F.col("_carry")).otherwise(F.lit(0))
+    return local.join(carry, [source, "chunk"]).select("id", source, time, ok, (F.col("_streak") + add).alias("failures"))
 
 
 def stuck_work(runs: DataFrame, staging: DataFrame, now, run_minutes: int = 60, pending_minutes: int = 60) -> DataFrame:
