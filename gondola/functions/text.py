@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -97,10 +98,9 @@ def slugify(text: Column) -> Column:
 
 def category_from_text(text: Column) -> Column:
     """Name of the first category owning a keyword that occurs in the text."""
-    lowered = F.lower(text)
-    rule = None
+    lowered, rule = F.lower(text), None
     for name, _, words in CATEGORY_KEYWORDS:
-        hit = lowered.rlike("|".join(re.escape(w) for w in words))
+        hit = reduce(Column.__or__, [F.contains(lowered, F.lit(w)) for w in words])
         rule = F.when(hit, F.lit(name)) if rule is None else rule.when(hit, F.lit(name))
     return rule
 

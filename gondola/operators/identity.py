@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -104,36 +106,30 @@ def duplicate_numbering(candidates: DataFrame, key: Column, order: Column) -> Da
         "is_duplicate", F.coalesce(F.col("_ord") > F.col("_first"), F.lit(False))).drop("_key", "_ord", "_first")
 
 
-def _exploded(rows: DataFrame, id_col: str, keys: dict[str, Column]) -> DataFrame:
-    pairs = F.filter(F.array(*[
-        F.when(v.isNotNull(), F.struct(F.lit(i).alias("rank"), F.lit(k).alias("kind"), v.alias("value")))
-        for i, (k, v) in enumerate(keys.items())]), lambda p: p.isNotNull())
-    return rows.select(F.col("source"), F.col(id_col), F.explode(pairs).alias("k")).select("source", id_col, "k.*")
-
-
 def catalog_comparison(candidates: DataFrame, catalog: DataFrame) -> DataFrame:
     """known, conflict, likely_missing or insufficient per candidate.
 
-    Both sides have id, source, sku_id, product_url, ean. The catalog is reduced
-    to one entry per (source, kind, value) first: how many rows carry the value
-    and which; so a value shared by many rows adds one row to the join. Values are
-    compared for exact equality within a source.
+    Both sides have id, source, sku_id, product_url, ean. Per kind of key the
+    catalog is reduced to one row per (source, value) with its lowest and highest
+    row id, so a value shared by many rows adds a single row to the join and
+    several matched rows still show as a conflict. Values are compared for exact
+    equality within a source.
     """
     keys = identity_keys(F.col("sku_id"), F.col("product_url"), F.col("ean"))
-    index = _exploded(catalog.withColumnRenamed("id", "catalog_id"), "catalog_id", keys).groupBy("source", "kind", "value").agg(
-        F.min("catalog_id").alias("low"), F.max("catalog_id").alias("high"))
-    wanted = _exploded(candidates, "id", keys)
-    matched = wanted.join(index, ["source", "kind", "value"], "left").groupBy("id").agg(
-        F.min("low").alias("low"), F.max("high").alias("high"),
-        F.min(F.when(F.col("low").isNotNull(), F.struct("rank", "kind"))).alias("first"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("low").isNotNull(), F.struct("rank", "kind")))),
-                                 lambda k: k["kind"]), ",").alias("kinds"))
-    usable = keys["sku"].isNotNull() | keys["url"].isNotNull() | keys["ean"].isNotNull()
-    status = (F.when(~F.col("_usable"), "insufficient").when(F.col("low").isNull(), "likely_missing")
-              .when(F.col("low") != F.col("high"), "conflict").otherwise("known"))
-    return candidates.withColumn("_usable", usable).join(matched, "id", "left").withColumn("status", status).select(
-        "id", "source", "status", F.when(status == "known", F.col("first.kind")).alias("matched_by"),
-        F.when(status == "conflict", F.col("kinds")).alias("conflict_kinds"))
+    joined = candidates.select("id", "source", *[v.alias(f"{k}_key") for k, v in keys.items()])
+    for kind, value in keys.items():
+        index = catalog.select("source", F.col("id").alias("row"), value.alias(f"{kind}_key")).filter(
+            F.col(f"{kind}_key").isNotNull()).groupBy("source", f"{kind}_key").agg(
+            F.min("row").alias(f"{kind}_low"), F.max("row").alias(f"{kind}_high"))
+        joined = joined.join(index, ["source", f"{kind}_key"], "left")
+    low = F.least(*[F.col(f"{k}_low") for k in KINDS])  # least and greatest skip nulls
+    high = F.greatest(*[F.col(f"{k}_high") for k in KINDS])
+    usable = reduce(Column.__or__, [F.col(f"{k}_key").isNotNull() for k in KINDS])
+    status = (F.when(~usable, "insufficient").when(low.isNull(), "likely_missing").when(low != high, "conflict").otherwise("known"))
+    hits = F.filter(F.array(*[F.when(F.col(f"{k}_low").isNotNull(), F.lit(k)) for k in KINDS]), lambda k: k.isNotNull())
+    return joined.withColumn("status", status).select(
+        "id", "source", "status", F.when(F.col("status") == "known", F.get(hits, F.lit(0))).alias("matched_by"),
+        F.when(F.col("status") == "conflict", F.array_join(hits, ",")).alias("conflict_kinds"))
 
 
 def comparison_counts(compared: DataFrame) -> DataFrame:

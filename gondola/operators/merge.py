@@ -72,7 +72,7 @@ def history_to_append(winners: DataFrame, last: DataFrame, supermarkets: DataFra
     """History rows of winners whose two-decimal price or list price differs from the newest stored row."""
     ids = current.select("id", *KEY)
     priced = (
-        _store_ids(winners, supermarkets).drop("id").join(ids, KEY, "left")
+        _store_ids(winners.drop("id"), supermarkets).join(ids, KEY, "left")
         .join(last, F.col("id") == F.col("supermarket_product_id"), "left"))
 
     def same(new: str, old: str) -> Column:

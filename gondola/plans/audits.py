@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions.text import BROKEN_TEXT_PATTERN
 from ..operators import audits as op
-from ..operators import catalog, discovery, ingest
+from ..operators import discovery
 from ..operators import refresh as rf
 from ..operators import freshness as fo
 from ..sources.derive import NOW, Tables, ean_of, slug_of
-from .ingest import EVALUATED_SQL, _UPSERT_SQL, BATCH_TABLES, evaluated, new_history, pending, upserted
+from .ingest import EVALUATED_SQL, _UPSERT_SQL, BATCH_TABLES, evaluated, upserted, winners
 from .refresh import _CAPACITY_SQL, WRITERS, capacity_of, hosts_of, live_of, rows_of
 from .registry import DERIVED, query
 
@@ -142,12 +142,12 @@ j AS (SELECT w.ean AS product_ean, w.supermarket_id, list_filter([CASE WHEN a.pr
 SELECT product_ean, supermarket_id, array_to_string(reasons, ',') AS reasons, CASE WHEN len(reasons) > 0 THEN 'FAIL' WHEN lc THEN 'WARN' ELSE 'PASS' END AS status FROM j""")
 def post_run_audit(t):
     end = F.substring("product_ean", -2, 2)
-    winners = ingest.last_per_store(pending(t)).join(
+    rows = winners(t).join(
         t.supermarkets.select(F.col("slug").alias("source_slug"), F.col("id").alias("supermarket_id")), "source_slug").withColumnRenamed("ean", "product_ean")
     actual = upserted(t).filter(F.substring("product_ean", -3, 3) != "005").withColumns({
         "price": F.when(end == "07", F.col("price") + 1).otherwise(F.col("price")).cast("decimal(10,2)"),
         "is_available": F.when(end == "09", ~F.col("is_available")).otherwise(F.col("is_available"))})
-    rows = op.post_run_audit(winners, actual, t.state_supermarket_products, warn=4.0, stop=8.0)
+    rows = op.post_run_audit(rows, actual, t.state_supermarket_products, warn=4.0, stop=8.0)
     return rows.withColumn("reasons", F.array_join("reasons", ","))
 
 

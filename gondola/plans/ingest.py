@@ -270,17 +270,26 @@ def pending(t: Tables) -> DataFrame:
     return batch(t).filter(F.col("status") == "PENDING")
 
 
+def canonical(t: Tables) -> DataFrame:
+    columns = ["id", "ean", "source_slug", "quality_score", "name", "brand", "description", "image_url", "images", "category", "price"]
+    return ingest.canonical_candidates(pending(t).select(*columns))
+
+
+def winners(t: Tables) -> DataFrame:
+    return ingest.last_per_store(pending(t).select("id", "ean", "source_slug", *merge.PRICE_COLUMNS))
+
+
 @query("f05_canonical_candidates", "F5", BATCH_TABLES,
        f"WITH {BATCH_SQL} SELECT ean, id, source_slug, quality_score, price::double AS price FROM canonical")
 def canonical_candidates(t):
-    rows = ingest.canonical_candidates(pending(t))
+    rows = canonical(t)
     return rows.select("ean", "id", "source_slug", "quality_score", F.col("price").cast("double").alias("price"))
 
 
 @query("f06_last_per_store", "F6", BATCH_TABLES,
        f"WITH {BATCH_SQL} SELECT ean, source_slug, id, price::double AS price FROM winners")
 def last_per_store(t):
-    return ingest.last_per_store(pending(t)).select("ean", "source_slug", "id", F.col("price").cast("double").alias("price"))
+    return winners(t).select("ean", "source_slug", "id", F.col("price").cast("double").alias("price"))
 
 
 @query("c06_preflight_violations", "C6", BATCH_TABLES, f"""WITH {BATCH_SQL}
@@ -294,7 +303,7 @@ def preflight_violations(t):
 @query("j01_new_products", "J1", BATCH_TABLES, f"""WITH {BATCH_SQL}
 SELECT ean, name, brand, description, image_url, array_to_string(images, '|') AS images, category FROM canonical WHERE ean NOT IN (SELECT ean FROM state_products)""")
 def new_products(t):
-    rows = merge.new_products(ingest.canonical_candidates(pending(t)), t.state_products)
+    rows = merge.new_products(canonical(t), t.state_products)
     return rows.withColumn("images", F.array_join("images", "|"))
 
 
@@ -305,17 +314,17 @@ SELECT p.ean, p.name, coalesce(nullif(trim(p.brand),''), c.brand) AS brand, coal
     OR (p.category IS NULL AND c.category IS NOT NULL) OR (p.image_url IS NULL AND c.image_url IS NOT NULL), false) AS changed
 FROM state_products p LEFT JOIN canonical c USING (ean)""")
 def protective_merge(t):
-    rows = merge.protective_merge(t.state_products, ingest.canonical_candidates(pending(t)))
+    rows = merge.protective_merge(t.state_products, canonical(t))
     return rows.select("ean", "name", "brand", "description", "category", "image_url", "changed")
 
 
 def upserted(t: Tables) -> DataFrame:
-    return merge.upsert_current(t.state_supermarket_products, ingest.last_per_store(pending(t)), t.supermarkets, NOW)
+    return merge.upsert_current(t.state_supermarket_products, winners(t), t.supermarkets, NOW)
 
 
 def new_history(t: Tables) -> DataFrame:
     return merge.history_to_append(
-        ingest.last_per_store(pending(t)), catalog.latest_history(t.state_history), t.supermarkets, t.state_supermarket_products)
+        winners(t).select("ean", "source_slug", "price", "list_price"), catalog.latest_history(t.state_history), t.supermarkets, t.state_supermarket_products)
 
 
 _UPSERT_SQL = f"""{BATCH_SQL},

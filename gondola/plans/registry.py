@@ -45,7 +45,7 @@ def _current(where: str) -> str:
         FROM lineitem WHERE {where}) l JOIN part ON p_partkey = k WHERE rn = 1"""
 
 
-_LINE_ID = "l_orderkey || '-' || l_linenumber || '-' || l_suppkey || '-' || l_partkey || '-' || strftime(l_shipdate, '%Y%m%d')"
+_LINE_ID = "l_orderkey || '-' || l_linenumber || '-' || l_suppkey || '-' || l_partkey || '-' || (epoch_us(l_shipdate) // 86400000000)"
 
 
 def _candidates(source: str, price: str, created: str) -> str:

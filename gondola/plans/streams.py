@@ -38,7 +38,7 @@ def price_change_stream(t):
     k, m = F.col("l_partkey"), F.col("l_suppkey") % N_MARKETS
     prices = t.raw("part").select(F.col("p_partkey").alias("l_partkey"), "p_retailprice")
     rows = stream_of(t, "lineitem").join(prices, "l_partkey").select(
-        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", F.date_format("l_shipdate", "yyyyMMdd")).alias("id"),
+        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", F.unix_date(F.to_date("l_shipdate"))).alias("id"),
         (k * N_MARKETS + m).alias("key"), F.col("l_shipdate").cast("timestamp").alias("scraped_at"),
         money(currency(F.col("p_retailprice") * (F.lit(1.0) - F.col("l_discount")))).alias("price"), money(F.col("p_retailprice")).alias("list_price"))
     base = fresh_base(t)

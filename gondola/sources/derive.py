@@ -60,7 +60,7 @@ class Tables:
         )
 
     @cached_property
-    def products(self) -> DataFrame:
+    def _parts(self) -> DataFrame:
         k, ean = F.col("p_partkey"), ean_of(F.col("p_partkey"))
         image = F.when(k % 13 != 0, F.concat(F.lit("https://img.example.com/"), ean, F.lit(".jpg")))
         return self.raw("part").select(
@@ -72,8 +72,13 @@ class Tables:
             image.alias("image_url"),
             F.when(k % 13 != 0, F.array(image)).otherwise(F.array().cast("array<string>")).alias("images"),
             F.when(k % 17 != 0, F.col("p_type")).alias("category"),
+            "p_retailprice",
         )
 
+    @cached_property
+    def products(self) -> DataFrame:
+        return self._parts.drop("p_retailprice")
+
     # -- facts --------------------------------------------------------------
     @cached_property
     def _lines(self) -> DataFrame:
@@ -103,7 +108,7 @@ class Tables:
     @staticmethod
     def _line_id() -> Column:
         return F.concat_ws(
-            "-", "orderkey", "linenumber", "suppkey", "partkey", F.date_format("scraped_at", "yyyyMMdd")
+            "-", "orderkey", "linenumber", "suppkey", "partkey", F.unix_date(F.to_date("scraped_at"))
         )
 
     @cached_property
@@ -184,7 +189,7 @@ class Tables:
             F.col("scraped_at"))
 
     def _candidates(self, lines: DataFrame, price: Column, created_at: Column) -> DataFrame:
-        product = self.products.drop("ean").join(self._prices, "partkey")
+        product = self._parts.drop("ean")
         k, m = F.col("partkey"), F.col("market")
         return lines.join(product, "partkey").select(
             self._line_id().alias("id"),

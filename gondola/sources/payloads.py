@@ -13,21 +13,17 @@ from ..schema import RAW_ALTERNATE, RAW_PRODUCT
 
 
 def _children(node: Column) -> Column:
-    """Nested objects and arrays directly inside a variant."""
-    inner = F.coalesce(
-        F.map_values(node.try_cast("map<string,variant>")),
-        node.try_cast("array<variant>"),
-        F.expr("cast(array() as array<variant>)"))
-    return F.filter(inner, lambda v: v.isNotNull() & F.schema_of_variant(v).rlike("^(OBJECT|ARRAY)"))
+    """Everything directly inside an object or array; nothing for a scalar."""
+    return F.coalesce(
+        F.map_values(node.try_cast("map<string,variant>")), node.try_cast("array<variant>"), F.expr(_NO_NODES))
 
 
 _NO_NODES = "cast(array() as array<variant>)"
 
 
 def _is_product(node: Column) -> Column:
-    fields = node.try_cast("map<string,variant>")
-    return F.coalesce(
-        F.map_contains_key(fields, "productName") | F.map_contains_key(fields, "items"), F.lit(False))
+    return (F.try_variant_get(node, "$.productName", "variant").isNotNull()
+            | F.try_variant_get(node, "$.items", "variant").isNotNull())
 
 
 def find_product_records(payloads: DataFrame, max_depth: int = 10) -> DataFrame:
@@ -91,7 +87,8 @@ def normalize_payloads(records: DataFrame) -> DataFrame:
     return (
         # the generator keeps the parsed structs from being re-evaluated per use
         records.select(*keep, "base_url", F.explode(F.array(F.struct(
-            F.from_json("record", RAW_PRODUCT).alias("p"), F.from_json("record", RAW_ALTERNATE).alias("q")))).alias("_d"))
+            F.from_json("record", RAW_PRODUCT).alias("p"),
+            F.when(F.col("record").rlike('"(EAN|value)"'), F.from_json("record", RAW_ALTERNATE)).alias("q")))).alias("_d"))
         .withColumn("_p", F.col("_d.p")).withColumn("_q", F.col("_d.q"))
         .withColumn("_seller", seller).withColumn("_offer", offer)
         .withColumn("ean", F.get(F.filter(eans, lambda e: e.rlike(r"^\d{8,14}$")), F.lit(0)))
