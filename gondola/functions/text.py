@@ -69,7 +69,7 @@ def strip_accents(text: Column) -> Column:
 def strip_html(text: Column) -> Column:
     """Tags become spaces, whitespace collapses; empty or null input gives null."""
     spaced = F.regexp_replace(F.regexp_replace(text, "<[^>]*>", " "), r"(?U)\s+", " ")
-    return F.when(text != "", F.trim(spaced))
+    return F.when(F.length(text) > 0, F.trim(spaced))
 
 
 def trim_space(text: Column) -> Column:

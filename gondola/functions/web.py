@@ -22,12 +22,12 @@ def url_host(url: Column) -> Column:
 
 def normalized_product_url(url: Column) -> Column:
     """Host name and path in lower case without trailing slashes; otherwise the text up to ? or #."""
-    trimmed = F.lower(F.trim(url))
-    path = F.regexp_replace(F.coalesce(_part(trimmed, "PATH"), F.lit("")), "/+$", "")
-    parsed = F.when(_has_scheme(trimmed), F.concat(
-        _part(trimmed, "HOST"), F.when(path == "", "/").otherwise(path)))
-    plain = F.regexp_replace(F.regexp_replace(trimmed, "[?#].*$", ""), "/+$", "")
-    return F.when(trimmed != "", F.coalesce(parsed, plain))
+    text = F.lower(F.trim(url))
+    host_and_path = F.regexp_replace(
+        text, r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/:?#]*)(?::\d*)?([^?#]*?)/*(?:[?#].*)?$", "$1$2")
+    parsed = F.regexp_replace(host_and_path, "^([^/]+)$", "$1/")
+    plain = F.regexp_replace(text, "/*(?:[?#].*)?$", "")
+    return F.when(text != "", F.when(_has_scheme(text), parsed).otherwise(plain))
 
 
 def absolute_url(path: Column, base: Column) -> Column:

@@ -68,20 +68,25 @@ def upsert_current(current: DataFrame, winners: DataFrame, supermarkets: DataFra
     }).drop("new")
 
 
-def history_to_append(winners: DataFrame, last: DataFrame, supermarkets: DataFrame, current: DataFrame) -> DataFrame:
-    """History rows of winners whose two-decimal price or list price differs from the newest stored row."""
+def planned_rows(winners: DataFrame, last: DataFrame, supermarkets: DataFrame, current: DataFrame) -> DataFrame:
+    """Winners with the stored row they hit (``id``) and whether their price differs from the newest history row."""
     ids = current.select("id", *KEY)
-    priced = (
+    joined = (
         _store_ids(winners.drop("id"), supermarkets).join(ids, KEY, "left")
         .join(last, F.col("id") == F.col("supermarket_product_id"), "left"))
 
     def same(new: str, old: str) -> Column:
         return F.col(new).cast("decimal(18,2)").eqNullSafe(F.col(old).cast("decimal(18,2)"))
 
-    changed = F.col("supermarket_product_id").isNull() | ~same("price", "last_price") | ~same("list_price", "last_list_price")
-    return priced.filter(changed).select(
-        *KEY, F.col("price").cast("decimal(18,2)").alias("price"), F.col("list_price").cast("decimal(10,2)").alias("list_price"),
-        F.col("supermarket_product_id").isNull().alias("first_row"))
+    first = F.col("supermarket_product_id").isNull()
+    return joined.withColumns({
+        "first_row": first, "changed": first | ~same("price", "last_price") | ~same("list_price", "last_list_price")})
+
+
+def history_to_append(planned: DataFrame) -> DataFrame:
+    """History rows of the changed winners, at two decimals."""
+    return planned.filter("changed").select(
+        *KEY, F.col("price").cast("decimal(18,2)").alias("price"), F.col("list_price").cast("decimal(10,2)").alias("list_price"), "first_row")
 
 
 def promote(staging: DataFrame, promoted_ids: DataFrame) -> DataFrame:
@@ -98,18 +103,17 @@ def update_from_values(target: DataFrame, values: DataFrame, key: str, columns:
         {c: F.coalesce(f"_new_{c}", c) for c in columns}).select(*target.columns)
 
 
-def reconcile_summary(pending: DataFrame, products: DataFrame, upserted: DataFrame, history: DataFrame) -> DataFrame:
+def reconcile_summary(pending: DataFrame, products: DataFrame, planned: DataFrame) -> DataFrame:
     """One row of counts over the merge plans."""
     eans = pending.groupBy("ean").agg(F.count("*").alias("n"))
     seen = eans.join(products.select("ean", F.lit(1).alias("known")), "ean", "left").agg(
         F.sum("n").alias("promoted"), F.count("*").alias("distinct_eans"),
         F.count_if(F.col("known").isNull()).alias("new_products"), F.count("known").alias("merged_products"))
-    rows = upserted.agg(F.count_if(F.col("action") == "insert").alias("created"),
-                        F.count_if(F.col("action") == "update").alias("updated"))
-    return seen.select(
-        "promoted", "distinct_eans", "new_products", "merged_products",
-        rows.select("created").scalar().alias("created"), rows.select("updated").scalar().alias("updated"),
-        history.agg(F.count("*")).scalar().alias("history_inserted"))
+    rows = planned.agg(F.struct(
+        F.count_if(F.col("id").isNull()).alias("created"), F.count("id").alias("updated"),
+        F.count_if("changed").alias("history_inserted")).alias("r")).scalar()
+    return seen.withColumn("_rows", rows).select(
+        "promoted", "distinct_eans", "new_products", "merged_products", "_rows.created", "_rows.updated", "_rows.history_inserted")
 
 
 def promoted_counts(pending: DataFrame) -> DataFrame:

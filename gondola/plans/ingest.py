@@ -322,9 +322,10 @@ def upserted(t: Tables) -> DataFrame:
     return merge.upsert_current(t.state_supermarket_products, winners(t), t.supermarkets, NOW)
 
 
-def new_history(t: Tables) -> DataFrame:
-    return merge.history_to_append(
-        winners(t).select("ean", "source_slug", "price", "list_price"), catalog.latest_history(t.state_history), t.supermarkets, t.state_supermarket_products)
+def planned(t: Tables) -> DataFrame:
+    return merge.planned_rows(
+        winners(t).select("ean", "source_slug", "price", "list_price"), catalog.latest_history(t.state_history),
+        t.supermarkets, t.state_supermarket_products)
 
 
 _UPSERT_SQL = f"""{BATCH_SQL},
@@ -349,7 +350,7 @@ def upserted_prices(t):
 
 @query("j04_history_on_change", "J4", BATCH_TABLES, f"WITH {_UPSERT_SQL} SELECT * FROM new_history")
 def history_on_change(t):
-    return new_history(t).withColumns({c: F.col(c).cast("double") for c in ("price", "list_price")})
+    return merge.history_to_append(planned(t)).withColumns({c: F.col(c).cast("double") for c in ("price", "list_price")})
 
 
 @query("j05_promoted_staging", "J5", BATCH_TABLES, f"""WITH {BATCH_SQL}
@@ -366,7 +367,7 @@ SELECT (SELECT count(*) FROM pending) AS promoted, (SELECT count(DISTINCT ean) F
   (SELECT count(*) FROM upserted WHERE action = 'insert') AS created, (SELECT count(*) FROM upserted WHERE action = 'update') AS updated,
   (SELECT count(*) FROM new_history) AS history_inserted""")
 def reconcile_summary(t):
-    return merge.reconcile_summary(pending(t), t.state_products, upserted(t), new_history(t))
+    return merge.reconcile_summary(pending(t), t.state_products, planned(t))
 
 
 @query("e17_promoted_counts", "E17", BATCH_TABLES, f"""WITH {BATCH_SQL}

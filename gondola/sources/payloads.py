@@ -95,6 +95,11 @@ def normalize_payloads(records: DataFrame) -> DataFrame:
         .withColumn("name", strip_html(first_clean(p["productName"], p["name"])))
         .filter(F.col("ean").isNotNull() & (F.col("name") != ""))
         .withColumn("images", _images(p, F.col("base_url")))
+        # separate columns: each rule reads its input more than once
+        .withColumn("_inferred", category_from_text(F.col("name")))
+        .withColumn("_listed", category_leaf(F.when(
+            p["categories"].isNotNull(), clean(F.get(p["categories"], F.lit(0)))).otherwise(clean(p["category"]))))
+        .withColumn("_category", first_clean(F.col("_inferred"), F.get(p["categoryTree"], F.lit(0))["name"], F.col("_listed")))
         .withColumn("price", price).withColumn("_list", listed)
         .select(
             *keep, "ean", "name",
@@ -102,10 +107,7 @@ def normalize_payloads(records: DataFrame) -> DataFrame:
             strip_html(first_clean(p["description"], p["metaTagDescription"])).alias("description"),
             F.get("images", F.lit(0)).alias("image_url"),
             "images",
-            strip_html(first_clean(
-                category_from_text(F.col("name")), F.get(p["categoryTree"], F.lit(0))["name"],
-                category_leaf(F.when(p["categories"].isNotNull(), clean(F.get(p["categories"], F.lit(0))))
-                              .otherwise(clean(p["category"]))))).alias("category"),
+            strip_html(F.col("_category")).alias("category"),
             first_clean(sku["itemId"], sku["id"]).alias("sku_id"),
             first_clean(F.col("_seller.sellerId"), F.col("_seller.id")).alias("seller_id"),
             absolute_url(link, F.col("base_url")).alias("product_url"),
