@@ -218,19 +218,19 @@ def failure_streaks(log: DataFrame, initial: DataFrame | None = None, source: st
     group = chunks.withColumn("_good", F.sum(F.col(ok).cast("int")).over(inside))
     in_group = Window.partitionBy(source, "chunk", "_good").orderBy(time, "id")
     local = group.withColumn("_streak", F.sum((~F.col(ok)).cast("bigint")).over(in_group))
-    # failures after the last success of each chunk; a chunk without success adds to what came before
+    # Failures after the last success of each chunk; a chunk without success adds to what came
+    # before. With prefix sums S of those tails, the carry is S minus the S of the last chunk
+    # holding a success (S never falls, so that is the largest one).
     tail = carried(local, [source], {
         "_any": F.max(F.col(ok)), "_tail": F.max_by("_streak", F.struct(time, "id"))})
     earlier = before([source])
-    reset = F.coalesce(F.max(F.when(F.col("_any"), F.col("chunk"))).over(earlier), F.lit(-1))
-    chunk_tails = F.collect_list(F.struct("chunk", "_tail")).over(earlier)  # one small entry per chunk
-    carry = tail.withColumns({"_reset": reset, "_tails": chunk_tails})
-    start = F.lit(0).cast("bigint")
+    sums = tail.withColumn("_sum", F.coalesce(F.sum("_tail").over(earlier), F.lit(0)))
+    carry = sums.withColumn("_reset", F.max(F.when(F.col("_any"), F.col("_sum"))).over(earlier))
+    start = F.lit(0)
     if initial is not None:
         carry = carry.join(initial.select(source, "initial"), source, "left")
-        start = F.when(F.col("_reset") == -1, F.coalesce("initial", F.lit(0))).otherwise(0).cast("bigint")
-    carry = carry.select(source, "chunk", F.aggregate(
-        F.filter("_tails", lambda c: c["chunk"] >= F.col("_reset")), start, lambda total, c: total + c["_tail"]).alias("_carry"))
+        start = F.when(F.col("_reset").isNull(), F.coalesce("initial", F.lit(0))).otherwise(0)
+    carry = carry.select(source, "chunk", (F.col("_sum") - F.coalesce("_reset", F.lit(0)) + start).alias("_carry"))
     add = F.when((F.col("_good") == 0) & ~F.col(ok), F.col("_carry")).otherwise(F.lit(0))
     return local.join(carry, [source, "chunk"]).select("id", source, time, ok, (F.col("_streak") + add).alias("failures"))
 

@@ -19,6 +19,8 @@ RUNTIME_SETTINGS = {
     # skipped because the output feeds an aggregation on the same key.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
+    # Cut top-k per source inside each partition, also for larger k.
+    "spark.sql.optimizer.windowGroupLimitThreshold": "10000",
     # Rows of the many derived columns are wide; keep one stage per span.
     "spark.sql.codegen.maxFields": "200",
 }

@@ -33,6 +33,7 @@ def money(value: Column) -> Column:
 
 
 _SCHEMAS: dict[str, T.StructType] = {}
+_SPLITS: dict[str, int] = {}
 
 
 class Tables:
@@ -46,6 +47,15 @@ class Tables:
             _SCHEMAS[path] = self.spark.read.parquet(path).schema
         return self.spark.read.schema(_SCHEMAS[path]).parquet(path)
 
+    def spread(self, name: str) -> DataFrame:
+        """A table whose rows are long texts. When its scan has fewer splits than there are cores
+        (one small file), the rows are spread over them; a table of many splits is read as it is."""
+        df, path = self.raw(name), f"{self.dir}/{name}.parquet"
+        cores = self.spark.sparkContext.defaultParallelism
+        if path not in _SPLITS:
+            _SPLITS[path] = df.rdd.getNumPartitions()
+        return df.repartition(cores) if _SPLITS[path] < cores else df
+
     # -- dimensions ---------------------------------------------------------
     @cached_property
     def supermarkets(self) -> DataFrame:
@@ -334,4 +344,4 @@ class Tables:
 
     @cached_property
     def texts(self) -> DataFrame:
-        return self.raw("documents").select("doc_id", "text")
+        return self.spread("documents").select("doc_id", "text")

@@ -64,8 +64,10 @@ def stream_price_changes(observations: DataFrame, base: str) -> StreamingQuery:
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         previous = spark.read.parquet(f"{base}/last/batch={number - 1}") if number > 0 else None
+        batch.persist()  # read once for both outputs; recomputed if an executor is lost
         changes_of_batch(batch, previous).write.mode("overwrite").parquet(f"{base}/changes/batch={number}")
         last_values(batch, previous).write.mode("overwrite").parquet(f"{base}/last/batch={number}")
+        batch.unpersist()
 
     return (observations.writeStream.foreachBatch(write).option("checkpointLocation", f"{base}/checkpoint")
             .trigger(availableNow=True).start())
