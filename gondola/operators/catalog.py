@@ -17,6 +17,10 @@ SORTS = ("relevance", "discount", "price-asc", "price-desc", "updated")
 SERIES_COLORS = ("#d24726", "#2a6f58", "#4259d6", "#c77d00", "#7b3fe4", "#d13d7a")
 
 
+# Fixed value: text after the rounded discount in an offer without promotion.
+DISCOUNT_NOTE = "% OFF detectado sobre list price"
+
+
 @dataclass(frozen=True)
 class ProductFilters:
     query: str | None = None
@@ -413,7 +417,7 @@ def offer_feed(promoted: DataFrame, site: str, currency_code: str) -> DataFrame:
         F.coalesce(
             "promotion_title",
             F.when(discount.isNotNull(), F.concat(
-                F.floor(discount + 0.5).cast("string"), F.lit("% OFF detectado sobre list price")))).alias("description"),
+                F.floor(discount + 0.5).cast("string"), F.lit(DISCOUNT_NOTE)))).alias("description"),
     )
 
 

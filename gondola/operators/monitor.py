@@ -296,6 +296,7 @@ def admin_promotions(promotions: DataFrame, bridge: DataFrame, now, status: str
         hits = [F.coalesce(contains_ignore_case(F.col(c), query), F.lit(False))
                 for c in ("title", "wallet_provider", "bank_name", "conditions")]
         rows = rows.filter(hits[0] | hits[1] | hits[2] | hits[3])
+    # a promotion lists at most 200 EANs (see validate_promotions)
     listed = bridge.join(rows.select(F.col("id").alias("promotion_id")), "promotion_id", "left_semi").groupBy(
         F.col("promotion_id").alias("id")).agg(F.sort_array(F.collect_list("product_ean")).alias("eans"))
     return rows.join(listed, "id", "left").withColumns({

@@ -162,19 +162,19 @@ def rollback_equality(t):
 
 # -- post-write ------------------------------------------------------------------------------------
 @query("k10_post_write_audit", "K10", "rows sp observations", """
-WITH p AS (SELECT id, ean, sku_id, price, is_available FROM rows), c AS (SELECT id, product_ean AS ean, sku_id, price, is_available FROM sp WHERE id % 97 <> 0),
+WITH p AS (SELECT id, ean, sku_id, price, is_available FROM rows), c AS (SELECT id, product_ean AS ean, sku_id, price, is_available FROM sp WHERE last_checked_at < TIMESTAMP '2001-10-01'),
 r AS (SELECT p.id, unnest(list_filter([CASE WHEN c.id IS NULL THEN 'row_missing' END, CASE WHEN c.ean <> p.ean THEN 'ean_differs' END, CASE WHEN c.id IS NOT NULL AND c.price IS DISTINCT FROM p.price THEN 'price_differs' END], lambda x: x IS NOT NULL)) AS reason FROM p LEFT JOIN c USING (id)),
 h AS (SELECT coalesce(e.sid, a.sid) AS id, unnest(list_filter([CASE WHEN a.hid IS NULL THEN 'history_missing' END, CASE WHEN e.hid IS NULL THEN 'history_unexpected' END, CASE WHEN e.price <> a.price THEN 'history_price_differs' END], lambda x: x IS NOT NULL)) AS reason
-  FROM (SELECT id AS hid, supermarket_product_id AS sid, price FROM observations WHERE orderkey % 50 <> 0) e FULL JOIN (SELECT id AS hid, supermarket_product_id AS sid, CASE WHEN orderkey % 60 = 1 THEN price + 1 ELSE price END AS price FROM observations WHERE orderkey % 70 <> 0) a USING (hid))
+  FROM (SELECT id AS hid, supermarket_product_id AS sid, price FROM observations WHERE scraped_at >= TIMESTAMP '1995-03-01') e FULL JOIN (SELECT id AS hid, supermarket_product_id AS sid, CASE WHEN orderkey % 60 = 1 THEN price + 1 ELSE price END AS price FROM observations WHERE scraped_at < TIMESTAMP '2001-09-01') a USING (hid))
 SELECT DISTINCT * FROM (FROM r UNION ALL FROM h)""")
 def post_write_audit(t):
     plan = rows_of(t).select("id", "ean", "sku_id", "price", "is_available")
-    current = t.supermarket_products.filter(F.col("id") % 97 != 0).select("id", F.col("product_ean").alias("ean"), "sku_id", "price", "is_available")
+    current = t.supermarket_products.filter(F.col("last_checked_at") < F.lit("2001-10-01").cast("timestamp")).select("id", F.col("product_ean").alias("ean"), "sku_id", "price", "is_available")
     o = t.observations
     rows = lambda keep, price: o.filter(keep).select(
         F.col("id").alias("history_id"), F.col("supermarket_product_id").alias("id"), price.cast("decimal(10,2)").alias("price"))
-    expected = rows(F.col("orderkey") % 50 != 0, F.col("price"))
-    actual = rows(F.col("orderkey") % 70 != 0, F.when(F.col("orderkey") % 60 == 1, F.col("price") + 1).otherwise(F.col("price")))
+    expected = rows(F.col("scraped_at") >= F.lit("1995-03-01").cast("timestamp"), F.col("price"))
+    actual = rows(F.col("scraped_at") < F.lit("2001-09-01").cast("timestamp"), F.when(F.col("orderkey") % 60 == 1, F.col("price") + 1).otherwise(F.col("price")))
     return op.post_write_audit(plan, current, expected, actual)
 
 
@@ -184,7 +184,7 @@ DERIVED["found"] = (("live", "products"), """
   FROM (SELECT * FROM live WHERE copy = 0) l JOIN products p USING (ean)""")
 _DISC_SQL = """
 cur AS (SELECT 'market-' || supermarket_id AS source_slug, product_ean AS ean, sku_id FROM state_sp),
-pend AS (SELECT DISTINCT source_slug, ean FROM batch WHERE run_id % 40 = 0),
+pend AS (SELECT DISTINCT source_slug, ean FROM batch WHERE created_at >= TIMESTAMP '2001-09-01'),
 sk AS (SELECT source_slug, sku_id, count(*) AS n FROM cur WHERE sku_id IS NOT NULL GROUP BY 1, 2),
 a0 AS (SELECT f.*, f.ean IN (SELECT ean FROM state_products) AS has_product, EXISTS (SELECT 1 FROM cur c WHERE c.source_slug = f.source_slug AND c.ean = f.ean) AS has_row,
   list_filter([CASE WHEN f.sku_id IS NULL THEN 'no_sku' END, CASE WHEN contains(name, 'Ãƒ') THEN 'broken_text' END, CASE WHEN price <= 0 THEN 'price_not_positive' END, CASE WHEN NOT is_available THEN 'unavailable' END,
@@ -207,7 +207,7 @@ def _current(t: Tables) -> DataFrame:
 
 
 def _pending(t: Tables) -> DataFrame:
-    return t.batch_candidates.filter(F.col("run_id") % 40 == 0).select("source_slug", "ean")
+    return t.batch_candidates.filter(F.col("created_at") >= F.lit("2001-09-01").cast("timestamp")).select("source_slug", "ean")
 
 
 @query("k08_discovery_audit", "K8 D27", _DISC_TABLES, f"WITH {_DISC_SQL} SELECT source_slug, ean, classification, blockers, idempotency_key FROM audit")
@@ -237,16 +237,16 @@ def discovery_plan(t):
 
 
 @query("j14_apply_races", "J14", _DISC_TABLES + " sp", f"""WITH {_PLAN_SQL},
-c2 AS (SELECT 'market-' || supermarket_id AS source_slug, product_ean AS ean, sku_id FROM sp WHERE id % 5 = 0)
-SELECT idempotency_key, source_slug, ean, array_to_string(list_filter([CASE WHEN classification = 'product-and-source-discovery' AND right(ean, 1) = '3' THEN 'product_exists' END,
-  CASE WHEN classification = 'source-row-discovery' AND right(ean, 1) <> '3' THEN 'product_missing' END,
+c2 AS (SELECT 'market-' || supermarket_id AS source_slug, product_ean AS ean, sku_id FROM sp WHERE last_checked_at >= TIMESTAMP '2001-06-01')
+SELECT idempotency_key, source_slug, ean, array_to_string(list_filter([CASE WHEN classification = 'product-and-source-discovery' AND category IS NOT NULL THEN 'product_exists' END,
+  CASE WHEN classification = 'source-row-discovery' AND category IS NULL THEN 'product_missing' END,
   CASE WHEN EXISTS (SELECT 1 FROM c2 WHERE c2.source_slug = pr.source_slug AND c2.ean = pr.ean) THEN 'source_row_exists' END,
   CASE WHEN EXISTS (SELECT 1 FROM c2 WHERE c2.source_slug = pr.source_slug AND c2.sku_id = pr.sku_id) THEN 'sku_in_use' END], lambda x: x IS NOT NULL), ',') AS reasons FROM pr""")
 def apply_races(t):
     plan = discovery.planned_creates(audit_of(t), NOW)["supermarket_products"]
-    later = t.supermarket_products.filter(F.col("id") % 5 == 0).select(
+    later = t.supermarket_products.filter(F.col("last_checked_at") >= F.lit("2001-06-01").cast("timestamp")).select(
         slug_of(F.col("supermarket_id")).alias("source_slug"), F.col("product_ean").alias("ean"), "sku_id")
-    some = t.products.filter(F.substring("ean", -1, 1) == "3")
+    some = t.products.filter(F.col("category").isNotNull())
     return discovery.apply_races(plan, some, later, _pending(t)).withColumn("reasons", F.array_join("reasons", ","))
 
 
