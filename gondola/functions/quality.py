@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .rules import reasons
 from .text import trim_space
 
 # Fixed values.
@@ -40,7 +41,7 @@ def gates(average: Column) -> list[tuple[str, bool, Column]]:
 def verdict(average: Column) -> dict[str, Column]:
     """quality_flags, quality_score and status columns."""
     rules = gates(average)
-    flags = F.filter(F.array(*[F.when(~ok, F.lit(name)) for name, _, ok in rules]), lambda f: f.isNotNull())
+    flags = reasons([(name, ~ok) for name, _, ok in rules])
     soft = [ok for _, blocks, ok in rules if not blocks]
     passed = sum((ok.cast("int") for ok in soft[1:]), soft[0].cast("int"))
     blocked = [~ok for _, blocks, ok in rules if blocks]
