@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .. import session
-from . import lines, mixing, pii
+from . import langid, lines, mixing, pii, prefixhash, toxicity
 
 #: Rows of an Arrow batch: texts are long, and a batch must fit a small Python worker.
 SETTINGS = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
@@ -24,7 +24,10 @@ class Inputs:
 
 
 QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {
+    "op5_toxicity": lambda t: toxicity.report(t.documents, t.labels),
     "op6_line_dedup": lambda t: lines.report(t.documents),
+    "op7_language": lambda t: langid.report(t.documents),
+    "op8_fingerprints": lambda t: prefixhash.report(t.documents),
     "op9_source_mix": lambda t: mixing.report(t.documents, t.labels),
     "op10_pii": lambda t: pii.report(t.documents),
 }
