@@ -96,3 +96,12 @@ def words_of(texts: list[bytes], inside: np.ndarray = ~SPACE) -> Words:
 
 def letter_words(texts: list[bytes]) -> Words:
     return words_of(texts, LETTER)
+
+
+def ngram_hashes(word: np.ndarray, n: int) -> np.ndarray:
+    """Hash of each run of n word hashes."""
+    count = max(0, len(word) - n + 1)
+    total = np.full(count, n, U)
+    for i in range(n):
+        total = mixed(total + word[i:i + count])
+    return total
