@@ -212,7 +212,7 @@ WITH RECURSIVE words AS (
                                     '[^\x20\x09-\x0D]+') AS w FROM documents),
 sets AS (
   SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN [w[1]]
-                      ELSE list_distinct(list_transform(range(1, len(w)), i -> w[i] || ' ' || w[i + 1])) END AS s FROM words),
+                      ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s FROM words),
 items AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets),
 pairs AS (
   SELECT a.doc_id AS p, b.doc_id AS q, count(*) AS c, any_value(a.n) AS n, any_value(b.n) AS m

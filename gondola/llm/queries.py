@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .. import session
-from . import decontam, langid, lines, mixing, neardup, pii, prefixhash, toxicity
+from . import decontam, langid, lines, mixing, neardup, pii, ppm, prefixhash, suffix, toxicity
 
 #: Rows of an Arrow batch: texts are long, and a batch must fit a small Python worker.
 SETTINGS = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
@@ -24,6 +24,8 @@ class Inputs:
 
 
 QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {
+    "op1_suffix_dedup": lambda t: suffix.report(t.documents),
+    "op2_ppm_score": lambda t: ppm.report(t.documents),
     "op3_decontamination": lambda t: decontam.report(t.documents, t.benchmark),
     "op4_near_duplicates": lambda t: neardup.report(t.documents),
     "op5_toxicity": lambda t: toxicity.report(t.documents, t.labels),
@@ -33,7 +35,7 @@ QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {
     "op9_source_mix": lambda t: mixing.report(t.documents, t.labels),
     "op10_pii": lambda t: pii.report(t.documents),
 }
-SQL: dict[str, str] = {"op4_near_duplicates": neardup.SQL, "op6_line_dedup": lines.SQL, "op9_source_mix": mixing.SQL}
+SQL: dict[str, str] = {"op1_suffix_dedup": suffix.SQL, "op4_near_duplicates": neardup.SQL, "op6_line_dedup": lines.SQL, "op9_source_mix": mixing.SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
