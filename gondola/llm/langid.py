@@ -44,7 +44,7 @@ class Net:
 
 def windows_of(texts: list[bytes], length: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Windows (n, length) of byte codes, the text of each, and its bytes. Empty texts have none."""
-    sizes = np.array([len(t) for t in texts])
+    sizes = np.array([len(t) for t in texts], np.int64)
     counts = -(-sizes // length)
     owner = np.repeat(np.arange(len(texts)), counts)
     flat = np.full(int(counts.sum()) * length, PAD, np.int16)

@@ -60,8 +60,8 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     count = F.aggregate(F.map_values("dropped"), F.lit(0).cast("long"), lambda a, b: a + F.bit_count(b))
     added = {"_kept": F.when(F.col("dropped").isNull(), text).otherwise(F.array_join(stays, "\n")),
              "_n_lines": F.size(lines).cast("long"), "_n_dropped": F.coalesce(count, F.lit(0).cast("long"))}
-    return left.join(keys.hint("shuffle_hash"), on, "left").select(
-        *[F.col(f"_doc.{c}") for c in docs.columns if c not in added], *[v.alias(k) for k, v in added.items()])
+    joined = left.join(keys.hint("shuffle_hash"), on, "left").select("_doc", *[v.alias(k) for k, v in added.items()])
+    return joined.select(*[F.col(f"_doc.{c}").alias(c) for c in docs.columns if c not in added], *added)
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -28,9 +28,9 @@ def word_count(text: Column) -> Column:
 
 
 def quality_weights(labels: DataFrame) -> DataFrame:
-    """(_id, _weight): 2 for good documents, 0.5 for bad ones; all others weigh 1."""
-    best = labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg(F.max("quality").alias("q"))
-    return best.where(F.col("q").isNotNull()).select("_id", F.when(F.col("q") == 1, 2.0).otherwise(0.5).alias("_weight"))
+    """(_labelled, _weight): 2 for good documents, 0.5 for bad ones; all others weigh 1."""
+    best = labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_labelled")).agg(F.max("quality").alias("q"))
+    return best.where(F.col("q").isNotNull()).select("_labelled", F.when(F.col("q") == 1, 2.0).otherwise(0.5).alias("_weight"))
 
 
 def exponential_key(id_text: Column, weight: Column) -> Column:
@@ -62,31 +62,35 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
 
 
 def mix(docs: DataFrame, quality: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text",
-        source_col: str = "source") -> DataFrame:
-    """One row per document: its id and source as named, size, source_size, target, taken (words, repeats counted)."""
+        source_col: str = "source", carry: bool = False) -> DataFrame:
+    """One row per document: its id and source, size, source_size, target, taken (words, repeats counted).
+
+    With ``carry``, all columns of ``docs`` come along in a struct ``doc``.
+    """
     id_ = F.col(id_col)
-    rows = docs.select(id_, F.col(source_col).alias("source"), F.col(source_col).isNull().alias("_null"),
+    extra_columns = [F.struct(*docs.columns).alias("doc")] if carry else []
+    rows = docs.select(id_.alias("_id"), *extra_columns, F.col(source_col).alias("source"), F.col(source_col).isNull().alias("_null"),
                        F.coalesce(F.col(source_col), F.lit("")).alias("_src"), word_count(F.col(text_col)).alias("size"))
     if quality is None:
         rows = rows.withColumn("_weight", F.lit(1.0))
     else:
-        rows = rows.join(quality, rows[id_col] == quality["_id"], "left").drop("_id").withColumn(
+        rows = rows.join(quality, F.col("_id") == F.col("_labelled"), "left").drop("_labelled").withColumn(
             "_weight", F.coalesce("_weight", F.lit(1.0)))
-    rows = rows.withColumn("_key", exponential_key(F.col(id_col).cast("string"), F.col("_weight")))
+    rows = rows.withColumn("_key", exponential_key(F.col("_id").cast("string"), F.col("_weight")))
     rows = rows.withColumn("_bucket", F.floor(BUCKETS * (1 - F.exp(-F.col("_key")))).cast("int")).repartition("_null", "_src", "_bucket")
     totals = rows.groupBy("_null", "_src", "_bucket").agg(F.sum("size").alias("_sum"))
     ahead = Window.partitionBy("_null", "_src").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.withColumn("_ahead", F.coalesce(F.sum("_sum").over(ahead), F.lit(0)))
     targets = source_targets(totals.groupBy("_null", "_src").agg(F.sum("_sum").alias("source_size")))
     starts = starts.join(targets, ["_null", "_src"]).drop("_sum")
-    inside = Window.partitionBy("_null", "_src", "_bucket").orderBy("_key", id_col).rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("_null", "_src", "_bucket").orderBy("_key", "_id").rowsBetween(Window.unboundedPreceding, 0)
     placed = rows.withColumn("_upto", F.sum("size").over(inside)).join(starts, ["_null", "_src", "_bucket"])
     epochs = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(MAX_EPOCHS))).otherwise(0)
     placed = placed.withColumn("_epochs", epochs.cast("long"))
     rest = F.col("target") - F.col("_epochs") * F.col("source_size")
     middle = F.col("_ahead") + F.col("_upto") - F.col("size") / 2
     extra = F.when((F.col("_epochs") < MAX_EPOCHS) & (middle <= rest), F.col("size")).otherwise(F.lit(0))
-    return placed.select(id_col, "source", "size", "source_size", "target",
+    return placed.select(*(["doc"] if carry else []), F.col("_id").alias(id_col), "source", "size", "source_size", "target",
                          (F.col("_epochs") * F.col("size") + extra).cast("long").alias("taken"))
 
 

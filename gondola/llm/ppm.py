@@ -47,7 +47,7 @@ def is_held_out(doc_id: int | None, folds: int = 10) -> bool:
 
 def context_keys(texts: list[bytes], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
     """(context, symbol) of every symbol and every end as one integer, and where each text's keys end."""
-    sizes = np.array([len(t) for t in texts])
+    sizes = np.array([len(t) for t in texts], np.int64)
     ends = np.cumsum(sizes + order + 1)
     symbols = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint16)
     at = np.repeat(ends - sizes - 1 - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))

@@ -39,7 +39,10 @@ SQL: dict[str, str] = {"op1_suffix_dedup": suffix.SQL, "op4_near_duplicates": ne
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: (lambda spark, sf_dir, build=build: build(Inputs(spark, sf_dir))) for name, build in QUERIES.items()}
+    from corpus_pipeline import run  # it imports this module's Inputs
+
+    found = {name: (lambda spark, sf_dir, build=build: build(Inputs(spark, sf_dir))) for name, build in QUERIES.items()}
+    return found | {"pipeline": run}
 
 
 def oracle_sql() -> dict[str, str]:
