@@ -23,16 +23,20 @@ def _star(pairs: DataFrame, small: bool) -> DataFrame:
         hung = joined.select(F.col("v").alias("a"), F.col("m").alias("b")).unionAll(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
     else:
         hung = joined.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
-    return hung.where("a <> b").distinct()
+    return hung.where("a <> b")
+
+
+def _state(pairs: DataFrame) -> tuple:
+    """Number of pairs and the sum of their hashes: one row."""
+    return tuple(pairs.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first())
 
 
 def components(links: DataFrame) -> DataFrame:
     """(id, component): each linked node and the least node reachable from it. ``links`` has columns a, b."""
-    pairs = stored(links.where("a <> b").select("a", "b").distinct(), "links")
-    state = None
+    pairs = stored(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+    state = _state(pairs)
     while True:
-        pairs = stored(_star(_star(pairs, small=False), small=True), "stars")
-        row = pairs.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-        if state == tuple(row):  # one row: count and sum of hashes
+        pairs = stored(_star(_star(pairs, small=False), small=True).distinct(), "stars")
+        before, state = state, _state(pairs)
+        if state == before:
             return pairs.select(F.col("a").alias("id"), F.col("b").alias("component"))
-        state = tuple(row)

@@ -4,10 +4,14 @@ A document's set of word shingles fills ``M`` registers with truncated,
 exponentially spaced minima. Equal sets form classes at once (a group of exact
 copies is one row from there on). Classes that agree in all registers of a band
 meet in a bucket. Buckets never emit all pairs: each member is paired with the
-bucket's least member only; where links leave a bucket with several components,
-the members outside the leader's component are also paired with those of other
-components. Pairs pass a size bound, a 128-bit test and the joint likelihood of
-their registers, and are confirmed on the full sets.
+bucket's least member only. Pairs pass a size bound, a 128-bit test and the joint
+likelihood of their registers, and are confirmed on the full sets.
+
+Where these links leave a bucket with several components, members outside the
+leader's component may still be linked with others. They and the component's
+members in such buckets form an arena, cut into blocks of ``BLOCK`` documents;
+each pair of blocks is one small task that compares registers first and full sets
+then, as matrices, and emits only the links it confirms.
 
 Cases: documents without words are linked with nothing; fewer words than a
 shingle are one shingle; rows with a null id have no component and are kept;
@@ -29,6 +33,7 @@ BANDS, ROWS = 36, 6
 M = BANDS * ROWS
 BASE, RATE, TOP = 1.001, 100.0, 65535
 LIKELY = 0.68  # a pair of similarity 0.8 is estimated lower once in 100,000 times at this number of registers
+BLOCK = 512
 BITS_OFF = 29  # of 128 register bits; 12.8 on average at similarity 0.8, with a deviation of 3.4
 
 _u = np.arange(1, M + 1, dtype=np.uint64)
@@ -152,6 +157,97 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
     return both.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
+def _duels(members: DataFrame, columns: list[str]) -> DataFrame:
+    """Arena members (arena, id, group, ...) sent to each pair of blocks (p <= q) that includes theirs, and sorted by it."""
+    sizes = members.groupBy("arena").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    placed = members.join(sizes, "arena").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    sent = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    sent = sent.select("arena", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "id", "group", *columns)
+    return sent.repartition("arena", "p", "q").sortWithinPartitions("arena", "p", "q", "block", "id")
+
+
+def _runs(batches):
+    """Arrow tables of one (arena, p, q) each, out of sorted batches."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        key = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("arena", "p", "q")], 1)
+        cut = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1), len(key)]
+        for a, b in zip(cut[:-1], cut[1:]):
+            if b > a:
+                if held and (key[a] != last).any():
+                    yield pa.Table.from_batches(held)
+                    held = []
+                last = key[a]
+                held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _sides(run: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of the first block, rows each of them is compared with, and all groups."""
+    block = run["block"].to_numpy()
+    every = np.arange(len(block))
+    p, q = run["p"][0].as_py(), run["q"][0].as_py()
+    return (every, every, run["group"].to_numpy()) if p == q else (every[block == p], every[block == q], run["group"].to_numpy())
+
+
+def _promising(members: DataFrame) -> DataFrame:
+    """(arena, id) of members whose registers suggest a link to another component's member in their arena."""
+    def run(batches):
+        for table in _runs(batches):
+            one, two, group = _sides(table)
+            regs = np.frombuffer(b"".join(table["regs"].to_pylist()), np.uint16).reshape(-1, M)
+            n, ids = table["n"].to_numpy().astype(float), table["id"].to_numpy()
+            found = set()
+            for i in one:
+                others = two[(group[two] != group[i]) & (two != i)]
+                others = others[100 * np.minimum(n[others], n[i]) >= 80 * np.maximum(n[others], n[i])]
+                same = (regs[others] == regs[i]).sum(1)
+                others, same = others[same >= 0.6 * M], same[same >= 0.6 * M]
+                if len(others):
+                    more = (regs[others] < regs[i]).sum(1)
+                    likely = others[likelihood(same, more, M - same - more, np.full(len(others), n[i]), n[others]) >= LIKELY]
+                    found.update(ids[likely].tolist(), ids[[i]].tolist() if len(likely) else ())
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([table["arena"][0].as_py()] * len(found), pa.int64()), pa.array(sorted(found), pa.int64())],
+                                                 names=["arena", "id"])
+
+    return _duels(members, ["n", "regs"]).mapInArrow(run, "arena bigint, id bigint").distinct()
+
+
+def _confirmed(members: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (a, b) between components inside arenas, on full sets; one per two components and pair of blocks is enough."""
+    def run(batches):
+        for table in _runs(batches):
+            one, two, group = _sides(table)
+            ids = table["id"].to_numpy()
+            texts = as_bytes(table["text"].combine_chunks())
+            sets = [s for a, b in slices(texts) for s in shingle_sets(texts[a:b], width)]
+            size = np.array([len(s) for s in sets])
+            every, where, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+            column = np.cumsum(count > 1) - 1  # shingles of one document are in no intersection
+            owner = np.repeat(np.arange(len(sets)), size)
+            bits = np.zeros((len(sets), int((count > 1).sum()) // 8 + 1), np.uint8)
+            shared = count[where] > 1
+            at = column[where[shared]]
+            np.bitwise_or.at(bits, (owner[shared], at // 8), (1 << (at % 8)).astype(np.uint8))
+            a, b, done = [], [], set()
+            for i in one:
+                others = two[(group[two] != group[i]) & (two != i)]
+                common = np.bitwise_count(bits[others] & bits[i]).sum(1, dtype=np.int64)
+                for j in others[100 * common >= percent * (size[others] + size[i] - common)]:
+                    pair = (min(group[i], group[j]), max(group[i], group[j]))
+                    if pair not in done:
+                        done.add(pair)
+                        a.append(int(ids[i]))
+                        b.append(int(ids[j]))
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return _duels(members, ["text"]).mapInArrow(run, "a bigint, b bigint")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """(id, n, component) of every row: set size and least id of its group of near-duplicates."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -176,16 +272,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     of = lambda c: groups.select(F.col("id").alias(c), F.col("component").alias(f"{c}_group"))
     placed = buckets.join(of("id"), "id", "left").join(of("leader"), "leader", "left").select(
         "key", "id", "leader", F.coalesce("id_group", "id").alias("group"), F.coalesce("leader_group", "leader").alias("lead"))
-    placed = stored(placed.where("id <> leader").join(brief, "id"), "placed")
+    placed = stored(placed.where("id <> leader"), "placed")
     outside = placed.where("group <> lead")
-    # an outsider meets insiders once, and other outsiders in the order of their ids
-    meet = (F.col("x.key") == F.col("y.key")) & (F.col("x.group") != F.col("y.group")) & (
-        (F.col("y.group") == F.col("y.lead")) | (F.col("x.id") < F.col("y.id"))) & _possible("x", "y")
-    rest = outside.alias("x").join(placed.alias("y"), meet).select(
-        F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
-    more = stored(verified(_likely(rest, reps), rep_texts, width, percent), "more")
-    if not more.isEmpty():
-        groups = components(groups.select(F.col("id").alias("a"), F.col("component").alias("b")).unionAll(more))
+    inside = placed.where("group = lead").join(outside.select("key").distinct(), "key", "left_semi")
+    arenas = stored(outside.unionAll(inside).select(F.col("lead").alias("arena"), "id", "group").distinct(), "arenas")
+    promising = stored(_promising(arenas.join(reps.select("id", "n", "regs"), "id")), "promising")
+    if not promising.isEmpty():
+        ids = promising.select("id").distinct()
+        chosen = rep_texts.join(ids, "id", "left_semi").join(arenas.join(promising, ["arena", "id"]), "id")
+        more = stored(_confirmed(chosen, width, percent), "more")
+        if not more.isEmpty():
+            groups = components(groups.select(F.col("id").alias("a"), F.col("component").alias("b")).unionAll(more))
 
     named = classes.join(groups.select(F.col("id").alias("rep"), "component"), "rep", "left").select(
         "set_a", "set_b", "n", F.coalesce("component", "rep").alias("component"))

@@ -174,16 +174,17 @@ def test_sketch_likelihood_estimates_similarity():
         assert abs(j - true) < 0.12
 
 
-@pytest.mark.parametrize("width", (2, 5))
-def test_near_duplicates_equal_all_pairs(spark, width):
+@pytest.mark.parametrize("width, block", ((2, 512), (5, 512), (2, 5)))
+def test_near_duplicates_equal_all_pairs(spark, width, block, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", block)
     rng = random.Random(8)
     words = [f"w{k}" for k in range(300)]
     docs = []
-    for g in range(12):
-        base = [rng.choice(words) for _ in range(rng.randint(1, 80))]
-        for _ in range(rng.randint(1, 12)):
+    for g in range(12 if block > 5 else 4):
+        base = [rng.choice(words) for _ in range(rng.randint(1, 80) if block > 5 else 70)]
+        for _ in range(rng.randint(1, 12) if block > 5 else 40):
             body = list(base)
-            for _ in range(rng.randint(0, 3)):
+            for _ in range(rng.randint(0, 3 if block > 5 else 5)):
                 body[rng.randrange(len(body))] = rng.choice(words)
             docs.append((len(docs) * 3, " ".join(body)))
     docs += [(1000, None), (1001, ""), (1002, " \t"), (1003, "one"), (1004, "ONE"), (None, docs[0][1])]
