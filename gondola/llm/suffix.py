@@ -184,15 +184,15 @@ class Chunk:
         masks = np.zeros(len(self.code), np.uint32)
         masks[self.sent] = joined(told, "data", np.uint32)
         whole = (self.code[self.entry] == 1) | (self.id[self.used] > self.id[self.lead][self.entry])
-        edge = np.zeros(len(self.data) + 1, np.int32)
         full = self.used[whole]
-        edge[: len(self.data) + 1] += np.bincount(self.low[full], minlength=len(edge)).astype(np.int32)
-        edge -= np.bincount(self.high[full] + LENGTH, minlength=len(edge)).astype(np.int32)
+        starts, ends = [self.low[full]], [self.high[full] + LENGTH]
         part = np.flatnonzero(~whole & (masks[self.entry] != 0))
         for k in range(SPREAD):
             at = self.low[self.used[part[(masks[self.entry[part]] >> np.uint32(k)) & np.uint32(1) == 1]]] + k
-            edge += np.bincount(at, minlength=len(edge)).astype(np.int32)
-            edge -= np.bincount(at + LENGTH, minlength=len(edge)).astype(np.int32)
+            starts.append(at)
+            ends.append(at + LENGTH)
+        size = len(self.data) + 1
+        edge = np.bincount(np.concatenate(starts), minlength=size) - np.bincount(np.concatenate(ends), minlength=size)
         return np.cumsum(edge[:-1]) > 0
 
 
