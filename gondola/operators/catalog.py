@@ -168,13 +168,6 @@ def public_order(filters: ProductFilters, collation: str | None = "es") -> list[
     return [rank, *modes[filters.order], *tail]
 
 
-def candidate_limits(page: int = 1, limit: int = 24) -> tuple[int, int]:
-    """Product and source row caps of the bounded read mode."""
-    page, limit = (page if page > 0 else 1), (limit if limit > 0 else 24)
-    products = min(5000, max(200, page * limit * 4))
-    return products, min(5000, products * 6)
-
-
 def freshest_candidates(entries: DataFrame, limit: int) -> DataFrame:
     """The ``limit`` products with the newest available priced check (ties by row id)."""
     newest = comparable(entries).groupBy(F.col("product_ean").alias("ean")).agg(
@@ -182,17 +175,10 @@ def freshest_candidates(entries: DataFrame, limit: int) -> DataFrame:
     return newest.orderBy("k").limit(limit).select("ean")
 
 
-def product_list(entries: DataFrame, products: DataFrame, filters: ProductFilters, capped: bool = False) -> DataFrame:
-    """All matching summaries with product attributes, before ordering and paging.
-
-    ``capped`` turns on the bounded candidate read, which may leave products out.
-    """
+def product_list(entries: DataFrame, products: DataFrame, filters: ProductFilters) -> DataFrame:
+    """All matching summaries with product attributes, before ordering and paging."""
     scoped = entries.filter(F.col("slug") == filters.supermarket) if filters.supermarket else entries
     found = search_products(products, filters)
-    if capped:
-        matching = scoped.join(found.select(F.col("ean").alias("product_ean")), "product_ean", "left_semi")
-        keep = freshest_candidates(matching, candidate_limits(filters.page, filters.limit)[0])
-        found = found.join(keep, "ean", "left_semi")
     summary = filter_summaries(product_price_summary(scoped), filters)
     attributes = found.select("ean", "name", "brand", "image_url", "category")
     return summary.join(attributes, "ean")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.quality import completeness, verdict
@@ -65,16 +65,14 @@ def last_per_store(candidates: DataFrame) -> DataFrame:
         F.max_by(F.struct(*cols), F.col("id")).alias("c")).select("ean", "source_slug", "c.*")
 
 
-def mined_terms(products: DataFrame, limit: int, sample: int | None = None, collation: str | None = "es") -> DataFrame:
+def mined_terms(products: DataFrame, limit: int, collation: str | None = "es") -> DataFrame:
     """Most frequent expanded terms of names, brands and categories, then the default terms, ``limit`` in all.
 
-    A product counts once per term. ``sample`` reproduces the bounded read of the
-    first products by EAN; by default the whole catalog is mined.
+    A product counts once per term; the whole catalog is mined.
     """
-    source = products if sample is None else products.orderBy("ean").limit(sample)
     parts = F.filter(F.array("name", "brand", "category"), lambda t: t.isNotNull())
     terms = F.array_distinct(F.flatten(F.transform(parts, expand_terms)))
-    counted = source.select(F.explode(terms).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    counted = products.select(F.explode(terms).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
     by_term = F.collate("term", collation) if collation else F.col("term")
     top = counted.orderBy(F.desc("n"), by_term).limit(limit)
     defaults = default_search_terms()
@@ -85,9 +83,10 @@ def mined_terms(products: DataFrame, limit: int, sample: int | None = None, coll
     return joined.orderBy(F.col("n").desc_nulls_last(), "ord", by_term).limit(limit).select("term", "n")
 
 
-def oldest_work_list(current: DataFrame, products: DataFrame, supermarkets: DataFrame, rows: int = 500) -> DataFrame:
-    """Distinct product names per store among the ``rows`` least recently checked prices."""
-    oldest = current.orderBy("last_checked_at", "id").limit(rows)
+def oldest_work_list(current: DataFrame, products: DataFrame, supermarkets: DataFrame, per_store: int = 500) -> DataFrame:
+    """Distinct product names among the ``per_store`` least recently checked prices of each store."""
+    order = Window.partitionBy("supermarket_id").orderBy("last_checked_at", "id")
+    oldest = current.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= per_store)
     return (
         oldest.join(products.select(F.col("ean").alias("product_ean"), "name"), "product_ean")
         .join(supermarkets.select(F.col("id").alias("supermarket_id"), "slug"), "supermarket_id")

@@ -7,7 +7,7 @@ candidate), and the tables are rewritten as new snapshots.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.freshness import at
@@ -50,6 +50,14 @@ def protective_merge(products: DataFrame, canonical: DataFrame) -> DataFrame:
         *[c for c in products.columns], "changed")
 
 
+def created_id(ean: Column, store: Column) -> Column:
+    """Id of a row the merge creates: unique and the same in every rerun, below all ids given elsewhere.
+
+    An EAN has at most 14 digits and a store number 16 bits, which together fit the negative 64-bit range.
+    """
+    return -(ean.cast("bigint") * F.lit(1 << 16) + store + 1)
+
+
 def _store_ids(winners: DataFrame, supermarkets: DataFrame) -> DataFrame:
     stores = supermarkets.select(F.col("slug").alias("source_slug"), F.col("id").alias("supermarket_id"))
     return winners.join(stores, "source_slug").withColumnRenamed("ean", "product_ean")
@@ -63,7 +71,7 @@ def upsert_current(current: DataFrame, winners: DataFrame, supermarkets: DataFra
     values = {c: F.when(hit, F.col(f"new.{c}").cast(current.schema[c].dataType)).otherwise(F.col(c)) for c in PRICE_COLUMNS}
     action = F.when(~hit, "keep").when(F.col("id").isNull(), "insert").otherwise("update")
     return joined.withColumns({
-        "action": action, **values,
+        "action": action, **values, "id": F.coalesce("id", created_id(F.col("product_ean"), F.col("supermarket_id"))),
         "last_checked_at": F.when(hit, at(now)).otherwise(F.col("last_checked_at")),
     }).drop("new")
 
@@ -83,17 +91,16 @@ def planned_rows(winners: DataFrame, last: DataFrame, supermarkets: DataFrame, c
         "first_row": first, "changed": first | ~same("price", "last_price") | ~same("list_price", "last_list_price")})
 
 
-def history_to_append(planned: DataFrame) -> DataFrame:
-    """History rows of the changed winners, at two decimals."""
+def history_to_append(planned: DataFrame, now) -> DataFrame:
+    """History rows of the changed winners, at two decimals, keyed like the current rows they belong to."""
     return planned.filter("changed").select(
-        *KEY, F.col("price").cast("decimal(18,2)").alias("price"), F.col("list_price").cast("decimal(10,2)").alias("list_price"), "first_row")
+        F.coalesce("id", created_id(F.col("product_ean"), F.col("supermarket_id"))).alias("supermarket_product_id"),
+        at(now).alias("scraped_at"), *KEY, F.col("price").cast("decimal(18,2)").alias("price"), F.col("list_price").cast("decimal(10,2)").alias("list_price"), "first_row")
 
 
-def promote(staging: DataFrame, promoted_ids: DataFrame) -> DataFrame:
-    """Staging with the merged PENDING rows marked PROMOTED."""
-    done = promoted_ids.select("id").withColumn("_done", F.lit(True))
-    return staging.join(done, "id", "left").withColumn(
-        "status", F.when(F.col("_done") & (F.col("status") == "PENDING"), "PROMOTED").otherwise(F.col("status"))).drop("_done")
+def promote(evaluated: DataFrame) -> DataFrame:
+    """An evaluated batch whose PENDING rows have been merged and are now PROMOTED; one pass, no join."""
+    return evaluated.withColumn("status", F.when(F.col("status") == "PENDING", "PROMOTED").otherwise(F.col("status")))
 
 
 def update_from_values(target: DataFrame, values: DataFrame, key: str, columns: list[str]) -> DataFrame:
@@ -135,6 +142,19 @@ def legacy_persist(candidates: DataFrame, products: DataFrame, master: str) -> D
         "outcome", F.when(F.col("known"), "persisted").otherwise("skipped")).drop("known")
 
 
+def legacy_writes(candidates: DataFrame, products: DataFrame, master: str, now) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What the older path writes: products of the master store in full, the last price per (EAN, store), and a
+    history row for every persisted candidate, changed or not."""
+    persisted = legacy_persist(candidates, products, master).filter(F.col("outcome") == "persisted").drop("outcome")
+    fields = ["name", *FILL_COLUMNS, "images"]
+    last = lambda cols: F.max_by(F.struct(*cols), F.col("id")).alias("c")
+    own = persisted.filter(F.col("source_slug") == master).groupBy("ean").agg(last(fields)).select("ean", "c.*")
+    prices = persisted.groupBy("ean", "source_slug").agg(last(PRICE_COLUMNS)).select(
+        "ean", "source_slug", "c.*", at(now).alias("last_checked_at"))
+    history = persisted.select("ean", "source_slug", "price", "list_price", at(now).alias("scraped_at"))
+    return own, prices, history
+
+
 def expire(rows: DataFrame, column: str, now, hours: int) -> DataFrame:
     """Rows young enough to stay; on a partitioned table this prunes old partitions."""
     return rows.filter(F.col(column) >= _cutoff(now, hours))
@@ -153,7 +173,10 @@ def _cutoff(now, hours: int) -> Column:
 def seed_dimension(stored: DataFrame, seed: DataFrame) -> DataFrame:
     """Upsert of stores by slug: name and address come from the seed, limit and activity stay."""
     new = seed.select("slug", F.col("name").alias("new_name"), F.col("base_url").alias("new_url"))
-    return stored.join(new, "slug", "full_outer").select(
-        "id", "slug", F.coalesce("new_name", "name").alias("name"), F.coalesce("new_url", "base_url").alias("base_url"),
+    last = stored.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
+    # a dimension of a few stores: numbering the new ones is one small task
+    ids = seed.join(stored.select("slug"), "slug", "left_anti").select("slug", F.row_number().over(Window.orderBy("slug")).alias("_n"))
+    return stored.join(new, "slug", "full_outer").join(ids, "slug", "left").withColumn("_last", last).select(
+        F.coalesce("id", F.col("_last") + F.col("_n")).alias("id"), "slug", F.coalesce("new_name", "name").alias("name"), F.coalesce("new_url", "base_url").alias("base_url"),
         F.coalesce("is_active", F.lit(True)).alias("is_active"),
         F.coalesce("freshness_sla_hours", F.lit(12)).alias("freshness_sla_hours"))

@@ -13,7 +13,6 @@ from ..sources.stable import before, carried, ordered_chunks
 
 # Fixed values.
 TARGET_PERCENT, ALERT_PERCENT = 95.0, 80.0
-PANEL_ROWS = 120
 QUALITY_BUCKETS = (("0-24", 0.0, 0.25), ("25-49", 0.25, 0.5), ("50-74", 0.5, 0.75), ("75-89", 0.75, 0.9), ("90-100", 0.9, None))
 
 
@@ -96,17 +95,16 @@ def freshness_overall(snapshot: DataFrame) -> DataFrame:
 
 
 # -- panels ----------------------------------------------------------------------
-def _newest_per_source(log: DataFrame, time: str, columns: list[str], newest: int) -> DataFrame:
-    """First row per source among the ``newest`` rows of the whole log (the panel's read bound)."""
-    cut = log.orderBy(F.col(time).desc(), F.col("id").desc()).limit(newest)
-    return cut.groupBy("source_slug").agg(F.max_by(F.struct(*columns), F.struct(time, "id")).alias("r")).select(
+def _newest_per_source(log: DataFrame, time: str, columns: list[str]) -> DataFrame:
+    """Newest row per source of the whole log, with partial maxima of one row per source."""
+    return log.groupBy("source_slug").agg(F.max_by(F.struct(*columns), F.struct(time, "id")).alias("r")).select(
         F.col("source_slug").alias("slug"), "r.*")
 
 
-def run_panel(supermarkets: DataFrame, runs: DataFrame, newest: int = PANEL_ROWS) -> DataFrame:
+def run_panel(supermarkets: DataFrame, runs: DataFrame) -> DataFrame:
     latest = _newest_per_source(runs, "started_at", [
         "batch_id", "status", "started_at", "finished_at", "duration_ms", "products_staged", "products_promoted",
-        "products_rejected"], newest)
+        "products_rejected"])
     counts = ("products_staged", "products_promoted", "products_rejected")
     rows = supermarkets.filter("is_active").select("name", "slug").join(latest, "slug", "left")
     return rows.withColumns({
@@ -119,9 +117,9 @@ def health_state(is_healthy: Column, error_type: Column) -> Column:
     return F.when(is_healthy.isNull(), "no_data").when(is_healthy, "healthy").when(known, error_type).otherwise("unknown")
 
 
-def health_panel(supermarkets: DataFrame, health: DataFrame, newest: int = PANEL_ROWS) -> DataFrame:
+def health_panel(supermarkets: DataFrame, health: DataFrame) -> DataFrame:
     latest = _newest_per_source(health, "checked_at", [
-        "checked_at", "is_healthy", "hash_valid", "response_time_ms", "products_returned", "error_type"], newest)
+        "checked_at", "is_healthy", "hash_valid", "response_time_ms", "products_returned", "error_type"])
     rows = supermarkets.filter("is_active").select("name", "slug").join(latest, "slug", "left")
     return rows.withColumns({
         "state": health_state(F.col("is_healthy"), F.col("error_type")),
@@ -213,7 +211,7 @@ def failure_streaks(log: DataFrame, initial: DataFrame | None = None, source: st
     chunks of the same source, so no task ever holds one source's whole log.
     ``initial`` gives the failures (source, initial) counted before this log.
     """
-    chunks = ordered_chunks(log.select("id", source, time, ok), [source, time, "id"])
+    chunks = ordered_chunks(log.select("id", source, time, ok), time)
     inside = Window.partitionBy(source, "chunk").orderBy(time, "id")
     group = chunks.withColumn("_good", F.sum(F.col(ok).cast("int")).over(inside))
     in_group = Window.partitionBy(source, "chunk", "_good").orderBy(time, "id")

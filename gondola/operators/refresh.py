@@ -134,14 +134,14 @@ def capacity_evidence(selected: DataFrame, capacity: DataFrame, evidence: DataFr
 
 
 def select_refresh_rows(evaluated: DataFrame, sample: int, evidence: DataFrame | None = None) -> DataFrame:
-    """First ``sample`` passing rows per source in scan order, with a shortfall flag.
+    """First ``sample`` passing rows per source, least recently checked first, with a shortfall flag.
 
-    The scan order has at most the scan size per source, so the window is bounded.
+    Spark cuts each partition to ``sample`` rows per source before the shuffle.
     """
     passed = evaluated.filter(F.col("status") == "PASS")
     if evidence is not None:
         passed = passed.join(evidence.filter(F.col("status") == "PASS").select("source_slug", "id"), ["source_slug", "id"], "left_semi")
-    order = Window.partitionBy("source_slug").orderBy("scan_ord")
+    order = Window.partitionBy("source_slug").orderBy("last_checked_at", "id")
     chosen = passed.withColumn("pick", F.row_number().over(order).cast("bigint")).filter(F.col("pick") <= sample)
     sizes = chosen.groupBy("source_slug").agg(F.count("*").alias("picked"))
     return chosen.join(sizes, "source_slug").withColumn("short", F.col("picked") < sample)

@@ -341,7 +341,7 @@ SELECT ean FROM (SELECT product_ean AS ean, last_checked_at, id FROM entries WHE
   QUALIFY row_number() OVER (PARTITION BY product_ean ORDER BY last_checked_at DESC, id) = 1)
 ORDER BY last_checked_at DESC, id LIMIT 200""")
 def freshest_candidates(t):
-    return op.freshest_candidates(entries(t), op.candidate_limits(1, 24)[0])
+    return op.freshest_candidates(entries(t), 200)
 
 
 @query("f09_latest_checks", "F9", "sp",

@@ -153,7 +153,7 @@ def fetch_outcomes(t):
 
 @query("a09_seeded_stores", "A9", "supermarkets", """
 WITH seed AS (SELECT 'market-' || n_nationkey AS slug, n_name AS name, 'https://' || lower(n_name) || '.example.com' AS base_url FROM nation)
-SELECT s.id, coalesce(s.slug, d.slug) AS slug, coalesce(d.name, s.name) AS name, coalesce(d.base_url, s.base_url) AS base_url,
+SELECT coalesce(s.id, (SELECT max(id) FROM supermarkets) + row_number() OVER (PARTITION BY s.id IS NULL ORDER BY d.slug)) AS id, coalesce(s.slug, d.slug) AS slug, coalesce(d.name, s.name) AS name, coalesce(d.base_url, s.base_url) AS base_url,
   coalesce(s.is_active, true) AS is_active, coalesce(s.freshness_sla_hours, 12) AS freshness_sla_hours
 FROM supermarkets s FULL JOIN seed d ON d.slug = s.slug""")
 def seeded_stores(t):
@@ -341,7 +341,7 @@ def planned(t: Tables) -> DataFrame:
 
 
 _UPSERT_SQL = f"""{BATCH_SQL},
-upserted AS (SELECT coalesce(x.product_ean, w.ean) AS product_ean, coalesce(x.supermarket_id, w.supermarket_id) AS supermarket_id,
+upserted AS (SELECT coalesce(x.id, -(cast(w.ean AS bigint) * 65536 + w.supermarket_id + 1)) AS id, coalesce(x.product_ean, w.ean) AS product_ean, coalesce(x.supermarket_id, w.supermarket_id) AS supermarket_id,
     CASE WHEN w.ean IS NULL THEN x.price ELSE w.price END::double AS price, CASE WHEN w.ean IS NULL THEN x.is_available ELSE w.is_available END AS is_available,
     CASE WHEN w.ean IS NULL THEN x.sku_id ELSE w.sku_id END AS sku_id,
     CASE WHEN w.ean IS NULL THEN x.last_checked_at ELSE TIMESTAMP '{NOW}' END AS last_checked_at,
@@ -349,27 +349,26 @@ upserted AS (SELECT coalesce(x.product_ean, w.ean) AS product_ean, coalesce(x.su
   FROM state_sp x FULL JOIN winners w ON w.ean = x.product_ean AND w.supermarket_id = x.supermarket_id),
 last AS (SELECT supermarket_product_id AS sid, price, list_price FROM state_history QUALIFY row_number() OVER (
     PARTITION BY supermarket_product_id ORDER BY scraped_at DESC, orderkey DESC, linenumber DESC, suppkey DESC) = 1),
-new_history AS (SELECT w.ean AS product_ean, w.supermarket_id, w.price::double AS price, w.list_price::double AS list_price, l.sid IS NULL AS first_row
+new_history AS (SELECT coalesce(x.id, -(cast(w.ean AS bigint) * 65536 + w.supermarket_id + 1)) AS supermarket_product_id, TIMESTAMP '{NOW}' AS scraped_at, w.ean AS product_ean, w.supermarket_id, w.price::double AS price, w.list_price::double AS list_price, l.sid IS NULL AS first_row
   FROM winners w LEFT JOIN state_sp x ON x.product_ean = w.ean AND x.supermarket_id = w.supermarket_id LEFT JOIN last l ON l.sid = x.id
   WHERE l.sid IS NULL OR w.price IS DISTINCT FROM l.price OR w.list_price IS DISTINCT FROM l.list_price)"""
 
 
 @query("j03_upserted_prices", "J3", BATCH_TABLES, f"WITH {_UPSERT_SQL} SELECT * FROM upserted")
 def upserted_prices(t):
-    return upserted(t).select("product_ean", "supermarket_id", F.col("price").cast("double").alias("price"),
+    return upserted(t).select("id", "product_ean", "supermarket_id", F.col("price").cast("double").alias("price"),
                               "is_available", "sku_id", "last_checked_at", "action")
 
 
 @query("j04_history_on_change", "J4", BATCH_TABLES, f"WITH {_UPSERT_SQL} SELECT * FROM new_history")
 def history_on_change(t):
-    return merge.history_to_append(planned(t)).withColumns({c: F.col(c).cast("double") for c in ("price", "list_price")})
+    return merge.history_to_append(planned(t), NOW).withColumns({c: F.col(c).cast("double") for c in ("price", "list_price")})
 
 
 @query("j05_promoted_staging", "J5", BATCH_TABLES, f"""WITH {BATCH_SQL}
 SELECT id, CASE WHEN status = 'PENDING' THEN 'PROMOTED' ELSE status END AS status FROM evaluated""")
 def promoted_staging(t):
-    rows = batch(t)
-    return merge.promote(rows, rows.filter(F.col("status") == "PENDING")).select("id", "status")
+    return merge.promote(batch(t)).select("id", "status")
 
 
 @query("e17_reconcile_summary", "E17", BATCH_TABLES, f"""WITH {_UPSERT_SQL}
@@ -397,6 +396,46 @@ def legacy_persist(t):
     return rows.groupBy("source_slug", "outcome").agg(F.count("*").alias("rows"))
 
 
+@query("j04_second_batch_adds_nothing", "J3 J4", BATCH_TABLES, "SELECT 0::bigint AS added, 0::bigint AS inserted")
+def second_batch(t):
+    """The same batch again, against the tables the first one leaves."""
+    current = upserted(t).drop("action")
+    last = merge.history_to_append(planned(t), NOW).select(
+        "supermarket_product_id", F.col("price").alias("last_price"), F.col("list_price").alias("last_list_price"))
+    kept = catalog.latest_history(t.state_history).join(last, "supermarket_product_id", "left_anti").select(*last.columns)
+    rows = winners(t).select("ean", "source_slug", "price", "list_price")
+    again = merge.planned_rows(rows, last.unionByName(kept), t.supermarkets, current)
+    return again.agg(F.count_if("changed").alias("added"), F.count_if(F.col("id").isNull()).alias("inserted"))
+
+
+_LEGACY_SQL = f"""
+kept AS (SELECT * FROM batch WHERE ean IN (SELECT ean FROM state_products) OR ean IN (SELECT ean FROM batch WHERE source_slug = 'market-0'))"""
+
+
+def legacy(t: Tables):
+    return merge.legacy_writes(t.batch_candidates, t.state_products, "market-0", NOW)
+
+
+@query("j07_legacy_products", "J7", "batch state_products", f"""WITH {_LEGACY_SQL}
+SELECT ean, name, brand, description, category, image_url FROM kept WHERE source_slug = 'market-0'
+QUALIFY row_number() OVER (PARTITION BY ean ORDER BY id DESC) = 1""")
+def legacy_products(t):
+    return legacy(t)[0].select("ean", "name", "brand", "description", "category", "image_url")
+
+
+@query("j07_legacy_prices", "J7", "batch state_products", f"""WITH {_LEGACY_SQL}
+SELECT ean, source_slug, price::double AS price, is_available, sku_id, TIMESTAMP '{NOW}' AS last_checked_at FROM kept
+QUALIFY row_number() OVER (PARTITION BY ean, source_slug ORDER BY id DESC) = 1""")
+def legacy_prices(t):
+    return legacy(t)[1].select("ean", "source_slug", F.col("price").cast("double").alias("price"), "is_available", "sku_id", "last_checked_at")
+
+
+@query("j07_legacy_history", "J7", "batch state_products", f"""WITH {_LEGACY_SQL}
+SELECT ean, source_slug, price::double AS price, TIMESTAMP '{NOW}' AS scraped_at FROM kept""")
+def legacy_history(t):
+    return legacy(t)[2].select("ean", "source_slug", F.col("price").cast("double").alias("price"), "scraped_at")
+
+
 @query("j08_history_retention", "J8", "observations", f"""
 SELECT count(*) FILTER (scraped_at < TIMESTAMP '{NOW}' - INTERVAL 90 DAY) AS deletable, count(*) FILTER (scraped_at >= TIMESTAMP '{NOW}' - INTERVAL 90 DAY) AS kept FROM observations""")
 def history_retention(t):
@@ -409,7 +448,7 @@ def staging_kept(t):
 
 
 @query("g10_oldest_work_list", "G10", "sp products supermarkets", """
-SELECT DISTINCT s.slug, p.name FROM (SELECT * FROM sp ORDER BY last_checked_at, id LIMIT 500) o
+SELECT DISTINCT s.slug, p.name FROM (SELECT * FROM sp QUALIFY row_number() OVER (PARTITION BY supermarket_id ORDER BY last_checked_at NULLS FIRST, id) <= 500) o
 JOIN products p ON p.ean = o.product_ean JOIN supermarkets s ON s.id = o.supermarket_id WHERE p.name <> ''""")
 def oldest_work_list(t):
     return ingest.oldest_work_list(t.supermarket_products, t.products, t.supermarkets)

@@ -65,14 +65,12 @@ def freshness_overall(t):
 
 
 _PANEL_SQL = """
-newest AS (SELECT * FROM runs ORDER BY started_at DESC, id DESC LIMIT 120),
-last AS (SELECT * FROM newest QUALIFY row_number() OVER (PARTITION BY source_slug ORDER BY started_at DESC, id DESC) = 1),
+last AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY source_slug ORDER BY started_at DESC, id DESC) = 1),
 run_panel AS (SELECT s.slug, s.name, l.batch_id, coalesce(l.status, 'NO_DATA') AS status, l.started_at, coalesce(products_staged, 0) AS products_staged,
   coalesce(products_rejected, 0) AS products_rejected,
   CASE WHEN products_staged > 0 THEN floor(products_rejected::double / products_staged * 100 * 10 + 0.5)/10 ELSE 0 END AS rejection_rate
   FROM supermarkets s LEFT JOIN last l ON l.source_slug = s.slug WHERE s.is_active),
-hnew AS (SELECT * FROM health ORDER BY checked_at DESC, id DESC LIMIT 120),
-hlast AS (SELECT * FROM hnew QUALIFY row_number() OVER (PARTITION BY source_slug ORDER BY checked_at DESC, id DESC) = 1),
+hlast AS (SELECT * FROM health QUALIFY row_number() OVER (PARTITION BY source_slug ORDER BY checked_at DESC, id DESC) = 1),
 health_panel AS (SELECT s.slug, CASE WHEN is_healthy IS NULL THEN 'no_data' WHEN is_healthy THEN 'healthy'
   WHEN error_type IN ('blocked','hash_invalid','timeout','network') THEN error_type ELSE 'unknown' END AS state,
   coalesce(is_healthy, false) AS is_healthy, coalesce(hash_valid, false) AS hash_valid, response_time_ms,

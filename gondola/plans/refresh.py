@@ -202,18 +202,20 @@ def _guards(kind: str) -> str:
 
 
 def _evaluated_sql(kind: str) -> str:
-    return f"""{_SCAN_SQL},
+    return f"""{_CLASSIFIED},
+scan AS (SELECT * FROM bucketed WHERE rankable),
 lc AS (SELECT source_slug, sku_id, count(*) AS n FROM live WHERE sku_id IS NOT NULL GROUP BY 1, 2),
 uq AS (SELECT source_slug, sku_id, count(*) AS c FROM rows WHERE sku_id IS NOT NULL GROUP BY 1, 2),
-evaluated AS (SELECT r.id, r.source_slug, r.ean, r.sku_id, r.scan_ord, r.price, l.price AS live_price, l.list_price AS live_list, l.is_available AS live_available, {_guards(kind)} AS reasons
+evaluated AS (SELECT r.id, r.source_slug, r.ean, r.sku_id, r.last_checked_at AS checked_at, r.price, l.price AS live_price, l.list_price AS live_list, l.is_available AS live_available, {_guards(kind)} AS reasons
   FROM scan r LEFT JOIN lc USING (source_slug, sku_id) LEFT JOIN uq u ON u.source_slug = r.source_slug AND u.sku_id = r.sku_id
   LEFT JOIN live l ON l.source_slug = r.source_slug AND l.sku_id = r.sku_id AND lc.n = 1),
 judged AS (SELECT *, CASE WHEN len(reasons) = 0 THEN 'PASS' ELSE 'FAIL' END AS status FROM evaluated)"""
 
 
 def scanned(t: Tables, kind: str) -> DataFrame:
+    """All rankable rows with the guards they fail."""
     rows = rows_of(t)
-    return op.evaluate_rows(fo.oldest_rankable(rows, SCAN), rows, live_of(t), hosts_of(t), kind)
+    return op.evaluate_rows(rows.filter(fo.is_rankable()), rows, live_of(t), hosts_of(t), kind)
 
 
 def _register_guards(kind: str) -> None:
@@ -275,7 +277,7 @@ def capacity_verdict(t):
 
 
 _PICK_SQL = f"""{_evaluated_sql('prewrite')},
-picked AS (SELECT *, row_number() OVER (PARTITION BY source_slug ORDER BY scan_ord) AS pick FROM judged WHERE status = 'PASS' QUALIFY pick <= {BATCH})"""
+picked AS (SELECT *, row_number() OVER (PARTITION BY source_slug ORDER BY checked_at NULLS FIRST, id) AS pick FROM judged WHERE status = 'PASS' QUALIFY pick <= {BATCH})"""
 
 
 @query("j12_refresh_selection", "J12", "rows live", f"""WITH {_PICK_SQL}
@@ -285,15 +287,14 @@ def refresh_selection(t):
 
 
 @query("c14_capacity_evidence", "C14", "rows live", f"""WITH {_CAPACITY_SQL},
-man AS (SELECT s.id, s.source_slug, s.scan_ord, s.product_name FROM scan s),
-chosen AS (SELECT id, source_slug FROM scan WHERE scan_ord % 2 = 0)
+chosen AS (SELECT id, source_slug FROM scan QUALIFY row_number() OVER (PARTITION BY source_slug ORDER BY last_checked_at NULLS FIRST, id) <= {BATCH})
 SELECT c.source_slug, c.id, array_to_string(list_filter([CASE WHEN NOT writer_supported THEN 'not_writer_supported' END, CASE WHEN classification = 'excluded' THEN 'source_excluded' END,
   CASE WHEN k.status = 'FAIL' THEN 'source_failed' END, CASE WHEN viable_rows < {BATCH} THEN 'too_few_viable_rows' END, CASE WHEN recommended_batch < {BATCH} THEN 'batch_below_sample' END,
   CASE WHEN j.status <> 'PASS' THEN 'row_not_passed' END], lambda x: x IS NOT NULL), ',') AS reasons
 FROM chosen c JOIN capacity k USING (source_slug) JOIN judged j ON j.id = c.id""")
 def capacity_evidence(t):
     evaluated = scanned(t, "capacity")
-    chosen = fo.oldest_rankable(rows_of(t), SCAN).filter(F.col("scan_ord") % 2 == 0)
+    chosen = fo.oldest_rankable(rows_of(t), BATCH)
     return op.capacity_evidence(chosen, capacity_of(t), evaluated, BATCH).withColumn("reasons", F.array_join("reasons", ","))
 
 

@@ -1,4 +1,4 @@
-"""Reliable checkpoints and order-preserving splits of skewed logs."""
+"""Order-preserving splits of skewed logs, and the shared folder of streams."""
 
 from __future__ import annotations
 
@@ -7,6 +7,8 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+HOUR = 3_600_000_000
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``; a temporary one in local mode only."""
@@ -18,21 +20,13 @@ def shared_folder(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    context = spark.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(shared_folder(spark))
-
-
-def ordered_chunks(rows: DataFrame, order: list[str]) -> DataFrame:
-    """Split rows into contiguous ranges of a unique sort order, numbered by ``chunk``.
+def ordered_chunks(rows: DataFrame, time: str) -> DataFrame:
+    """Rows with ``chunk``, the hour they fall into: contiguous pieces of every key's order.
 
-    A range never depends on how many rows share a key, so one hot source spreads
-    over many chunks. The split is checkpointed because range bounds are sampled:
-    everything derived from it must see the same chunk of a row.
+    The hour comes from the row itself, so all plans and retries agree on it, and
+    a task holds at most one key's rows of one hour.
     """
-    ensure_checkpoint_dir(rows.sparkSession)
-    return rows.repartitionByRange(*order).withColumn("chunk", F.spark_partition_id()).checkpoint()
+    return rows.withColumn("chunk", F.floor(F.unix_micros(time) / HOUR))
 
 
 def carried(chunks: DataFrame, keys: list[str], totals: dict) -> DataFrame:
@@ -51,10 +45,10 @@ def before(keys: list[str]) -> "Window":
 def previous_in_order(rows: DataFrame, key: str, order: list[str], column: str, out: str) -> DataFrame:
     """``column`` of the preceding row of the same key, without one task per key.
 
-    A lag inside contiguous chunks; the first row of a chunk takes the key's last
+    ``order`` starts with a timestamp. A lag inside contiguous chunks; the first row of a chunk takes the key's last
     value from its nearest earlier chunk.
     """
-    chunks = ordered_chunks(rows, [key, *order])
+    chunks = ordered_chunks(rows, order[0])
     inside = Window.partitionBy(key, "chunk").orderBy(*order)
     local = chunks.withColumn("_n", F.row_number().over(inside)).withColumn("_lag", F.lag(F.struct(column)).over(inside))
     ends = carried(chunks, [key], {"_end": F.max_by(F.struct(column), F.struct(*order))})

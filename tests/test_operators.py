@@ -59,14 +59,14 @@ def test_merge_plan_adds_up_and_is_idempotent(tables):
     assert actions["insert"] + actions["update"] == winners.count()
     assert actions["update"] + actions["keep"] == tables.state_supermarket_products.count()
     first = ingest_plans.planned(tables)
-    added = merge.history_to_append(first)
+    added = merge.history_to_append(first, "2001-11-05 00:00:00")
     assert 0 < added.count() <= winners.count()
     # after appending, the newest history equals every winner, so a second run adds nothing
-    current = rows.withColumn("id", F.coalesce("id", F.hash("product_ean", "supermarket_id").cast("bigint")))
-    last = current.select(
+    assert rows.filter("id IS NULL").count() == 0 and rows.select("id").distinct().count() == rows.count()
+    last = rows.select(
         F.col("id").alias("supermarket_product_id"), F.col("price").alias("last_price"), F.col("list_price").alias("last_list_price"))
-    again = merge.planned_rows(winners.select("ean", "source_slug", "price", "list_price"), last, tables.supermarkets, current)
-    assert merge.history_to_append(again).count() == 0
+    again = merge.planned_rows(winners.select("ean", "source_slug", "price", "list_price"), last, tables.supermarkets, rows)
+    assert merge.history_to_append(again, "2001-11-05 00:00:00").count() == 0
 
 
 def test_drift_classes_partition_the_live_rows(tables):
@@ -140,7 +140,7 @@ def skewed_log(n=4000, seed=3):
 def test_failure_streaks_across_chunks(spark):
     log = skewed_log()
     df = spark.createDataFrame(log, "id bigint, source_slug string, t bigint, is_healthy boolean").withColumn(
-        "checked_at", F.timestamp_seconds("t")).repartition(6)
+        "checked_at", F.timestamp_seconds(F.col("t") * 900)).repartition(6)
     initial = spark.createDataFrame([("hot", 5)], "source_slug string, initial bigint")
     want, streak = {}, Counter({"hot": 5})
     for i, source, _, good in log:
@@ -156,7 +156,7 @@ def test_failure_streaks_across_chunks(spark):
 
 def test_previous_in_order_across_chunks(spark):
     log = skewed_log()
-    df = spark.createDataFrame(log, "id bigint, k string, t bigint, v boolean").repartition(6)
+    df = spark.createDataFrame(log, "id bigint, k string, t bigint, v boolean").withColumn("t", F.timestamp_seconds(F.col("t") * 900)).repartition(6)
     last, want = {}, {}
     for i, key, _, v in log:
         want[i], last[key] = last.get(key), v
