@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -92,18 +94,21 @@ def rollback_tables(plans: dict[str, DataFrame], tables: dict[str, DataFrame], k
 
 def rollback_report(plans: dict[str, DataFrame], before: dict[str, DataFrame], after: dict[str, DataFrame],
                     keys: dict[str, list[str]]) -> DataFrame:
-    """Per table: planned keys, rows removed, rows left behind, and whether the rollback is complete."""
-    from functools import reduce
-
-    def one(name: str) -> DataFrame:
-        target = plans[name].select(*keys[name]).distinct()
-        hit = before[name].join(target, keys[name], "left_semi").agg(F.count("*").alias("n"))
-        left = after[name].join(target, keys[name], "left_semi").agg(F.count("*").alias("n"))
-        return target.agg(F.count("*").alias("planned")).select(
-            F.lit(name).alias("table"), "planned", hit.scalar().alias("present"), left.scalar().alias("remaining"))
-
-    rows = reduce(DataFrame.unionByName, [one(name) for name in plans])
-    return rows.withColumn("deleted", F.col("present") - F.col("remaining")).withColumn(
+    """Per table: planned keys, rows removed, rows left behind, and whether the rollback is complete.
+
+    Planned, earlier and later rows of all tables meet in one aggregation by (table, key).
+    """
+    def tagged(rows: DataFrame, name: str, tag: str) -> DataFrame:
+        key = F.to_json(F.struct(*keys[name]))
+        return rows.select(F.lit(name).alias("table"), key.alias("key"), *[F.lit(int(t == tag)).alias(t) for t in ("planned", "present", "remaining")])
+
+    every = reduce(DataFrame.unionAll, [tagged(rows, name, tag) for name in plans for rows, tag in (
+        (plans[name], "planned"), (before[name], "present"), (after[name], "remaining"))])
+    by_key = every.groupBy("table", "key").agg(F.max("planned").alias("planned"), F.sum("present").alias("present"), F.sum("remaining").alias("remaining"))
+    rows = by_key.groupBy("table").agg(F.sum("planned").alias("planned"), *[
+        F.sum(F.col(c) * F.col("planned")).alias(c) for c in ("present", "remaining")])
+    return rows.withColumn("deleted", F.col("present") - F.col("remaining")).withColumns({
+        "planned": F.col("planned").cast("bigint")}).withColumn(
         "status", F.when((F.col("deleted") != F.col("planned")) | (F.col("remaining") > 0), "FAIL").otherwise("PASS"))
 
 

@@ -6,7 +6,7 @@ from importlib import import_module
 
 from .registry import QUERIES, Query
 
-AREAS = ("catalog", "baskets", "ingest", "monitor", "refresh", "identity", "audits", "streams")
+AREAS = ("catalog", "baskets", "ingest", "monitor", "refresh", "identity", "audits", "streams", "writes")
 
 
 def load() -> dict[str, Query]:

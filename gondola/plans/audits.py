@@ -10,6 +10,7 @@ from ..operators import audits as op
 from ..operators import discovery
 from ..operators import refresh as rf
 from ..operators import freshness as fo
+from ..sources import sinks
 from ..sources.derive import NOW, Tables, ean_of, slug_of
 from .ingest import EVALUATED_SQL, _UPSERT_SQL, BATCH_TABLES, evaluated, upserted, winners
 from .refresh import _CAPACITY_SQL, WRITERS, capacity_of, hosts_of, live_of, rows_of
@@ -231,7 +232,7 @@ pr AS (SELECT * FROM audit WHERE classification LIKE '%discovery')"""
 SELECT 'products' AS "table", idempotency_key, ean, NULL::double AS price FROM pp UNION ALL SELECT 'supermarket_products', idempotency_key, ean, price::double FROM pr
 UNION ALL SELECT 'price_history', idempotency_key, ean, price::double FROM pr""")
 def discovery_plan(t):
-    plans = discovery.planned_creates(audit_of(t), NOW)
+    plans = _created(t)
     part = lambda name, price: plans[name].select(F.lit(name).alias("table"), "idempotency_key", "ean", price.cast("double").alias("price"))
     return part("products", F.lit(None)).unionByName(part("supermarket_products", F.col("price"))).unionByName(part("price_history", F.col("price")))
 
@@ -253,8 +254,13 @@ def apply_races(t):
 _RB_KEYS = {"price_history": ["source_slug", "ean"], "supermarket_products": ["source_slug", "ean"], "products": ["ean"]}
 
 
+def _created(t: Tables) -> dict[str, DataFrame]:
+    """The insert plans over the audit as the artifact it is: written once, then read by each table's plan."""
+    return discovery.planned_creates(sinks.written(audit_of(t), "discovery-audit"), NOW)
+
+
 def _rollback_inputs(t: Tables):
-    plans = discovery.planned_creates(audit_of(t), NOW)
+    plans = _created(t)
     ordered = {n: plans[n] for n in _RB_KEYS}  # children first
     rows = t.supermarket_products.select(slug_of(F.col("supermarket_id")).alias("source_slug"), F.col("product_ean").alias("ean"), "id")
     before = {"price_history": rows, "supermarket_products": rows, "products": t.products.select("ean")}
@@ -277,7 +283,7 @@ a AS (SELECT source_slug, ean, CASE WHEN right(ean, 2) = '17' THEN price + 1 ELS
 SELECT source_slug, ean, CASE WHEN a.price IS NULL AND source_slug <> 'market-x' THEN 'missing' WHEN source_slug = 'market-x' THEN 'unexpected' WHEN a.price <> p.price THEN 'price_differs' ELSE '' END AS reasons
 FROM pr p FULL JOIN a USING (source_slug, ean)""")
 def created_row_audit(t):
-    plans = discovery.planned_creates(audit_of(t), NOW)
+    plans = _created(t)
     plan, end = plans["supermarket_products"], F.substring("ean", -2, 2)
     actual = plan.filter(end != "19").select(
         "source_slug", "ean", F.when(end == "17", F.col("price") + 1).otherwise(F.col("price")).cast("decimal(10,2)").alias("price"), "sku_id")

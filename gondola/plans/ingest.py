@@ -128,7 +128,7 @@ def last_fetch_wins(t):
     return payloads.last_fetch_wins(fetched)
 
 
-@query("a05_allowlisted_rows", "A5 A6 H4", "staging state_products", """
+@query("a05_allowlisted_rows", "A5 H4", "staging state_products", """
 SELECT id, ean, floor(price::double*100+0.5)/100 AS price, 'PENDING' AS status FROM staging WHERE ean IN (SELECT ean FROM state_products)""")
 def allowlisted_rows(t):
     kept = ingest.keep_listed_eans(t.staging_product, t.state_products)
@@ -319,7 +319,7 @@ def new_products(t):
     return rows.withColumn("images", F.array_join("images", "|"))
 
 
-@query("j02_protective_merge", "C15 J2", BATCH_TABLES, f"""WITH {BATCH_SQL}
+@query("j02_protective_merge", "J2", BATCH_TABLES, f"""WITH {BATCH_SQL}
 SELECT p.ean, p.name, coalesce(nullif(trim(p.brand),''), c.brand) AS brand, coalesce(nullif(p.description,''), c.description) AS description,
   coalesce(nullif(p.category,''), c.category) AS category, coalesce(nullif(p.image_url,''), c.image_url) AS image_url,
   coalesce((p.brand IS NULL AND c.brand IS NOT NULL) OR (p.description IS NULL AND c.description IS NOT NULL)

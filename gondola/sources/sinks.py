@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import TABLES
+from .stable import shared_folder
 
 
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -27,6 +30,27 @@ def append_health(rows: DataFrame, root: str) -> None:
     rows.write.mode("append").parquet(f"{root}/source_health")
 
 
+def drop_partitions(spark: SparkSession, path: str, column: str, before: str) -> list[str]:
+    """Remove the partition folders whose value sorts before ``before``; returns the values removed.
+
+    Only folder names are read, so the cost follows the number of partitions, not the rows.
+    """
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [s.getPath() for s in files.listStatus(folder) if s.isDirectory() and s.getPath().getName().startswith(f"{column}=")]
+    old = [p for p in found if p.getName().split("=", 1)[1] < before]
+    for p in old:
+        files.delete(p, True)
+    return sorted(p.getName().split("=", 1)[1] for p in old)
+
+
+def written(rows: DataFrame, name: str) -> DataFrame:
+    """Rows through a table of their own in the shared folder, for inputs that several plans read."""
+    path = f"{shared_folder(rows.sparkSession)}/{name}-{uuid4().hex}"
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def write_snapshot(rows: DataFrame, root: str, name: str, version: str) -> str:
     """A complete new version of a table in its own directory; readers switch after success."""
     path = f"{root}/{name}/version={version}"
