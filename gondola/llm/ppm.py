@@ -61,8 +61,37 @@ def context_keys(texts: list[bytes], order: int = ORDER) -> tuple[np.ndarray, np
     return keys[own[order:]], np.cumsum(sizes + 1)
 
 
-def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
-    return mixed(keys) % U(buckets)
+def bucket_of(keys: np.ndarray, buckets: int, order: int) -> np.ndarray:
+    """By the three oldest symbols, so that neighbouring keys of a bucket are alike and compress."""
+    return mixed(keys >> U(BITS * max(0, order - 2))) % U(buckets)
+
+
+def planes(values: np.ndarray) -> bytes:
+    """All first bytes, then all second bytes, and so on: sorted keys and small counts compress well this way."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T).tobytes()
+
+
+def from_planes(data: bytes, kind) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
+class Places:
+    """Positions of known keys in a sorted array: one probe of a sparse table, a binary search for what it misses."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys, self.shift = keys, U(64 - max(10, (8 * len(keys)).bit_length()))
+        self.table = np.zeros(1 << (64 - int(self.shift)), np.int32)
+        self.table[self._slot(keys)] = np.arange(len(keys), dtype=np.int32)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys * U(0x9E3779B97F4A7C15)) >> self.shift
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        at = self.table[self._slot(keys)]
+        missed = np.flatnonzero(self.keys[at] != keys)
+        at[missed] = np.searchsorted(self.keys, keys[missed])
+        return at
 
 
 class Chunk:
@@ -76,17 +105,16 @@ class Chunk:
         self.buckets, self.order = buckets, order
 
     def contexts(self) -> tuple[np.ndarray, np.ndarray]:
-        key, count = np.zeros(0, U), np.zeros(0, np.int64)
+        keys, counts = [np.zeros(0, U)], [np.zeros(0, np.int64)]
         for held in (False, True):
             texts = [t for t, h in zip(self.texts, self.held) if h == held]
             for a, b in slices(texts):
                 k, n = np.unique(context_keys(texts[a:b], self.order)[0], return_counts=True)
-                if held:
-                    n[:] = 0
-                every = np.concatenate([key, k])
-                key, where = np.unique(every, return_inverse=True)
-                count = np.bincount(where, np.concatenate([count, n]), len(key)).astype(np.int64)
-        sort = np.argsort(bucket_of(key, self.buckets), kind="stable")
+                keys.append(k)
+                counts.append(n * (not held))
+        key, where = np.unique(np.concatenate(keys), return_inverse=True)
+        count = np.bincount(where, np.concatenate(counts), len(key)).astype(np.int64)
+        sort = np.argsort(bucket_of(key, self.buckets, self.order), kind="stable")
         return key[sort], count[sort]
 
     def tokens(self) -> list[list[tuple[bytes, int]]]:
@@ -106,8 +134,8 @@ class Chunk:
 
     def questions(self) -> list[Row]:
         key, count = self.contexts()
-        ends = np.searchsorted(bucket_of(key, self.buckets), np.arange(self.buckets + 1, dtype=U))
-        rows = [Row(2 * b + CONTEXTS, self.number, key[i:j].tobytes(), count[i:j].astype(np.uint32).tobytes())
+        ends = np.searchsorted(bucket_of(key, self.buckets, self.order), np.arange(self.buckets + 1, dtype=U))
+        rows = [Row(2 * b + CONTEXTS, self.number, planes(key[i:j]), planes(count[i:j].astype(np.uint32)))
                 for b, (i, j) in enumerate(zip(ends[:-1], ends[1:])) if j > i]
         for b, pairs in enumerate(self.tokens()):
             if pairs:
@@ -120,6 +148,7 @@ class Chunk:
         logs = joined([r for r in told if r.bucket % 2 == CONTEXTS], "data", np.float32)
         sort = np.argsort(key)
         key, logs = key[sort], logs[sort].astype(float)
+        places = Places(key)
         answers = {r.bucket // 2: r for r in told if r.bucket % 2 == TOKENS}
         seen: dict[bytes, float] = {}
         for b, pairs in enumerate(self.tokens()):
@@ -129,7 +158,7 @@ class Chunk:
         score = np.zeros(len(self.texts))
         for a, b in slices(self.texts):
             keys, ends = context_keys(self.texts[a:b], self.order)
-            total = np.concatenate([[0.0], np.cumsum(logs[np.searchsorted(key, keys)])])[np.concatenate([[0], ends])]
+            total = np.concatenate([[0.0], np.cumsum(logs[places.find(keys)])])[np.concatenate([[0], ends])]
             score[a:b] = np.diff(total)
         base, tokens, known = [], [], []
         for text in self.texts:
@@ -149,8 +178,8 @@ def counted(asked: DataFrame) -> DataFrame:
     """(bucket, key, c): training counts of all keys that any chunk asks for."""
     def run(table: pa.Table) -> pa.Table:
         (_, rows), = told_of(table).items()
-        key, where = np.unique(joined(rows, "data", U), return_inverse=True)
-        count = np.bincount(where, joined(rows, "more", np.uint32), len(key)).astype(np.int64)
+        key, where = np.unique(np.concatenate([from_planes(r.data, U) for r in rows]), return_inverse=True)
+        count = np.bincount(where, np.concatenate([from_planes(r.more, np.uint32) for r in rows]), len(key)).astype(np.int64)
         return pa.table({"bucket": pa.array(np.full(len(key), rows[0].bucket)), "key": pa.array(key.view(np.int64)), "c": pa.array(count)})
 
     return asked.where(F.col("bucket") % 2 == CONTEXTS).groupBy("bucket").applyInArrow(run, COUNTED)
@@ -215,7 +244,7 @@ def answered(asked: DataFrame, codes: DataFrame) -> DataFrame:
             sort = np.argsort(key)
             key, log = key[sort], log[sort]
             for r in rows:
-                out.append((r.bucket, r.bucket, r.chunk, number, log[np.searchsorted(key, np.frombuffer(r.data, U))].tobytes(), b"", b""))
+                out.append((r.bucket, r.bucket, r.chunk, number, log[np.searchsorted(key, from_planes(r.data, U))].tobytes(), b"", b""))
         else:
             total: Counter = Counter()
             for r in rows:
@@ -228,6 +257,8 @@ def answered(asked: DataFrame, codes: DataFrame) -> DataFrame:
                 words = 0
         return _table(out)
 
+    # counts of contexts have done their work
+    asked = asked.withColumn("more", F.when(F.col("bucket") % 2 == TOKENS, F.col("more")).otherwise(F.lit(b"")))
     return asked.groupBy("bucket").cogroup(codes.groupBy("bucket")).applyInArrow(run, ROWS)
 
 
