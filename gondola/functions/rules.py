@@ -18,10 +18,3 @@ def reasons(checks: list[tuple[str, Column]]) -> Column:
 
 def verdict_of(fails: Column, warns: Column) -> Column:
     return F.when(fails, "FAIL").when(warns, "WARN").otherwise("PASS")
-
-
-SEVERITY_RANK = ("CRITICAL", "HIGH", "MEDIUM", "LOW", "INFO")
-
-
-def severity_rank(severity: Column) -> Column:
-    return F.coalesce(F.nullif(F.array_position(F.array(*[F.lit(s) for s in SEVERITY_RANK]), severity), F.lit(0)), F.lit(99))

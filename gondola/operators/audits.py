@@ -9,11 +9,12 @@ from ..functions.freshness import at
 from ..functions.identity import four_decimals
 from ..functions.numeric import drift_percent, positive
 from ..functions.quality import has_text
-from ..functions.rules import reasons, severity_rank, verdict_of
+from ..functions.rules import reasons, verdict_of
 from ..functions.text import has_broken_text
 from ..functions.web import url_host
 from ..sources.stable import previous_in_order
 
+# Text fields that are searched for broken characters.
 TEXT_FIELDS = ("name", "brand", "description", "category", "reference_unit")
 
 
@@ -241,8 +242,7 @@ TRANSACTION_LOST = "transaction not found|p2028"
 POOL_EXHAUSTED = "timed out fetching a new connection|connection pool|pool exhaustion|p2024"
 TIMED_OUT = "timeout|timed out|transaction api error"
 STALE_EVIDENCE = "prewrite report is stale|maximum age is 15 minutes|stale prewrite"
-MISMATCH = ("hash mismatch|row ids? mismatch|product eans? mismatch|sku ids? mismatch"
-            "|confirmation.*mismatch|mismatch.*confirmation")
+MISMATCH = "hash mismatch|row ids? mismatch|product eans? mismatch|sku ids? mismatch|confirmation.*mismatch|mismatch.*confirmation"
 
 
 def alert_policy(spark: SparkSession) -> DataFrame:
@@ -272,7 +272,7 @@ def classify_alerts(results: DataFrame, now, max_prewrite_minutes: int = 15) ->
         ("prewrite_stale", ((kind == "prewrite") & stale_age) | (error & text.rlike(STALE_EVIDENCE))),
         ("confirmation_mismatch", error & text.rlike(MISMATCH))]
     found = results.select("id", "source_slug", F.explode(reasons(rules)).alias("condition"))
-    return found.join(alert_policy(results.sparkSession), "condition").orderBy(severity_rank(F.col("severity")), "id", "condition")
+    return found.join(alert_policy(results.sparkSession), "condition")
 
 
 def missing_artifacts(operations: DataFrame, results: DataFrame, required: dict[str, str]) -> DataFrame:
@@ -332,6 +332,7 @@ def ledger_transitions(log: DataFrame) -> DataFrame:
 
 
 # -- operations ------------------------------------------------------------------------------
+# Results without which an operation is incomplete.
 REQUIRED_KINDS = ("manifest", "prewrite", "active_write", "postwrite")
 
 

@@ -11,6 +11,7 @@ from ..functions import freshness as fr
 from ..functions import promo
 from ..functions.text import contains_ignore_case, slugify, strip_accents
 
+# Names of the public orderings.
 SORTS = ("relevance", "discount", "price-asc", "price-desc", "updated")
 
 # Line colors of the price chart, reused in a cycle.
@@ -351,8 +352,9 @@ def price_history_points(history: DataFrame, supermarkets: DataFrame, now, days:
 
 
 def pivot_history(points: DataFrame, slugs: list[str]) -> DataFrame:
-    """Wide form on a closed list of stores."""
-    return points.groupBy("ean", "day").pivot("slug", slugs).agg(F.max("price"))
+    """Wide form on a closed list of stores; a price of any other store is an error, not a gap."""
+    known = F.when(F.col("slug").isin(slugs), F.col("slug")).otherwise(F.raise_error(F.concat(F.lit("store not listed: "), "slug")))
+    return points.withColumn("slug", known).groupBy("ean", "day").pivot("slug", slugs).agg(F.max("price"))
 
 
 # -- product detail ------------------------------------------------------------

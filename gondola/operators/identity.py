@@ -178,7 +178,7 @@ def stratified_sample(candidates: DataFrame, seed: str, size: int) -> DataFrame:
 
 
 def triage_class() -> Column:
-    """Class of a reviewed item by precedence of its signals."""
+    """Class of a reviewed item by precedence of its signals (class names are fixed values)."""
     return (F.when(F.col("artifact"), "source_or_candidate_artifact")
             .when(F.col("alternate_identity"), "already_present_alternate_identity")
             .when(F.col("variant"), "equivalent_variant_or_pack")

@@ -278,7 +278,7 @@ def run_history(runs: DataFrame, rows: int = 20) -> DataFrame:
 # -- promotions ------------------------------------------------------------------
 def admin_promotions(promotions: DataFrame, bridge: DataFrame, now, status: str | None = None, kind: str | None = None,
                      supermarket_id: int | None = None, query: str | None = None) -> DataFrame:
-    """Filtered listing in admin order with sorted EANs; here expired does not look at the active flag."""
+    """Filtered listing with sorted EANs; here expired does not look at the active flag."""
     t, rows = at(now), promotions
     rules = {
         "active": promo.running(F.col("is_active"), F.col("start_date"), F.col("end_date"), now),
@@ -300,7 +300,7 @@ def admin_promotions(promotions: DataFrame, bridge: DataFrame, now, status: str
     return rows.join(listed, "id", "left").withColumns({
         "eans": F.coalesce("eans", F.expr("array()")),
         "lifecycle": promo.lifecycle(F.col("is_active"), F.col("start_date"), F.col("end_date"), now),
-    }).orderBy(F.col("is_active").desc(), F.col("start_date").desc_nulls_first(), F.col("id").desc())
+    })
 
 
 def promotion_stats(promotions: DataFrame, now) -> DataFrame:

@@ -107,7 +107,7 @@ _SCORE_SQL = """CASE WHEN ean = '{q}' THEN 100 WHEN lower(name) = '{q}' THEN 95
        f"WITH {SUMMARY_SQL} SELECT s.*, p.name, p.brand, p.category FROM summary s JOIN products p USING (ean)")
 def product_price_summary(t):
     found = op.product_list(entries(t), t.products, ProductFilters())
-    return found.drop("image_url").orderBy(*op.public_order(ProductFilters()))
+    return found.drop("image_url")
 
 
 @query("b01_product_search", "B1", "entries products", """

@@ -29,17 +29,28 @@ def _is_product(node: Column) -> Column:
 def find_product_records(payloads: DataFrame, max_depth: int = 10) -> DataFrame:
     """Every object in a JSON payload that has ``productName`` or ``items``, nested hits too.
 
-    The payload is parsed once and walked level by level inside the row; a payload
-    nested deeper than ``max_depth`` containers raises an error instead of losing records.
+    The payload is parsed once and walked level by level inside the row. What lies deeper than
+    ``max_depth`` containers is not searched; ``quarantined_payloads`` names those payloads.
     """
-    root = F.filter(F.array(F.try_parse_json("raw")), lambda v: v.isNotNull())
-    hits = _walk(root, _is_product, _children, max_depth, "payload")
+    hits = _walk(_root(), _is_product, _children, max_depth)["hits"]
     return payloads.select(*payloads.drop("raw").columns, F.posexplode(hits).alias("pos", "_v")).withColumn(
         "record", F.to_json("_v")).drop("_v")
 
 
-def _walk(roots: Column, keep, children, max_depth: int, what: str) -> Column:
-    """Kept nodes of all levels in breadth-first order, as one fold so no level is evaluated twice."""
+def _root() -> Column:
+    return F.filter(F.array(F.try_parse_json("raw")), lambda v: v.isNotNull())
+
+
+def quarantined_payloads(payloads: DataFrame, max_depth: int = 10) -> DataFrame:
+    """Payloads that hold containers below ``max_depth`` levels, for a look by hand; they don't stop the others."""
+    return payloads.filter(_walk(_root(), _is_product, _children, max_depth)["deeper"])
+
+
+def _walk(roots: Column, keep, children, max_depth: int) -> Column:
+    """``hits``: kept nodes of all levels in breadth-first order; ``deeper``: whether levels were left.
+
+    One fold, so no level is evaluated twice.
+    """
     none = F.expr(_NO_NODES)
     return F.aggregate(
         F.sequence(F.lit(1), F.lit(max_depth)),
@@ -47,8 +58,7 @@ def _walk(roots: Column, keep, children, max_depth: int, what: str) -> Column:
         lambda acc, _: F.struct(
             F.concat(acc["hits"], F.filter(acc["level"], keep)).alias("hits"),
             F.flatten(F.transform(acc["level"], children)).alias("level")),
-        lambda acc: F.when(F.size(acc["level"]) == 0, acc["hits"]).otherwise(
-            F.raise_error(F.lit(f"{what} nested deeper than {max_depth} levels")).cast("array<variant>")))
+        lambda acc: F.struct(acc["hits"].alias("hits"), (F.size(acc["level"]) > 0).alias("deeper")))
 
 
 def _truthy(text: Column) -> Column:
@@ -152,22 +162,29 @@ def fetch_outcome(error_code: Column, status: Column, body: Column) -> Column:
     )
 
 
+def _category_walk(max_depth: int) -> Column:
+    def children(node: Column) -> Column:
+        kids = [F.try_variant_get(node, f"$.{n}", "array<variant>") for n in ("children", "Children")]
+        return F.coalesce(*kids, F.expr(_NO_NODES))
+
+    return _walk(F.try_parse_json("raw").try_cast("array<variant>"), lambda _: F.lit(True), children, max_depth)
+
+
+def quarantined_category_trees(payloads: DataFrame, max_depth: int = 8) -> DataFrame:
+    """Category payloads with nodes below ``max_depth`` levels."""
+    return payloads.filter(_category_walk(max_depth)["deeper"])
+
+
 def flatten_category_trees(payloads: DataFrame, max_depth: int = 8) -> DataFrame:
-    """Nodes of nested category payloads: id, name, path and URL; a deeper tree is an error.
+    """Nodes of nested category payloads: id, name, path and URL, down to ``max_depth`` levels.
 
     The path is the URL path without outer slashes, else the slug of the name.
     """
     def field(node: Column, *names: str) -> Column:
         return first_clean(*[F.try_variant_get(node, f"$.{n}", "string") for n in names])
 
-    def children(node: Column) -> Column:
-        kids = [F.try_variant_get(node, f"$.{n}", "array<variant>") for n in ("children", "Children")]
-        return F.coalesce(*kids, F.expr(_NO_NODES))
-
     keys = payloads.drop("raw").columns
-    roots = F.try_parse_json("raw").try_cast("array<variant>")
-    found = _walk(roots, lambda _: F.lit(True), children, max_depth, "category payload")
-    nodes = payloads.select(*keys, F.explode(found).alias("n"))
+    nodes = payloads.select(*keys, F.explode(_category_walk(max_depth)["hits"]).alias("n"))
     n = F.col("n")
     url_path = F.regexp_replace(F.regexp_replace("url", r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*", ""), r"[?#].*$", "")
     return (

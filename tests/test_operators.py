@@ -7,7 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from gondola.operators import baskets, catalog, identity, ingest, merge, monitor, refresh
+from gondola.operators import baskets, catalog, discovery, identity, ingest, merge, monitor, refresh
 from gondola.plans import ingest as ingest_plans
 from gondola.plans import load
 from gondola.plans.refresh import drift_of, live_of
@@ -121,8 +121,9 @@ def test_payload_spellings_and_malformed_json(spark):
     assert r["images"] == ["https://shop.example.com/a.jpg", "https://x.example.com/b.jpg"]
     assert r["product_url"] == "https://shop.example.com/leche/p" and r["category"] == "Lácteos" and r["is_available"] is True
     deep = '{"items":' * 12 + "1" + "}" * 12
-    with pytest.raises(Exception, match="nested deeper"):
-        payloads.find_product_records(spark.createDataFrame([(deep,)], "raw string")).collect()
+    both = spark.createDataFrame([(0, deep), (1, '{"items": 1}')], "id int, raw string")
+    assert {r["id"] for r in payloads.quarantined_payloads(both).collect()} == {0}
+    assert {r["id"] for r in payloads.find_product_records(both).collect()} == {0, 1}  # a deep payload doesn't stop the others
 
 
 def test_basket_quantities(spark):
@@ -233,3 +234,39 @@ def test_scans_read_only_needed_columns(tables):
     assert "l_extendedprice" not in plan and "l_comment" not in plan
     old = tables.state_history.select("id")._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(l_shipdate), LessThan(l_shipdate" in old
+
+
+def test_panels_read_the_whole_log(spark):
+    """A source is never without data because others wrote more recently."""
+    stores = spark.range(500).select("id", F.concat(F.lit("m"), "id").alias("slug"), F.concat(F.lit("M"), "id").alias("name"), F.lit(True).alias("is_active"))
+    log = spark.range(5000).select(
+        "id", F.concat(F.lit("m"), F.col("id") % 500).alias("source_slug"), F.timestamp_seconds(F.col("id") * 60).alias("checked_at"),
+        F.lit(True).alias("is_healthy"), F.lit(True).alias("hash_valid"), F.lit(5).alias("response_time_ms"), F.lit(1).alias("products_returned"),
+        F.lit(None).cast("string").alias("error_type"))
+    states = Counter(r["state"] for r in monitor.health_panel(stores, log).select("state").collect())
+    assert states == {"healthy": 500}
+
+
+def test_unlisted_store_stops_the_pivot(spark):
+    points = spark.createDataFrame([("e", "2001-01-01", "a", 1.0), ("e", "2001-01-01", "b", 2.0)], "ean string, day string, slug string, price double")
+    assert catalog.pivot_history(points, ["a", "b"]).count() == 1
+    with pytest.raises(Exception, match="store not listed"):
+        catalog.pivot_history(points, ["a"]).collect()
+
+
+def test_retention_drops_month_folders(spark, tmp_path):
+    rows = spark.createDataFrame([(f"2001-{m:02d}-05 00:00:00", m) for m in range(1, 7)], "at string, n int").select(
+        F.col("at").cast("timestamp").alias("scraped_at"), "n")
+    sinks.append_history(rows, str(tmp_path))
+    assert sinks.drop_partitions(spark, f"{tmp_path}/price_history", "month", "2001-04") == ["2001-01", "2001-02", "2001-03"]
+    assert sorted(r["n"] for r in spark.read.parquet(f"{tmp_path}/price_history").collect()) == [4, 5, 6]
+
+
+def test_rollback_report_counts_each_table(spark):
+    frame = lambda rows: spark.createDataFrame(rows, "s string, ean string")
+    plans = {"rows": frame([("a", "1"), ("a", "2")]), "products": frame([("a", "1")])}
+    before = {"rows": frame([("a", "1"), ("a", "2"), ("a", "9")]), "products": frame([("x", "1"), ("x", "7")])}
+    after = {"rows": frame([("a", "2"), ("a", "9")]), "products": frame([("x", "7")])}
+    got = {r["table"]: r for r in discovery.rollback_report(plans, before, after, {"rows": ["s", "ean"], "products": ["ean"]}).collect()}
+    assert (got["rows"]["planned"], got["rows"]["present"], got["rows"]["remaining"], got["rows"]["deleted"], got["rows"]["status"]) == (2, 2, 1, 1, "FAIL")
+    assert (got["products"]["planned"], got["products"]["deleted"], got["products"]["status"]) == (1, 1, "PASS")
