@@ -37,13 +37,13 @@ def validation_summary(evaluated: DataFrame, *keys: str) -> DataFrame:
         F.count_if(F.col("status") == "PENDING").alias("pending"))
 
 
-def apply_verdicts(staging: DataFrame, evaluated: DataFrame) -> DataFrame:
-    """Staging with the verdict columns of the rows that were evaluated."""
-    new = evaluated.select("id", F.struct("quality_score", "quality_flags", "status").alias("v"))
-    joined = staging.join(new, "id", "left")
-    return joined.withColumns({
-        c: F.when(F.col("v").isNotNull(), F.col(f"v.{c}")).otherwise(F.col(c))
-        for c in ("quality_score", "quality_flags", "status")}).drop("v")
+def apply_verdicts(staging: DataFrame, averages: DataFrame, active: DataFrame) -> DataFrame:
+    """Staging with fresh verdicts for the ``active`` sources; rows of other sources keep theirs. One pass, no self join."""
+    columns = ("quality_score", "quality_flags", "status")
+    kept = staging.withColumns({f"_old_{c}": F.col(c) for c in columns})
+    marked = kept.join(active.select("source_slug", F.lit(True).alias("_active")), "source_slug", "left")
+    judged = evaluate_candidates(marked, averages)
+    return judged.withColumns({c: F.when(F.col("_active"), F.col(c)).otherwise(F.col(f"_old_{c}")) for c in columns}).select(*staging.columns)
 
 
 def flag_histogram(evaluated: DataFrame) -> DataFrame:

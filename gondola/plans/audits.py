@@ -106,13 +106,16 @@ aa AS (SELECT run_id AS batch_id, ean, count(*) AS an, count(*) FILTER (status =
 g AS (SELECT batch_id, coalesce(sum(en), 0) AS er, coalesce(sum(an), 0) AS ar, count(an) AS ae, count(*) FILTER (en > 1) AS de, count(*) FILTER (an IS NULL OR en IS NULL) AS sd, sum(rej) AS rej, sum(np) AS np, sum(bp) AS bp, min(s0) AS s0, max(s1) AS s1
   FROM ee FULL JOIN aa USING (batch_id, ean) GROUP BY 1),
 r AS (SELECT batch_id, list_filter([CASE WHEN er = 0 THEN 'nothing_expected' END, CASE WHEN de > 0 THEN 'expected_not_distinct' END, CASE WHEN s0 IS NULL OR s0 <> s1 THEN 'not_one_source' END, CASE WHEN batch_id % 3 <> 1 THEN 'query_count' END,
-  CASE WHEN rej > 0 THEN 'rejected_rows' END, CASE WHEN ar <> er THEN 'row_count' END, CASE WHEN ae <> er THEN 'distinct_count' END, CASE WHEN np > 0 THEN 'not_pending' END, CASE WHEN bp > 0 THEN 'price_not_positive' END, CASE WHEN sd > 0 THEN 'ean_set' END], lambda x: x IS NOT NULL) AS reasons FROM g)
+  CASE WHEN batch_id % 7 = 0 THEN 'fingerprint' END, CASE WHEN rej > 0 THEN 'rejected_rows' END, CASE WHEN ar <> er THEN 'row_count' END, CASE WHEN ae <> er THEN 'distinct_count' END, CASE WHEN np > 0 THEN 'not_pending' END, CASE WHEN bp > 0 THEN 'price_not_positive' END, CASE WHEN sd > 0 THEN 'ean_set' END], lambda x: x IS NOT NULL) AS reasons FROM g)
 SELECT batch_id, array_to_string(reasons, ',') AS reasons, CASE WHEN len(reasons) = 0 THEN 'PASS' ELSE 'FAIL' END AS status FROM r""")
 def pre_reconcile_gate(t):
     expected = t.raw("lineitem").filter("l_linenumber <> 4").select(F.col("l_orderkey").alias("batch_id"), ean_of(F.col("l_partkey")).alias("ean"))
     rows = evaluated(t).select(F.col("run_id").alias("batch_id"), "source_slug", "ean", "price", "status")
     sent = t.raw("orders").select(F.col("o_orderkey").alias("batch_id"), (F.col("o_orderkey") % 3).alias("queries_sent"))
-    return op.pre_reconcile_gate(expected, rows, sent).withColumn("reasons", F.array_join("reasons", ","))
+    k = F.col("o_orderkey")
+    plan = F.concat(F.lit("plan-"), (k % 5).cast("string"))
+    prints = t.raw("orders").select(k.alias("batch_id"), plan.alias("expected"), F.when(k % 7 == 0, "another").otherwise(plan).alias("actual"))
+    return op.pre_reconcile_gate(expected, rows, sent, fingerprints=prints).withColumn("reasons", F.array_join("reasons", ","))
 
 
 @query("e35_run_aggregate", "E35", "runs", """

@@ -251,12 +251,10 @@ def quality_verdicts(t):
 SELECT id, CASE WHEN source_slug <> 'market-5' THEN array_to_string(flags, ',') ELSE '' END AS flags,
   CASE WHEN source_slug <> 'market-5' THEN quality_score ELSE 0 END AS quality_score, CASE WHEN source_slug <> 'market-5' THEN status ELSE 'PENDING' END AS status FROM evaluated""")
 def applied_verdicts(t):
-    """Verdicts of the active stores written back by id; rows of the inactive store keep theirs."""
+    """Verdicts of the active stores; rows of the inactive store keep theirs."""
     staging = t.staging_product
     active = t.supermarkets.filter("is_active").select(F.col("slug").alias("source_slug"))
-    judged = ingest.evaluate_candidates(
-        staging.join(active, "source_slug", "left_semi"), ingest.historical_averages(t.observations))
-    rows = ingest.apply_verdicts(staging.select("id", "quality_score", "quality_flags", "status"), judged)
+    rows = ingest.apply_verdicts(staging, ingest.historical_averages(t.observations), active)
     return rows.select("id", F.array_join("quality_flags", ",").alias("flags"), "quality_score", "status")
 
 
