@@ -21,6 +21,7 @@ labelled text every score is 0 (below 1e-9).
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -115,9 +116,9 @@ def train(texts: list[bytes], labels: np.ndarray, epochs: int = 40, batch: int =
     order, rng = np.arange(len(labels)), np.random.default_rng(seed)
     rng.shuffle(order)
     groups = [order[k:k + batch] for k in range(0, len(order), batch)]
-    bags = [bags_of([texts[i] for i in g]) for g in groups]
-    features = _frequent(bags, min_docs)
-    parts = [(known(b, features), labels[g].astype(float)) for b, g in zip(bags, groups)]
+    of = lambda g: bags_of([texts[i] for i in g])  # noqa: E731  made twice, as all at once would take much memory
+    features = _frequent(map(of, groups), min_docs)
+    parts = [(known(of(g), features), labels[g].astype(float)) for g in groups]
     model = Model(features, np.zeros(len(features) + 1), -9.0, 1e-3)
     square = np.full(len(features) + 1, 1e-3)
     for _ in range(epochs):
@@ -137,7 +138,7 @@ def train(texts: list[bytes], labels: np.ndarray, epochs: int = 40, batch: int =
     return Model(features[used], np.append(model.weights[used], 0), model.bias, model.leak)
 
 
-def _frequent(bags: list[Bags], min_docs: int) -> np.ndarray:
+def _frequent(bags: Iterable[Bags], min_docs: int) -> np.ndarray:
     """Features that stand in at least ``min_docs`` documents."""
     pairs = []
     for b in bags:
@@ -158,8 +159,18 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, toxic: int, clean: int)
 
 
 def fit(docs: DataFrame, labels: DataFrame, toxic: int = 1500, clean: int = 6000) -> Model:
-    rows = labelled_sample(docs, labels, toxic, clean).orderBy("doc_id", "text").limit(2 * (toxic + clean)).toArrow()
-    return train(as_bytes(rows["text"].combine_chunks()), rows["toxic"].to_numpy())
+    """Train in one task on the bounded sample; only the model comes to the driver."""
+    def run(batches):
+        rows = sorted((i, t, y) for b in batches for i, t, y in zip(b.column(0).to_pylist(), as_bytes(b.column(1)), b.column(2).to_pylist()))
+        model = train([t for _, t, _ in rows], np.array([y for _, _, y in rows], np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array([model.features.tobytes()]), pa.array([model.weights.tobytes()]), pa.array([model.bias]),
+                                          pa.array([model.leak])], names=["features", "weights", "bias", "leak"])
+
+    sample = labelled_sample(docs, labels, toxic, clean).select("doc_id", "text", F.col("toxic").cast("long").alias("toxic"))
+    one = sample.repartition(1).mapInArrow(run, "features binary, weights binary, bias double, leak double").first()
+    if one is None:  # no partition at all
+        return train([], np.zeros(0, np.int64))
+    return Model(np.frombuffer(one.features, np.uint64), np.frombuffer(one.weights), one.bias, one.leak)
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
