@@ -1,23 +1,24 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
-
-Every n-gram of a test item is a seed. One pass over the documents counts, per
-seed, the documents that hold it (partial sums of at most one row per seed and
-task). An item keeps its rare seeds: those not much commoner than its own median
-seed, so common phrases go, while an item that leaked a million times, all of
-whose seeds are common alike, keeps them. A second pass joins documents to items
-by those seeds and aligns the words around each hit with the item. A document is
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
+
+Every n-gram of a test item is a seed, and each place where a document holds one is
+a candidate: how many documents hold a seed decides nothing, so a leak is found in
+the same way in one document and in a million. A candidate's window is aligned with the
+item unless it cannot reach the score: an alignment matches at most the words of the
+window that the item has, so a window with fewer than ``least`` of the item's words is
+left out without loss. That ends most hits of common phrases. A document is
 contaminated where the alignment reaches ``least`` of the item's full score, so edited,
-shortened or interrupted copies count, too. Documents are never shuffled; the
-items come in blocks of a bounded number of words.
+shortened or interrupted copies count, too. One pass over the documents per block of
+items of a bounded number of words; documents are never shuffled.
 
 Cases: null or empty texts match nothing; an item with fewer words than the
 n-gram is one seed as a whole, one without words is never found; repeated items
 are each reported; rows with a null item or text are ignored; rows that share an
-id are each judged.
+id are each judged; a run of words that is ``least`` of a short item counts however common it is.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -57,9 +58,6 @@ class Items:
         order = np.argsort(seed, kind="stable")
         return cls(ids, words, seed[order], item[order], offset[order], sorted({min(n, len(w)) for w in words if len(w)}))
 
-    def only(self, keep: np.ndarray) -> "Items":
-        return Items(self.ids, self.words, self.seed[keep], self.item[keep], self.offset[keep], self.sizes)
-
     def hits(self, word: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text, word position in the slice, position in ``seed`` of the first equal one) of each seed in the texts."""
         some = np.zeros(1 << FILTER_BITS, bool)
@@ -103,49 +101,73 @@ def align(item: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def find(items: Items, texts: list[bytes], least: float = LEAST, most_cells: int = 1 << 20) -> list[tuple]:
     """(text, item id, score, seeds, end word) for each text and item that align well enough."""
-    out = []
+    best: dict[tuple[int, int], tuple] = {}
+    sizes = np.array([len(w) for w in items.words])
     for a, b in slices(texts):
         words = words_of(texts[a:b])
         text, place, first = items.hits(words.hash, words.bounds)
-        if not len(text):
-            continue
-        last = np.searchsorted(items.seed, items.seed[first], "right")
-        each = last - first
-        seed = np.repeat(first, each) + np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
-        text, place = np.repeat(text, each), np.repeat(place, each)
-        item, start = items.item[seed], place - items.offset[seed]
-        size = np.array([len(w) for w in items.words])[item]
-        # a window reaches half an item beyond where the item would lie; hits that expect almost the same place share one
-        step = np.maximum(4, size // 4)
-        key = np.unique(np.stack([item, text, (start - words.bounds[text]) // step], 1), axis=0, return_inverse=True, return_counts=True)
-        groups, which, counts = key
-        lead = np.zeros(len(groups), int)
-        lead[which.ravel()[::-1]] = np.arange(len(start))[::-1]
-        cut = np.flatnonzero(np.diff(groups[:, 0], prepend=-1))
-        for lo, hi in zip(cut, [*cut[1:], len(groups)]):
-            word = items.words[groups[lo, 0]]
-            n = len(word)
-            width = 2 * n + 4
-            rows = max(1, most_cells // width)
-            for k in range(lo, hi, rows):
-                at = lead[k:min(hi, k + rows)]
-                origin = start[at] - n // 2
-                columns = origin[:, None] + np.arange(width)
-                doc = text[at]
-                inside = (columns >= words.bounds[doc][:, None]) & (columns < words.bounds[doc + 1][:, None])
-                window = np.where(inside, words.hash[np.clip(columns, 0, len(words.hash) - 1)], np.uint64(0))
-                score, end = align(word, window)
-                share = score / (MATCH * n)
-                for j in np.flatnonzero(share >= least):
-                    out.append((a + int(doc[j]), int(groups[lo, 0]), float(share[j]), int(counts[k + j]),
-                                int(origin[j] + end[j] - words.bounds[doc[j]])))
-    best: dict[tuple[int, int], tuple] = {}
-    for row in out:
-        if row[:2] not in best or best[row[:2]][2] < row[2]:
-            best[row[:2]] = row
+        order = np.argsort(text, kind="stable")
+        text, place, first = text[order], place[order], first[order]
+        each = np.searchsorted(items.seed, items.seed[first], "right") - first
+        # texts in groups of a bounded number of candidates, or one text
+        cut = np.flatnonzero(np.diff(text, prepend=-1))
+        for lo, hi in slices_of(np.add.reduceat(each, cut) if len(cut) else cut, most_cells):
+            mine = slice(cut[lo], cut[hi] if hi < len(cut) else len(text))
+            for row in _aligned(items, sizes, words, text[mine], place[mine], first[mine], each[mine], least, most_cells):
+                row = (a + row[0], *row[1:])
+                if row[:2] not in best or best[row[:2]][2] < row[2]:
+                    best[row[:2]] = row
     return [(t, items.ids[i], s, c, e) for (t, i), (_, _, s, c, e) in sorted(best.items())]
 
 
+def slices_of(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Runs of neighbours that have at most ``most`` together, or one that has more."""
+    total = np.cumsum(sizes)
+    lo = 0
+    while lo < len(sizes):
+        hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + most, "right")))
+        yield lo, hi
+        lo = hi
+
+
+def _aligned(items: Items, sizes: np.ndarray, words, text: np.ndarray, place: np.ndarray, first: np.ndarray, each: np.ndarray,
+             least: float, most_cells: int) -> Iterator[tuple]:
+    """(text, item, score, seeds, end word) of each window around seeds that aligns well enough."""
+    seed = np.repeat(first, each) + np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+    text, place = np.repeat(text, each), np.repeat(place, each)
+    item, start = items.item[seed], place - items.offset[seed]
+    # a window reaches half an item beyond where the item would lie; hits that expect almost the same place share one
+    bin_ = (start - words.bounds[text]) // np.maximum(4, sizes[item] // 4)
+    order = np.lexsort((bin_, text, item))
+    new = np.ones(len(order), bool)
+    new[1:] = (np.diff(item[order]) != 0) | (np.diff(text[order]) != 0) | (np.diff(bin_[order]) != 0)
+    lead = np.flatnonzero(new)
+    counts = np.diff(lead, append=len(order))
+    lead = order[lead]  # the sort is stable: the first hit of each group
+    cut = np.flatnonzero(np.diff(item[lead], prepend=-1))
+    for lo, hi in zip(cut, [*cut[1:], len(lead)]):
+        number = int(item[lead[lo]])
+        word = items.words[number]
+        own = np.unique(word)
+        n = len(word)
+        width = 2 * n + 4
+        rows = max(1, most_cells // width)
+        for k in range(lo, hi, rows):
+            at = lead[k:min(hi, k + rows)]
+            origin = start[at] - n // 2
+            doc = text[at]
+            columns = origin[:, None] + np.arange(width)
+            inside = (columns >= words.bounds[doc][:, None]) & (columns < words.bounds[doc + 1][:, None])
+            window = np.where(inside, words.hash[np.clip(columns, 0, len(words.hash) - 1)], np.uint64(0))
+            held = own[np.minimum(np.searchsorted(own, window), len(own) - 1)] == window
+            able = np.flatnonzero(np.minimum(held.sum(1), n) / n >= least)  # each match is one of these words
+            score, end = align(word, window[able])
+            share = score / (MATCH * n)
+            for j in np.flatnonzero(share >= least):
+                i = able[j]
+                yield int(doc[i]), number, float(share[j]), int(counts[k + i]), int(origin[i] + end[j] - words.bounds[doc[i]])
+
+
 def blocks(benchmark: DataFrame, n: int, most_words: int = BLOCK_WORDS) -> list[Items]:
     """The stated test set in blocks of bounded size, read one at a time."""
     rows = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select("item_id", "text").orderBy("item_id", "text")
@@ -160,37 +182,6 @@ def blocks(benchmark: DataFrame, n: int, most_words: int = BLOCK_WORDS) -> list[
     return [*found, Items.of(ids, texts, n)] if ids else found
 
 
-def rare_seeds(docs: DataFrame, items: Items, text_col: str) -> Items:
-    """Drops seeds held by over four times as many documents as the item's median seed (ten at least)."""
-    shared = docs.sparkSession.sparkContext.broadcast(items)  # a block: bounded
-
-    def count(batches):
-        held = np.zeros(len(shared.value.seed), np.int64)
-        for batch in batches:
-            texts = as_bytes(batch.column(0))
-            for a, b in slices(texts):
-                words = words_of(texts[a:b])
-                text, _, first = shared.value.hits(words.hash, words.bounds)
-                once = np.unique(text * (len(held) + 1) + first)
-                held += np.bincount(once % (len(held) + 1), minlength=len(held))
-        seen = np.flatnonzero(held)
-        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(held[seen])], names=["seed", "docs"])
-
-    sums = docs.select(text_col).mapInArrow(count, "seed bigint, docs bigint").groupBy("seed").agg(F.sum("docs").alias("docs"))
-    rows = sums.toArrow()  # at most one row per seed of the block
-    held = np.zeros(len(items.seed), np.int64)
-    held[rows["seed"].to_numpy()] = rows["docs"].to_numpy()
-    held = held[np.searchsorted(items.seed, items.seed)]  # equal seeds of several items count alike
-    keep = np.zeros(len(held), bool)
-    order = np.argsort(items.item, kind="stable")
-    cut = np.searchsorted(items.item[order], np.arange(len(items.ids) + 1))
-    for lo, hi in zip(cut[:-1], cut[1:]):
-        if lo < hi:
-            mine = order[lo:hi]
-            keep[mine] = held[mine] <= max(10, 4 * np.median(held[mine]))
-    return items.only(keep)
-
-
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N,
                  least: float = LEAST) -> DataFrame:
     """One row per document and test item found in it: id, item_id, score (1: the whole item), seeds, end_word."""
@@ -200,8 +191,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                            T.StructField("seeds", T.LongType()), T.StructField("end_word", T.LongType())])
     total = docs.sparkSession.createDataFrame([], schema)
     for block in blocks(benchmark, n):
-        items = rare_seeds(docs, block, text_col)
-        shared = docs.sparkSession.sparkContext.broadcast(items)
+        shared = docs.sparkSession.sparkContext.broadcast(block)  # bounded
 
         def run(batches, shared=shared):
             for batch in batches:
