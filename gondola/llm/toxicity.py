@@ -1,10 +1,14 @@
 """Toxicity by multiple-instance learning.
 
-A document is a bag of sentences; a sentence's score is a logistic function of
-hashed word and word-prefix features, and the document's is their noisy-or
-1 - prod(1 - p). Only document labels train it: the gradient of the document's
+A document is a bag of sentences; a sentence's score s is a logistic function of
+hashed word and word-prefix features, and the document's is the noisy-or
+1 - (1 - leak) prod(1 - p) of p = s * n ** (s - 1) over its n sentences: a sentence that
+is sure counts whole in a text of any length, while unsure ones share one sentence's
+weight, so length alone never makes a text toxic. Only document labels train it: the gradient of the document's
 loss reaches each sentence through the noisy-or, so the sentences that explain
-the label learn it, and the same scores locate them afterwards.
+the label learn it, and the same scores locate them afterwards. Bias and leak are
+learned with the weights, below bounds (MOST_BIAS, MOST_LEAK) that keep a text without
+known features under 0.5: n sentences without any add about s * n ** s, s at most 0.007.
 
 Features are those that stand in at least ``min_docs`` training documents; they
 are looked up by their full 64-bit hash, so unknown words meet no weight.
@@ -35,6 +39,8 @@ PREFIX = 5
 FILTER_BITS = 20
 ENDS = np.zeros(256, bool)
 ENDS[[ord(c) for c in ".!?\n"]] = True
+MOST_BIAS, MOST_LEAK = -5.0, 0.25
+PRIOR_RATE = 0.1
 
 
 @dataclass
@@ -86,6 +92,13 @@ def _sentences(model: Model, bags: Bags) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+def _counted(s: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What sentences of score ``s`` count in the noisy-or, and the log of their document's number of sentences."""
+    sizes = np.diff(bounds)
+    log_n = np.repeat(np.log(np.maximum(sizes, 1)), sizes)
+    return np.minimum(s * np.exp((s - 1) * log_n), 1 - 1e-12), log_n
+
+
 def _by_doc(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     total = np.concatenate([[0.0], np.cumsum(values)])
     return total[bounds[1:]] - total[bounds[:-1]]
@@ -97,7 +110,7 @@ def score_texts(model: Model, texts: list[bytes]) -> tuple[np.ndarray, list[byte
     for a, b in slices(texts):
         bags = known(bags_of(texts[a:b]), model.features)
         p = _sentences(model, bags)
-        calm = np.log(1 - np.minimum(p, 1 - 1e-12))
+        calm = np.log1p(-_counted(p, bags.bounds)[0])
         scores[a:b] = 1 - (1 - model.leak) * np.exp(_by_doc(calm, bags.bounds))
         joined = b"\n".join(texts[a:b])
         for i in np.flatnonzero(scores[a:b] >= 0.5):
@@ -110,7 +123,7 @@ def score_texts(model: Model, texts: list[bytes]) -> tuple[np.ndarray, list[byte
 
 def train(texts: list[bytes], labels: np.ndarray, epochs: int = 40, batch: int = 256, rate: float = 0.3,
           sparsity: float = 3e-4, min_docs: int = 8, seed: int = 0) -> Model:
-    """Adagrad on the noisy-or log loss of documents; the L1 step keeps weights of uninformative words at 0."""
+    """Adagrad on the noisy-or log loss of documents for weights, bias and leak; the L1 step keeps weights of uninformative words at 0."""
     if not len(labels):
         return Model(np.zeros(0, np.uint64), np.zeros(1), -30.0, 0.0)
     order, rng = np.arange(len(labels)), np.random.default_rng(seed)
@@ -121,19 +134,28 @@ def train(texts: list[bytes], labels: np.ndarray, epochs: int = 40, batch: int =
     parts = [(known(of(g), features), labels[g].astype(float)) for g in groups]
     model = Model(features, np.zeros(len(features) + 1), -9.0, 1e-3)
     square = np.full(len(features) + 1, 1e-3)
+    prior = np.array([model.bias, np.log(model.leak / (1 - model.leak))])  # bias, and leak on the logistic scale
+    most, prior_square = np.array([MOST_BIAS, np.log(MOST_LEAK / (1 - MOST_LEAK))]), np.full(2, 1e-3)
     for _ in range(epochs):
         for k in rng.permutation(len(parts)):
             bag, y = parts[k]
-            p = _sentences(model, bag)
-            calm = _by_doc(np.log(1 - np.minimum(p, 1 - 1e-12)), bag.bounds) + np.log(1 - model.leak)
+            s = _sentences(model, bag)
+            p, log_n = _counted(s, bag.bounds)
+            calm = _by_doc(np.log1p(-p), bag.bounds) + np.log(1 - model.leak)
             doc = np.clip(1 - np.exp(calm), 1e-6, 1 - 1e-9)
-            # d loss / d log(1 - p_s) is (y - doc) / doc for each sentence of the document; d log(1 - p) / dz is -p
-            pull = np.repeat((doc - y) / doc, np.diff(bag.bounds)) * p / len(y)
+            # d loss / d log(1 - p) is (y - doc) / doc for each sentence of the document; d log(1 - p) / dz is
+            # -p / (1 - p) * (1 - s) * (1 + s log n), and -s where n is 1
+            share = (doc - y) / doc / len(y)
+            pull = np.repeat(share, np.diff(bag.bounds)) * p / (1 - p) * (1 - s) * (1 + s * log_n)
             grad = np.bincount(bag.feature, pull[bag.sentence], len(features) + 1)
             square += grad ** 2
             pace = rate / np.sqrt(square)
             moved = model.weights - pace * grad
             model.weights = np.sign(moved) * np.maximum(np.abs(moved) - pace * sparsity, 0)
+            slope = np.array([pull.sum(), share.sum() * model.leak])
+            prior_square += slope ** 2
+            prior = np.clip(prior - PRIOR_RATE * slope / np.sqrt(prior_square), -15, most)
+            model.bias, model.leak = float(prior[0]), float(1 / (1 + np.exp(-prior[1])))
     used = np.flatnonzero(model.weights[:-1])
     return Model(features[used], np.append(model.weights[used], 0), model.bias, model.leak)
 

@@ -260,6 +260,28 @@ def test_toxicity_learns_from_document_labels(spark):
     assert max(r.score for r in none) < 1e-9
 
 
+def test_length_alone_is_not_toxic():
+    rng = random.Random(10)
+    texts, labels = [], []
+    for i in range(1500):
+        said, toxic = sentences(rng, rng.randint(1, 8)), int(i % 3 == 0)
+        if toxic:
+            said.insert(rng.randrange(len(said) + 1), "you grobnik of the hill.")
+        texts.append(" ".join(said).encode())
+        labels.append(toxic)
+    model = toxicity.train(texts, np.array(labels))
+    assert model.bias != -9.0 and model.leak != 1e-3  # learned
+    unknown = [f"entry{k} zz{k % 977}" for k in range(50_000)]
+    known_words = sentences(rng, 50_000)
+    hidden = [*unknown[:30_000], "you grobnik of the hill.", *unknown[30_000:]]
+    scores, worst, _ = toxicity.score_texts(model, ["\n".join(lines_).encode() for lines_ in (unknown, known_words, hidden)] + [b""])
+    assert max(scores[0], scores[1], scores[3]) < 0.5 <= scores[2]  # one toxic sentence still counts in a long text
+    assert b"grobnik" in worst[2]
+    features = np.zeros(0, np.uint64)
+    most = toxicity.Model(features, np.zeros(1), toxicity.MOST_BIAS, toxicity.MOST_LEAK)
+    assert toxicity.score_texts(most, [b"a\n" * 2_000_000])[0][0] < 0.5
+
+
 def test_language_network(spark):
     rng = random.Random(6)
     parts = {"xx": ["ka", "to", "mi", "ru"], "yy": ["sch", "eng", "ber", "ü"], "zz": ["ció", "que", "los", "ña"]}
