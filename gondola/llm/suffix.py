@@ -19,8 +19,14 @@ later offsets:
    identifiers the pass before has updated, until a bucket is one string of LENGTH
    bytes; its least document decides for each window.
 
-Hot passages are one entry per chunk at every step. Segments are compared by 64
-bits of their own and by their q-gram's hash.
+Inside a hot passage there is one entry per chunk at every step. At its ends the
+segments hold the documents' own bytes and differ, so the entries of a q-gram that
+stands in more than ``MANY`` places are dealt by their content instead: round 2 by the
+segment's hash, and in round 3 each window's hash (one entry per chunk with its
+least document) asks in a bucket of its own. No bucket follows the number of documents.
+
+Segments, and windows of hot q-grams, are compared by 64 bits
+of their own and by their q-gram's hash.
 
 Cases: null texts are empty; texts shorter than LENGTH lose nothing; rows with a
 null id lose nothing and take nothing from others; rows that share an id take
@@ -45,6 +51,7 @@ SEGMENT = 80  # bytes of a padded segment: at least 2 * LENGTH - Q
 PIECE = 1 << 20
 POSITION = U((1 << 24) - 1)
 CHUNK_BYTES = 6 << 20
+MANY = 4096  # places of a q-gram from which its entries are dealt by content
 _step = mixed(np.arange(1, 6, dtype=U) * U(0x2545F4914F6CDD1D)) | U(1)
 _word = mixed(np.arange(1, SEGMENT // 8 + 2, dtype=U) * U(0x9FB21C651E98DF25)) | U(1)
 
@@ -130,17 +137,18 @@ class Chunk:
         self.gram = key[first]
         last = np.append(first[1:], len(key)) - 1 if len(first) else first
         self.several = id_[first] != id_[last]
+        self.places = np.minimum(last - first + 1, 0xFFFF).astype(np.uint16)
 
     def ask_grams(self) -> list[Row]:
         low = (self.gram & U(0xFFFFFFFF)).astype(np.uint32)
-        return [Row(b, self.number, low[i:j].tobytes()) for b, i, j in split(self.gram, self.buckets)]
+        return [Row(b, self.number, low[i:j].tobytes(), self.places[i:j].tobytes()) for b, i, j in split(self.gram, self.buckets)]
 
     # -- round 2: the least document of each segment of a shared bucket
     def entries(self, told: list[Row]) -> None:
-        parts = [np.unpackbits(np.frombuffer(r.data, np.uint8)) for r in told]
         sizes = [j - i for _, i, j in split(self.gram, self.buckets)]
-        shared = np.concatenate([p[:n] for p, n in zip(parts, sizes)]).astype(bool) if sizes else np.zeros(0, bool)
-        shared |= self.several
+        bits = lambda field: np.concatenate([
+            np.unpackbits(np.frombuffer(getattr(r, field), np.uint8))[:n] for r, n in zip(told, sizes)]).astype(bool) if sizes else np.zeros(0, bool)
+        shared, hot = bits("data") | self.several, bits("more")
         at = np.searchsorted(self.gram, self.key)
         self.used = np.flatnonzero(shared[at]) if len(self.key) else at
         mark = np.zeros(len(self.used), U)
@@ -152,24 +160,53 @@ class Chunk:
                 total = mixed(total ^ words[:, j] * _word[j])
             mark[k:k + (1 << 16)] = total
         key, id_ = self.key[self.used], self.id[self.used]
-        order = np.lexsort((self.low[self.used], id_, mark, key))
+        self.hot = hot[at[self.used]] if len(self.used) else np.zeros(0, bool)
+        key = np.where(self.hot, (mark >> U(32)) % U(self.buckets) << U(32) | key & U(0xFFFFFFFF), key)
+        order = np.lexsort((self.low[self.used], id_, mark, self.hot, key))
         new = np.ones(len(order), bool)
-        new[1:] = (np.diff(key[order]) != 0) | (np.diff(mark[order]) != 0)
+        new[1:] = (np.diff(key[order]) != 0) | (np.diff(mark[order]) != 0) | (self.hot[order][1:] != self.hot[order][:-1])
         self.entry = np.zeros(len(order), np.int64)  # of each used segment
         self.entry[order] = np.cumsum(new) - 1
         self.lead = self.used[order[new]]  # the first segment of each entry, in its least document
-        self.mark = mark[order[new]]
+        self.mark, self.place, self.hot = mark[order[new]], key[order[new]], self.hot[order[new]]
 
     def ask_segments(self) -> list[Row]:
-        key = self.key[self.lead]
-        low = (key & U(0xFFFFFFFF)).astype(np.uint32)
+        low = (self.place & U(0xFFFFFFFF)).astype(np.uint32)
         return [Row(b, self.number, low[i:j].tobytes(), self.mark[i:j].tobytes(), self.id[self.lead[i:j]].tobytes())
-                for b, i, j in split(key, self.buckets)]
+                for b, i, j in split(self.place, self.buckets)]
 
     # -- round 3: single windows of segments that only begin or end like others
     def odd(self, told: list[Row]) -> None:
         self.code = joined(told, "data", np.uint8)
-        self.sent = np.flatnonzero(self.code == 2)
+        self.sent = np.flatnonzero((self.code == 2) & ~self.hot)
+        self._windows(np.flatnonzero((self.code != 1) & self.hot))
+
+    def _windows(self, entries: np.ndarray) -> None:
+        """The windows of these entries' first segments, and one question for each different one, in its least document."""
+        lead = self.lead[entries]
+        count = self.high[lead] - self.low[lead] + 1
+        self.window_entry = np.repeat(entries, count)
+        self.window_at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        start = self.low[self.lead[self.window_entry]] + self.window_at
+        gram = self.key[self.lead[self.window_entry]] & U(0xFFFFFFFF)
+        mark = np.zeros(len(start), U)
+        for k in range(0, len(start), 1 << 16):
+            data = np.zeros((len(start[k:k + (1 << 16)]), LENGTH + 6), np.uint8)
+            data[:, :LENGTH] = self.data[start[k:k + (1 << 16)][:, None] + np.arange(LENGTH)]
+            total = gram[k:k + (1 << 16)] * _word[-1]
+            for j, word in enumerate(data.view(U).T):
+                total = mixed(total ^ word * _word[j])
+            mark[k:k + (1 << 16)] = total
+        key = (mark >> U(32)) % U(self.buckets) << U(32) | gram
+        id_ = self.id[self.lead[self.window_entry]]
+        order = np.lexsort((id_, mark, key))
+        new = np.ones(len(order), bool)
+        new[1:] = (np.diff(key[order]) != 0) | (np.diff(mark[order]) != 0)
+        self.window = np.zeros(len(order), np.int64)  # of each window, the question
+        self.window[order] = np.cumsum(new) - 1
+        first = order[new]
+        self.window_key, self.window_mark, self.window_id = key[first], mark[first], id_[first]
+        self.window_later = id_ > self.window_id[self.window]
 
     def ask_windows(self) -> list[Row]:
         lead = self.lead[self.sent]
@@ -177,12 +214,18 @@ class Chunk:
         for b, i, j in split(self.key[lead], self.buckets):
             data, size = self.matrix(lead[i:j])
             out.append(Row(b, self.number, data.tobytes(), size.astype(np.int32).tobytes(), self.id[lead[i:j]].tobytes()))
+        low = (self.window_key & U(0xFFFFFFFF)).astype(np.uint32)
+        for b, i, j in split(self.window_key, self.buckets):  # buckets of their own, behind those of the texts
+            out.append(Row(self.buckets + b, self.number, low[i:j].tobytes(), self.window_mark[i:j].tobytes(), self.window_id[i:j].tobytes()))
         return out
 
     def covered(self, told: list[Row]) -> np.ndarray:
         """Which bytes of the chunk are removed."""
         masks = np.zeros(len(self.code), np.uint32)
-        masks[self.sent] = joined(told, "data", np.uint32)
+        masks[self.sent] = joined([r for r in told if r.bucket < self.buckets], "data", np.uint32)
+        again = joined([r for r in told if r.bucket >= self.buckets], "data", np.uint8) == 1
+        again = again[self.window] | self.window_later
+        np.bitwise_or.at(masks, self.window_entry[again], np.uint32(1) << self.window_at[again].astype(np.uint32))
         whole = (self.code[self.entry] == 1) | (self.id[self.used] > self.id[self.lead][self.entry])
         full = self.used[whole]
         starts, ends = [self.low[full]], [self.high[full] + LENGTH]
@@ -208,15 +251,18 @@ def _groups(sizes: list[int]) -> Iterator[tuple[int, int]]:
         yield first, len(sizes)
 
 
-def shared_grams(rows: list[Row]) -> list[Row]:
-    """One bit per q-gram of a question: do several chunks hold it?"""
+def shared_grams(rows: list[Row], many: int = MANY) -> list[Row]:
+    """Two bits per q-gram of a question: do several chunks hold it, and does it stand in more than ``many`` places?"""
     value = joined(rows, "data", np.uint32)
     order = np.argsort(value, kind="stable")
-    same = np.zeros(len(value) + 1, bool)
-    same[1:-1] = value[order][1:] == value[order][:-1]
-    several = np.zeros(len(value), bool)
-    several[order] = same[1:] | same[:-1]
-    return _dealt_back(rows, several, 4, np.packbits)
+    first = np.flatnonzero(np.diff(value[order], prepend=-1)) if len(value) else order
+    size = np.diff(first, append=len(value))
+    places = np.add.reduceat(joined(rows, "more", np.uint16)[order].astype(np.int64), first) if len(value) else size
+    several, hot = np.zeros(len(value), bool), np.zeros(len(value), bool)
+    several[order] = np.repeat(size > 1, size)
+    hot[order] = np.repeat(places > many, size)
+    told = zip(_dealt_back(rows, several, 4, np.packbits), _dealt_back(rows, hot, 4, np.packbits))
+    return [Row(a.bucket, a.chunk, a.data, b.data) for a, b in told]
 
 
 def _dealt_back(rows: list[Row], values: np.ndarray, width: int, shape=lambda x: x, field: str = "data") -> list[Row]:
@@ -297,7 +343,7 @@ RESULT = "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha2
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_bytes: bool = True,
-                   chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+                   chunk_bytes: int = CHUNK_BYTES, many: int = MANY) -> DataFrame:
     """One row per document: sizes, removed spans (start, end, start, end, ...), and the kept bytes if wanted."""
     chunks = max(1, -(-total_bytes(docs, text_col) // chunk_bytes))
     buckets = max(1, -(-chunks // 2))
@@ -326,9 +372,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.binary()]
         return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=[c.split()[0] for c in RESULT.split(", ")])
 
-    told = answer(ask(chunked, None, 1, lambda table, told: upto(table, told, 0).ask_grams()), shared_grams)
+    told = answer(ask(chunked, None, 1, lambda table, told: upto(table, told, 0).ask_grams()), lambda rows: shared_grams(rows, many))
     told = answer(ask(chunked, told, 2, lambda table, told: upto(table, told, 1).ask_segments()), least_documents)
-    told = answer(ask(chunked, told, 3, lambda table, told: upto(table, told, 2).ask_windows()), repeated_windows)
+    told = answer(ask(chunked, told, 3, lambda table, told: upto(table, told, 2).ask_windows()),
+                  lambda rows: (repeated_windows if rows[0].bucket < buckets else least_documents)(rows))
     return conclude(chunked, told, result, RESULT)
 
 

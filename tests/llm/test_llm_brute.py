@@ -65,6 +65,45 @@ def test_suffix_dedup_against_all_strings(spark):
         assert got[i].n_spans == int((np.diff(gone.astype(int), prepend=0) == 1).sum())
 
 
+@pytest.mark.parametrize("many", (0, 3, 40))
+def test_hot_passages_with_own_ends(spark, many):
+    rng = random.Random(many)
+    own = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    hot, tail = own(130), own(60)
+    docs = [(i, own(rng.randint(0, 60)) + hot[rng.choice((0, 0, 1, 9)):] + rng.choice(["", tail, own(40)])) for i in range(80)]
+    docs += [(i, hot + hot[:rng.randint(40, 130)] + rng.choice(["", tail])) for i in range(80, 100)] + [(None, hot), (5, hot + tail)]
+    rng.shuffle(docs)
+    first = {}
+    for i, t in docs:
+        for p in range(len(t) - 49) if i is not None else ():
+            first[t[p:p + 50]] = min(i, first.get(t[p:p + 50], i))
+    want = Counter()
+    for i, t in docs:
+        gone = np.zeros(len(t), bool)
+        for p in range(len(t) - 49) if i is not None else ():
+            if first[t[p:p + 50]] < i:
+                gone[p:p + 50] = True
+        want[i, hashlib.sha256(np.frombuffer(t.encode(), np.uint8)[~gone].tobytes()).hexdigest()] += 1
+    rows = suffix.remove_repeats(table(spark, docs), chunk_bytes=2000, many=many).collect()
+    assert Counter((r.id, r.kept_sha256) for r in rows) == want
+
+
+def test_no_bucket_follows_a_hot_passage():
+    import pyarrow as pa
+
+    rng = random.Random(1)
+    own = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    hot = own(200)
+    chunk = suffix.Chunk(pa.table({"id": list(range(20_000)), "text": [own(50) + hot + own(50) for _ in range(20_000)], "chunk": [0] * 20_000}), 256)
+    most = lambda rows: max(Counter({b: sum(len(r.data) + len(r.more) + len(r.last) for r in rows if r.bucket == b) for b in {r.bucket for r in rows}}).values())
+    chunk.grams()
+    told = lambda work, rows: [a for b in sorted({r.bucket for r in rows}) for a in work([r for r in rows if r.bucket == b])]
+    chunk.entries(told(suffix.shared_grams, chunk.ask_grams()))
+    assert most(chunk.ask_segments()) < 100_000  # different ends, of 20 bytes each, are dealt out
+    chunk.odd(told(suffix.least_documents, chunk.ask_segments()))
+    assert most(chunk.ask_windows()) < 400_000  # as text, of 92 bytes each, at most MANY of one q-gram
+
+
 def test_bucket_pointers_order_strings():
     rng = np.random.default_rng(0)
     data = rng.integers(97, 99, 400).astype(np.uint8)
