@@ -26,13 +26,12 @@ def _is_product(node: Column) -> Column:
             | F.try_variant_get(node, "$.items", "variant").isNotNull())
 
 
-def find_product_records(payloads: DataFrame, max_depth: int = 10) -> DataFrame:
+def find_product_records(payloads: DataFrame) -> DataFrame:
     """Every object in a JSON payload that has ``productName`` or ``items``, nested hits too.
 
-    The payload is parsed once and walked level by level inside the row. What lies deeper than
-    ``max_depth`` containers is not searched; ``quarantined_payloads`` names those payloads.
+    The payload is parsed once and walked level by level inside the row, to its last level.
     """
-    hits = _walk(_root(), _is_product, _children, max_depth)["hits"]
+    hits = _walk_all(_root(), _is_product, _children, 10)
     return payloads.select(*payloads.drop("raw").columns, F.posexplode(hits).alias("pos", "_v")).withColumn(
         "record", F.to_json("_v")).drop("_v")
 
@@ -51,16 +50,36 @@ def _walk(roots: Column, keep, children, max_depth: int) -> Column:
 
     One fold, so no level is evaluated twice.
     """
-    none = F.expr(_NO_NODES)
     return F.aggregate(
-        F.sequence(F.lit(1), F.lit(max_depth)),
-        F.struct(none.alias("hits"), F.coalesce(roots, none).alias("level")),
-        lambda acc, _: F.struct(
-            F.concat(acc["hits"], F.filter(acc["level"], keep)).alias("hits"),
-            F.flatten(F.transform(acc["level"], children)).alias("level")),
+        F.sequence(F.lit(1), F.lit(max_depth)), _first_level(roots), lambda acc, _: _next_level(acc, keep, children),
         lambda acc: F.struct(acc["hits"].alias("hits"), (F.size(acc["level"]) > 0).alias("deeper")))
 
 
+def _walk_all(roots: Column, keep, children, usual_depth: int) -> Column:
+    """Kept nodes of all levels in breadth-first order, at any depth.
+
+    The fold goes on where levels are left after the usual ones: JSON has no more levels than opening brackets.
+    """
+    usual = F.aggregate(
+        F.sequence(F.lit(1), F.lit(usual_depth)), _first_level(roots), lambda acc, _: _next_level(acc, keep, children))
+    most = F.length("raw") - F.length(F.translate("raw", "[{", "")) + 1
+    return F.get(F.transform(F.array(usual), lambda found: F.when(F.size(found["level"]) == 0, found["hits"]).otherwise(F.aggregate(
+        F.sequence(F.lit(1), most), found,
+        lambda acc, _: F.when(F.size(acc["level"]) == 0, acc).otherwise(_next_level(acc, keep, children)),
+        lambda acc: acc["hits"]))), F.lit(0))
+
+
+def _first_level(roots: Column) -> Column:
+    none = F.expr(_NO_NODES)
+    return F.struct(none.alias("hits"), F.coalesce(roots, none).alias("level"))
+
+
+def _next_level(acc: Column, keep, children) -> Column:
+    return F.struct(
+        F.concat(acc["hits"], F.filter(acc["level"], keep)).alias("hits"),
+        F.flatten(F.transform(acc["level"], children)).alias("level"))
+
+
 def _truthy(text: Column) -> Column:
     return text.isNotNull() & ~F.lower(text).isin("", "0", "0.0", "false")
 
@@ -162,21 +181,22 @@ def fetch_outcome(error_code: Column, status: Column, body: Column) -> Column:
     )
 
 
-def _category_walk(max_depth: int) -> Column:
-    def children(node: Column) -> Column:
-        kids = [F.try_variant_get(node, f"$.{n}", "array<variant>") for n in ("children", "Children")]
-        return F.coalesce(*kids, F.expr(_NO_NODES))
+def _category_roots() -> Column:
+    return F.try_parse_json("raw").try_cast("array<variant>")
+
 
-    return _walk(F.try_parse_json("raw").try_cast("array<variant>"), lambda _: F.lit(True), children, max_depth)
+def _category_children(node: Column) -> Column:
+    kids = [F.try_variant_get(node, f"$.{n}", "array<variant>") for n in ("children", "Children")]
+    return F.coalesce(*kids, F.expr(_NO_NODES))
 
 
 def quarantined_category_trees(payloads: DataFrame, max_depth: int = 8) -> DataFrame:
     """Category payloads with nodes below ``max_depth`` levels."""
-    return payloads.filter(_category_walk(max_depth)["deeper"])
+    return payloads.filter(_walk(_category_roots(), lambda _: F.lit(True), _category_children, max_depth)["deeper"])
 
 
-def flatten_category_trees(payloads: DataFrame, max_depth: int = 8) -> DataFrame:
-    """Nodes of nested category payloads: id, name, path and URL, down to ``max_depth`` levels.
+def flatten_category_trees(payloads: DataFrame) -> DataFrame:
+    """Nodes of nested category payloads: id, name, path and URL, at any depth.
 
     The path is the URL path without outer slashes, else the slug of the name.
     """
@@ -184,7 +204,7 @@ def flatten_category_trees(payloads: DataFrame, max_depth: int = 8) -> DataFrame
         return first_clean(*[F.try_variant_get(node, f"$.{n}", "string") for n in names])
 
     keys = payloads.drop("raw").columns
-    nodes = payloads.select(*keys, F.explode(_category_walk(max_depth)["hits"]).alias("n"))
+    nodes = payloads.select(*keys, F.explode(_walk_all(_category_roots(), lambda _: F.lit(True), _category_children, 8)).alias("n"))
     n = F.col("n")
     url_path = F.regexp_replace(F.regexp_replace("url", r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*", ""), r"[?#].*$", "")
     return (

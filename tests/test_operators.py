@@ -126,6 +126,18 @@ def test_payload_spellings_and_malformed_json(spark):
     assert {r["id"] for r in payloads.find_product_records(both).collect()} == {0, 1}  # a deep payload doesn't stop the others
 
 
+def test_payloads_are_walked_to_their_last_level(spark):
+    deep = '{"a":[' * 40 + '{"productName":"low","items":[{"items":2}]}' + "]}" * 40
+    flat = '{"productName":"p[{[{"}'
+    rows = spark.createDataFrame([(0, '{"items":' * 12 + "1" + "}" * 12), (1, deep), (2, flat), (3, None), (4, "{")], "id int, raw string")
+    got = sorted((r["id"], r["pos"], r["record"]) for r in payloads.find_product_records(rows).collect())
+    assert [(i, p) for i, p, _ in got] == [*((0, k) for k in range(12)), (1, 0), (1, 1), (2, 0)]
+    assert [r for i, _, r in got if i == 1] == ['{"items":[{"items":2}],"productName":"low"}', '{"items":2}']
+    tree = "".join(f'[{{"id":"{k}","name":"n{k}","children":' for k in range(30)) + "[]" + "}]" * 30
+    nodes = payloads.flatten_category_trees(spark.createDataFrame([(0, tree), (1, '[{"id":"x","name":"y"}]')], "k int, raw string")).collect()
+    assert sorted((r["k"], r["id"]) for r in nodes) == sorted([*((0, str(k)) for k in range(30)), (1, "x")])
+
+
 def test_basket_quantities(spark):
     lines = spark.createDataFrame(
         [("b", " 12345678 ", 0.4), ("b", "12345678", 98.5), ("b", "1234", 1.0), ("b", "87654321", -1.0), ("b", "11111111", float("nan"))],
