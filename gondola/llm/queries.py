@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .. import session
-from . import decontam, langid, lines, mixing, neardup, pii, ppm, prefixhash, suffix, toxicity
+from . import decontam, langid, lines, mixing, neardup, phrases, pii, ppm, prefixhash, sharding, suffix, toxicity, whitening
 
 #: Rows of an Arrow batch: texts are long, and a batch must fit a small Python worker.
 SETTINGS = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
@@ -34,8 +34,12 @@ QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {
     "op8_fingerprints": lambda t: prefixhash.report(t.documents),
     "op9_source_mix": lambda t: mixing.report(t.documents, t.labels),
     "op10_pii": lambda t: pii.report(t.documents),
+    "op11_collocations": lambda t: phrases.report(t.documents),
+    "op12_whitening": lambda t: whitening.report(t.embeddings),
+    "op13_sharding": lambda t: sharding.report(t.documents),
 }
-SQL: dict[str, str] = {"op1_suffix_dedup": suffix.SQL, "op4_near_duplicates": neardup.SQL, "op6_line_dedup": lines.SQL, "op9_source_mix": mixing.SQL}
+SQL: dict[str, str] = {"op1_suffix_dedup": suffix.SQL, "op4_near_duplicates": neardup.SQL, "op6_line_dedup": lines.SQL, "op9_source_mix": mixing.SQL,
+                       "op11_collocations": phrases.SQL}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
