@@ -139,15 +139,16 @@ def communication_matrix(pieces: DataFrame, shards: int, seed: int = 1, group: i
         above = F.pmod(F.xxhash64("unit", F.lit(seed + len(levels))), F.lit(width))
         levels[-1] = levels[-1].withColumn("above", above)
         levels.append(levels[-1].groupBy(F.col("above").alias("unit")).agg(F.sum("n").alias("n")))
-    levels[-1] = levels[-1].withColumn("above", F.lit(0).cast("bigint"))
-    counts = levels[-1].groupBy("above").agg(F.sum("n").alias("n")).select(
-        F.col("above").alias("unit"), shard_sizes(F.col("n"), shards).alias("counts"))
-    for depth, level in reversed(list(enumerate(levels))):
-        sizes = level.groupBy("above").agg(F.array_sort(F.collect_list(F.struct("unit", "n"))).alias("sizes"))
-        dealt = sizes.join(counts.withColumnRenamed("unit", "above"), "above").select(
-            F.explode(dealt_counts(F.col("sizes"), F.col("counts"), seed * 100 + depth)).alias("d"))
-        counts = dealt.select("d.unit", "d.counts")
-    return counts
+    top = levels.pop()
+    listed = F.array_sort(F.collect_list(F.struct("unit", "n"))).alias("sizes")
+    # one row of at most ``group`` sizes
+    whole = F.aggregate("sizes", F.lit(0).cast("bigint"), lambda a, u: a + u["n"])
+    dealt = top.agg(listed).select(F.explode(dealt_counts(F.col("sizes"), shard_sizes(whole, shards), seed * 100)).alias("d"))
+    for depth, level in enumerate(reversed(levels), 1):
+        counts = dealt.select(F.col("d.unit").alias("above"), "d.counts")
+        sizes = level.groupBy("above").agg(listed).join(counts, "above")
+        dealt = sizes.select(F.explode(dealt_counts(F.col("sizes"), F.col("counts"), seed * 100 + depth)).alias("d"))
+    return dealt.select("d.unit", "d.counts")
 
 
 def shuffle_into_shards(docs: DataFrame, shards: int = SHARDS, seed: int = 1, piece_bits: int = PIECE_BITS, part_rows: int = PART_ROWS) -> DataFrame:
