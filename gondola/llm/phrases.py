@@ -36,7 +36,7 @@ from .shared import stored
 from .text import SLICE, U, as_bytes, mixed, powers, span_hash, words_of
 
 LONGEST = 5
-CHUNK_BYTES = 32 << 20
+CHUNK_BYTES = 12 << 20
 UNKNOWN = "und"
 
 _DELIMITERS = b".,;:!?\n\x0b\x0c\r"
@@ -67,7 +67,8 @@ def parts_of(text: bytes, limit: int = SLICE) -> Iterator[bytes]:
             end = len(text) - len(rest) + int(ends[0]) + 1 if len(ends) else len(text)
         yield text[at:end]
         at = end
-    yield text[at:]
+    if at < len(text):
+        yield text[at:]
 
 
 class ChunkWords:
@@ -80,20 +81,21 @@ class ChunkWords:
         seeds = np.array([int.from_bytes(blake2b(v.encode(), digest_size=8).digest(), "little") for v in self.langs], U)
         data, code, start, size, piece, lang = [], [], [], [], [], []
         offset = pieces = 0
+        wide = np.int32 if 2 * table.nbytes < 1 << 31 else np.int64  # places within the chunk
         for texts, of in self._slices(as_bytes(table["text"]), [number[v] for v in names]):
             w = words_of(texts, IN_WORD)
             inside = np.cumsum(DELIMITER[w.data])
             lang.append(np.repeat(np.array(of, np.int32), np.diff(w.bounds)))
             code.append(mixed(w.hash + seeds[lang[-1]]))
-            start.append(w.start + offset)
+            start.append((w.start + offset).astype(wide))
             size.append((w.end - w.start).astype(np.int32))
-            piece.append((inside[w.start] + pieces).astype(np.int64))
+            piece.append((inside[w.start] + pieces).astype(wide))
             data.append(w.data)
             offset += len(w.data)
             pieces += int(inside[-1]) + 1
         join = lambda found, kind: np.concatenate(found) if found else np.zeros(0, kind)
-        self.data, self.code, self.start = join(data, np.uint8), join(code, U), join(start, np.int64)
-        self.size, self.piece, self.lang = join(size, np.int32), join(piece, np.int64), join(lang, np.int32)
+        self.data, self.code, self.start = join(data, np.uint8), join(code, U), join(start, np.int32)
+        self.size, self.piece, self.lang = join(size, np.int32), join(piece, np.int32), join(lang, np.int32)
         self.prefix = np.zeros(len(self.code) + 1, U)
         np.cumsum(self.code * powers(len(self.code) + 1)[0][: len(self.code)], out=self.prefix[1:])
 
