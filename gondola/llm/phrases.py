@@ -6,9 +6,9 @@ fingerprints with saturated counts and put them to buckets of the fingerprint
 space; a bucket answers each chunk with those that are frequent over all chunks.
 The row of a chunk is the occurrence pointer: a frequent fingerprint is looked
 up again where the chunk holds it, each of its occurrences is compared with the
-text of the first, and only then does a phrase become text. Counts are summed
-by text, so colliding fingerprints cost a few phrases too many on the way and
-never a wrong count. A phrase can only be frequent if the two phrases one word
+text of the first, and only then does a phrase become text. The bucket sums its
+counts by text and only frequent ones become rows, so colliding fingerprints
+cost a few phrases too many on the way and never a wrong count. A phrase can only be frequent if the two phrases one word
 shorter are, which keeps rare words out of the longer rounds.
 
 Memory follows the chunk (``chunk_bytes``) or the longest piece of text, and a
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .chunks import Row, answer, ask, conclude, joined, split, total_bytes
+from .chunks import ROWS, Row, _table, answer, ask, conclude, joined, split, total_bytes
 from .shared import stored
 from .text import SLICE, U, as_bytes, mixed, powers, span_hash, words_of
 
@@ -179,8 +179,8 @@ def told_keys(told: dict[int, list[Row]]) -> np.ndarray:
     return np.sort(np.concatenate(found)) if found else np.zeros(0, U)
 
 
-def materialised(words: ChunkWords, at: np.ndarray, keys: np.ndarray, length: int, ids: np.ndarray) -> Iterator[tuple[int, bytes, int]]:
-    """(lang, phrase, times) of the occurrences, told apart by their words and not by their fingerprints.
+def materialised(words: ChunkWords, at: np.ndarray, keys: np.ndarray, length: int, ids: np.ndarray) -> Iterator[tuple[int, int, bytes, int]]:
+    """(bucket, lang, phrase, times) of the occurrences, told apart by their words and not by their fingerprints.
 
     ``ids`` numbers the frequent words of the chunk by text; a phrase with another word
     only collides with a frequent one. Occurrences that differ from the first of their
@@ -198,11 +198,37 @@ def materialised(words: ChunkWords, at: np.ndarray, keys: np.ndarray, length: in
     for j in range(length):
         same &= ids[at + j] == ids[leader[group] + j]
     times = np.bincount(group[same], minlength=len(known))
-    for p, n in zip(leader.tolist(), times.tolist()):
-        yield int(words.lang[p]), _phrase(words, p, length), n
-    odd = Counter((int(words.lang[p]), _phrase(words, p, length)) for p in at[~same].tolist())
-    for (lang, phrase), n in odd.items():
-        yield lang, phrase, n
+    buckets = (known >> U(32)).tolist()
+    for b, p, n in zip(buckets, leader.tolist(), times.tolist()):
+        yield b, int(words.lang[p]), _phrase(words, p, length), n
+    odd = Counter((buckets[g], int(words.lang[p]), _phrase(words, p, length)) for p, g in zip(at[~same].tolist(), group[~same].tolist()))
+    for (b, lang, phrase), n in odd.items():
+        yield b, lang, phrase, n
+
+
+def packed_phrases(words: ChunkWords, chunk: int, found: Iterator[tuple[int, int, bytes, int]]) -> list[Row]:
+    """One row per bucket and language: phrases by line (no phrase holds a line end), their counts, the language."""
+    held: dict[tuple[int, int], tuple[list[bytes], list[int]]] = {}
+    for b, lang, phrase, n in found:
+        lines, times = held.setdefault((b, lang), ([], []))
+        lines.append(phrase)
+        times.append(n)
+    return [Row(b, chunk, b"\n".join(lines), np.array(times, np.int64).tobytes(), words.langs[lang].encode())
+            for (b, lang), (lines, times) in held.items()]
+
+
+def summed_phrases(table: pa.Table, least: int) -> pa.Table:
+    """Counts of a bucket's phrases over all chunks, by text: those that reach ``least``, and the numbers of all words."""
+    total: dict[bytes, Counter] = {}
+    for lang, lines, times in zip(*[table[n].to_pylist() for n in ("last", "data", "more")]):
+        count = total.setdefault(lang, Counter())
+        for phrase, n in zip(lines.split(b"\n"), np.frombuffer(times, np.int64).tolist()):
+            count[phrase] += n
+    out = [(lang.decode("utf-8", "replace"), phrase.decode("utf-8", "replace") or None, phrase.count(b" ") + 1, n)
+           for lang, count in total.items() for phrase, n in count.items() if n >= least or not phrase]
+    kinds = [pa.string(), pa.string(), pa.int32(), pa.int64()]
+    columns = list(zip(*out)) or [()] * len(kinds)
+    return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["lang", "phrase", "words", "times"])
 
 
 def _phrase(words: ChunkWords, p: int, length: int) -> bytes:
@@ -258,24 +284,27 @@ def phrase_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def last_round(left: pa.Table, told) -> pa.Table:
         words, known = ChunkWords(left), told_keys(told)
-        out = [(words.langs[i], None, 0, n) for i, n in enumerate(np.bincount(words.lang, minlength=len(words.langs)).tolist())]
-        at, ids = words.starts(1), None
-        for n in range(1, longest + 1):
-            at = at if n == 1 else extended(words, at, n)
-            keys = words.keys(at, n, buckets)
-            often = _among(keys, known)
-            at, keys = at[often], keys[often]
-            ids = word_ids(words, at, keys) if n == 1 else ids
-            out += [(words.langs[i], p.decode("utf-8", "replace"), n, times) for i, p, times in materialised(words, at, keys, n, ids)]
-        kinds = [pa.string(), pa.string(), pa.int32(), pa.int64()]
-        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["lang", "phrase", "words", "times"])
+        chunk = left["chunk"][0].as_py()
+
+        def found() -> Iterator[tuple[int, int, bytes, int]]:
+            for i, n in enumerate(np.bincount(words.lang, minlength=len(words.langs)).tolist()):
+                yield 0, i, b"", n
+            at, ids = words.starts(1), np.zeros(0)
+            for n in range(1, longest + 1):
+                at = at if n == 1 else extended(words, at, n)
+                keys = words.keys(at, n, buckets)
+                often = _among(keys, known)
+                at, keys = at[often], keys[often]
+                ids = word_ids(words, at, keys) if n == 1 else ids
+                yield from materialised(words, at, keys, n, ids)
+
+        return _table([(r.bucket, r.bucket, r.chunk, 3, r.data, r.more, r.last) for r in packed_phrases(words, chunk, found())])
 
     judge: Callable = lambda rows: frequent(rows, least)
     told = answer(ask(dealt, None, 1, first_round), judge)
     told = answer(ask(dealt, told, 2, second_round), judge)
-    found = conclude(dealt, told, last_round, FOUND)
-    return found.groupBy("lang", "phrase", "words").agg(F.sum("times").alias("times")).where(
-        F.col("phrase").isNull() | (F.col("times") >= least))
+    found = conclude(dealt, told, last_round, ROWS)
+    return found.groupBy("key").applyInArrow(lambda table: summed_phrases(table, least), FOUND)
 
 
 # -- collocations ---------------------------------------------------------------------

@@ -83,7 +83,7 @@ def test_colliding_fingerprints_do_not_change_counts(spark, monkeypatch):
     for i in range(1, 4):
         at = words.starts(i)
         got = Counter()
-        for lang, phrase, n in phrases.materialised(words, at, words.keys(at, i, 1), i, ids):
+        for _, lang, phrase, n in phrases.materialised(words, at, words.keys(at, i, 1), i, ids):
             got[words.langs[lang], phrase.decode()] += n
         want = Counter()
         for _, text, lang in rows:
