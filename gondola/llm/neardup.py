@@ -32,15 +32,26 @@ from .text import as_bytes, mixed, ngram_hashes, slices, words_of
 BANDS, ROWS = 36, 6
 M = BANDS * ROWS
 BASE, RATE, TOP = 1.001, 100.0, 65535
-LIKELY = 0.68  # a pair of similarity 0.8 is estimated lower once in 100,000 times at this number of registers
 BLOCK = 512
-BITS_OFF = 29  # of 128 register bits; 12.8 on average at similarity 0.8, with a deviation of 3.4
+LEAST_PERCENT = 80  # below, pairs often share no band
 
 _u = np.arange(1, M + 1, dtype=np.uint64)
 MULTIPLIERS = mixed(_u * np.uint64(0xA0761D6478BD642F)) | np.uint64(1)
 OFFSETS = mixed(_u * np.uint64(0xE7037ED1A0B428DB))
 
 
+def likely(percent: int) -> float:
+    """Estimates below this are taken as unlinked: a pair at the threshold falls there once in 100,000 times (0.68 at 80)."""
+    j = percent / 100
+    return j - 4.4 * (j * (1 - j) / M) ** 0.5 - 1e-4  # the search for the estimate stops that close
+
+
+def bits_off(percent: int) -> int:
+    """How many of 128 register bits may differ: the mean at the threshold and 4.8 deviations (29 at 80)."""
+    p = (1 - percent / 100) / 2
+    return int(128 * p + 4.8 * (128 * p * (1 - p)) ** 0.5)
+
+
 def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text."""
     words = words_of(texts)
@@ -83,11 +94,11 @@ def likelihood(same: np.ndarray, more: np.ndarray, less: np.ndarray, n: np.ndarr
     return (low + high) / 2
 
 
-SKETCH = "id bigint, n bigint, set_a bigint, set_b bigint, bits_a bigint, bits_b bigint, regs binary, bands array<bigint>"
+SKETCH = "id bigint, n bigint, set_a bigint, set_b bigint, bits_a bigint, bits_b bigint, regs binary"
 
 
 def sketches(docs: DataFrame, width: int) -> DataFrame:
-    """One row per document (id, text): set size, 128-bit set identity, registers and band keys."""
+    """One row per document (id, text): set size, 128-bit set identity and registers."""
     band = mixed(np.arange(1, BANDS + 1, dtype=np.uint64))
 
     def run(batches):
@@ -96,24 +107,37 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
             for a, b in slices(texts):
                 sets = shingle_sets(texts[a:b], width)
                 regs = registers(sets)
-                keys = np.repeat(band[None], len(sets), 0)
-                for k in range(ROWS):
-                    keys = mixed(keys + regs[:, k::ROWS].astype(np.uint64))
                 odd = np.packbits((mixed(regs[:, :128].astype(np.uint64) + band[:1]) >> np.uint64(63)).astype(np.uint8), axis=1).view(np.int64)
                 one = np.array([s.sum() for s in map(mixed, sets)], np.uint64).view(np.int64)
                 two = np.array([mixed(s ^ np.uint64(0x5555)).sum() for s in sets], np.uint64).view(np.int64)
-                ends = np.arange(0, BANDS * len(sets) + 1, BANDS, dtype=np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(a, b - a).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(one),
-                     pa.array(two), pa.array(odd[:, 0].copy()), pa.array(odd[:, 1].copy()), pa.array([r.tobytes() for r in regs], pa.binary()),
-                     pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.ravel().view(np.int64)))],
-                    names=["id", "n", "set_a", "set_b", "bits_a", "bits_b", "regs", "bands"])
+                     pa.array(two), pa.array(odd[:, 0].copy()), pa.array(odd[:, 1].copy()), pa.array([r.tobytes() for r in regs], pa.binary())],
+                    names=["id", "n", "set_a", "set_b", "bits_a", "bits_b", "regs"])
 
     return docs.mapInArrow(run, SKETCH)
 
 
-def _likely(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+def band_keys(reps: DataFrame) -> DataFrame:
+    """(id, key): a hash of the registers of each band; keys of different bands differ."""
+    band = mixed(np.arange(1, BANDS + 1, dtype=np.uint64))
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                regs = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, M)
+                keys = np.repeat(band[None], len(regs), 0)
+                for k in range(ROWS):
+                    keys = mixed(keys + regs[:, k::ROWS].astype(np.uint64))
+                each = pa.array(np.repeat(np.arange(len(regs)), BANDS))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(each), pa.array(keys.ravel().view(np.int64))], names=["id", "key"])
+
+    return reps.select("id", "regs").mapInArrow(run, "id bigint, key bigint")
+
+
+def _likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose registers estimate a similarity near the threshold or above."""
+    least = likely(percent)
     side = lambda c: reps.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("regs").alias(f"regs_{c}"))
 
     def run(batches):
@@ -122,16 +146,16 @@ def _likely(pairs: DataFrame, reps: DataFrame) -> DataFrame:
             n, other = (batch.column(c).to_numpy().astype(float) for c in ("n_a", "n_b"))
             same, more = (regs[0] == regs[1]).sum(1), (regs[0] > regs[1]).sum(1)
             j = likelihood(same, more, M - same - more, n, other) if len(n) else np.zeros(0)
-            yield batch.select(["a", "b"]).filter(pa.array(j >= LIKELY))
+            yield batch.select(["a", "b"]).filter(pa.array(j >= least))
 
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "regs_a", "regs_b").mapInArrow(run, "a bigint, b bigint")
 
 
-def _possible(a: str, b: str):
+def _possible(a: str, b: str, percent: int):
     """The bounds that need no register: set sizes and a bit of each of 128 registers."""
     n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
     off = F.bit_count(F.col(f"{a}.bits_a").bitwiseXOR(F.col(f"{b}.bits_a"))) + F.bit_count(F.col(f"{a}.bits_b").bitwiseXOR(F.col(f"{b}.bits_b")))
-    return (100 * F.least(n, m) >= 80 * F.greatest(n, m)) & (off <= BITS_OFF)
+    return (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (off <= bits_off(percent))
 
 
 def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -192,8 +216,11 @@ def _sides(run: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return (every, every, run["group"].to_numpy()) if p == q else (every[block == p], every[block == q], run["group"].to_numpy())
 
 
-def _promising(members: DataFrame) -> DataFrame:
+def _promising(members: DataFrame, percent: int) -> DataFrame:
     """(arena, id) of members whose registers suggest a link to another component's member in their arena."""
+    least = likely(percent)
+    few = (least - 0.08) * M
+
     def run(batches):
         for table in _runs(batches):
             one, two, group = _sides(table)
@@ -202,13 +229,13 @@ def _promising(members: DataFrame) -> DataFrame:
             found = set()
             for i in one:
                 others = two[(group[two] != group[i]) & (two != i)]
-                others = others[100 * np.minimum(n[others], n[i]) >= 80 * np.maximum(n[others], n[i])]
+                others = others[100 * np.minimum(n[others], n[i]) >= percent * np.maximum(n[others], n[i])]
                 same = (regs[others] == regs[i]).sum(1)
-                others, same = others[same >= 0.6 * M], same[same >= 0.6 * M]
+                others, same = others[same >= few], same[same >= few]
                 if len(others):
                     more = (regs[others] < regs[i]).sum(1)
-                    likely = others[likelihood(same, more, M - same - more, np.full(len(others), n[i]), n[others]) >= LIKELY]
-                    found.update(ids[likely].tolist(), ids[[i]].tolist() if len(likely) else ())
+                    near = others[likelihood(same, more, M - same - more, np.full(len(others), n[i]), n[others]) >= least]
+                    found.update(ids[near].tolist(), ids[[i]].tolist() if len(near) else ())
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([table["arena"][0].as_py()] * len(found), pa.int64()), pa.array(sorted(found), pa.int64())],
                                                  names=["arena", "id"])
@@ -249,23 +276,26 @@ def _confirmed(members: DataFrame, width: int, percent: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """(id, n, component) of every row: set size and least id of its group of near-duplicates."""
+    """(id, n, component) of every row: set size and least id of its group of near-duplicates; ``percent`` from 80."""
+    if not LEAST_PERCENT <= percent <= 100:
+        raise ValueError(f"percent must be from {LEAST_PERCENT} to 100")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     drawn = stored(sketches(texts, width), "sketches")
     sets = drawn.where("n > 0 AND id IS NOT NULL")
     classes = stored(sets.groupBy("set_a", "set_b", "n").agg(F.min("id").alias("rep")), "classes")
     reps = sets.join(classes.select(F.col("rep").alias("id"), "set_a", "set_b", "n"), ["id", "set_a", "set_b", "n"], "left_semi")
-    reps = reps.dropDuplicates(["id", "set_a", "set_b"])
-    keyed = reps.select("id", F.explode("bands").alias("key"))
+    # read many times below: each would bring all registers through two shuffles again
+    reps = stored(reps.dropDuplicates(["id", "set_a", "set_b"]), "reps")
+    keyed = band_keys(reps)
     leaders = keyed.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("last")).where("leader < last").drop("last")
     buckets = stored(keyed.join(leaders, "key"), "buckets")
     brief = reps.select("id", "n", "bits_a", "bits_b")
 
     star = buckets.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
     star = star.join(brief.alias("x"), F.col("a") == F.col("x.id")).join(brief.alias("y"), F.col("b") == F.col("y.id")).where(
-        _possible("x", "y")).select("a", "b")
+        _possible("x", "y", percent)).select("a", "b")
     rep_texts = texts.where("id IS NOT NULL")
-    links = stored(verified(_likely(star, reps), rep_texts, width, percent), "links")
+    links = stored(verified(_likely(star, reps, percent), rep_texts, width, percent), "links")
     groups = components(links)
 
     # Members outside their leader's component can still be linked with one another or with members that are inside.
@@ -276,7 +306,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     outside = placed.where("group <> lead")
     inside = placed.where("group = lead").join(outside.select("key").distinct(), "key", "left_semi")
     arenas = stored(outside.unionAll(inside).select(F.col("lead").alias("arena"), "id", "group").distinct(), "arenas")
-    promising = stored(_promising(arenas.join(reps.select("id", "n", "regs"), "id")), "promising")
+    promising = stored(_promising(arenas.join(reps.select("id", "n", "regs"), "id"), percent), "promising")
     if not promising.isEmpty():
         ids = promising.select("id").distinct()
         chosen = rep_texts.join(ids, "id", "left_semi").join(arenas.join(promising, ["arena", "id"]), "id")
