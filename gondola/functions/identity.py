@@ -20,8 +20,9 @@ def candidate_identity(**fields: Column) -> Column:
         for kind, value in fields.items()])
 
 
-def canonical_identity(sku: Column, url: Column, ean: Column, kind: Column, identity: Column, name: Column) -> Column:
-    """SKU, URL, EAN, then the given identity, then the name, else a hash of everything."""
+def canonical_identity(sku: Column, url: Column, ean: Column, kind: Column, identity: Column, name: Column,
+                       otherwise: Column | None = None) -> Column:
+    """SKU, URL, EAN, then the given identity, then the name, else ``otherwise`` or a hash of these fields."""
     def tagged(tag: str, value: Column) -> Column:
         return F.concat(F.lit(f"{tag}:"), value)
 
@@ -29,7 +30,8 @@ def canonical_identity(sku: Column, url: Column, ean: Column, kind: Column, iden
         sku.alias("sku"), url.alias("url"), ean.alias("ean"), kind.alias("kind"), identity.alias("identity"), name.alias("name"))), 256)
     return F.coalesce(
         tagged("sku", folded(sku)), tagged("url", normalized_product_url(url)), tagged("ean", folded(ean)),
-        F.concat(folded(kind), F.lit(":"), folded(identity)), tagged("name", folded(name)), tagged("hash", everything))
+        F.concat(folded(kind), F.lit(":"), folded(identity)), tagged("name", folded(name)),
+        tagged("hash", everything) if otherwise is None else otherwise)
 
 
 def idempotency_key(source: Column, ean: Column, sku: Column, limit: int = 120) -> Column:
@@ -56,7 +58,3 @@ def record_hash(names: list[str], arrays: tuple[str, ...] = ()) -> Column:
 def four_decimals(value: Column) -> Column:
     return value.cast("decimal(18,4)").cast("string")
 
-
-def first_clean_identity_text() -> Column:
-    """Any usable identity text of a candidate row; null when there is none."""
-    return F.coalesce(*[clean(F.col(c)) for c in ("sku_id", "product_url", "ean", "identity", "name")])

@@ -443,31 +443,43 @@ def category_counts(products: DataFrame) -> DataFrame:
         F.min("category").alias("name"), F.sum("n").alias("product_count"))
 
 
-def category_tree(categories: DataFrame, counts: DataFrame, max_depth: int = 6) -> DataFrame:
-    """Every category reachable from a root, with depth, slug path and own product count.
-
-    The ancestors are joined one level at a time, so the plan is linear and has
-    one row per category; a chain longer than ``max_depth`` is an error.
+# A level is one pass over the categories; ids already on the way down end a branch.
+_DESCENT = """
+WITH RECURSIVE tree AS (
+  SELECT id, name, slug, parent_id, 0 AS depth, slug AS path, array(id) AS visited,
+         parent_id IS NOT NULL AS orphan
+  FROM {categories} WHERE parent_id IS NULL OR parent_id NOT IN (SELECT id FROM {categories} WHERE id IS NOT NULL)
+  UNION ALL
+  SELECT c.id, c.name, c.slug, c.parent_id, t.depth + 1, t.path || '/' || c.slug, array_append(t.visited, c.id), t.orphan
+  FROM tree t JOIN {categories} c ON c.parent_id = t.id WHERE NOT array_contains(t.visited, c.id))
+SELECT * FROM tree"""
+
+
+def category_descent(categories: DataFrame) -> DataFrame:
+    """Every category below a root or below an orphan (one whose parent does not exist), at any depth: id, name, slug,
+    parent_id, depth, slug path, visited (the ids from the top) and orphan."""
+    spark = categories.sparkSession
+    # Spark ends a recursion after 100 levels or a million rows unless told otherwise
+    for limit in ("cteRecursionLevelLimit", "cteRecursionRowLimit"):
+        spark.conf.set(f"spark.sql.{limit}", "-1")
+    return spark.sql(_DESCENT, categories=categories.select("id", "name", "slug", "parent_id"))
+
+
+def category_tree(categories: DataFrame, counts: DataFrame) -> DataFrame:
+    """Every category reachable from a root, with depth, slug path and own product count."""
+    return category_descent(categories).filter("NOT orphan").join(counts.select("slug", "product_count"), "slug", "left").select(
+        "id", "name", "slug", "parent_id", "depth", "path", F.coalesce("product_count", F.lit(0)).alias("product_count"))
+
+
+def category_problems(categories: DataFrame) -> DataFrame:
+    """Categories that no root reaches: (id, name, slug, parent_id, problem).
+
+    problem is orphan for a category whose parent does not exist and all below it, cycle for those in or below a circle.
     """
-    tree = categories.select("id", "name", "slug", "parent_id").withColumns({
-        "path": F.col("slug"), "depth": F.lit(0), "above": F.col("parent_id"), "orphan": F.lit(False)})
-    for level in range(max_depth):
-        up = categories.select(
-            F.col("id").alias("up_id"), F.col("slug").alias("up_slug"), F.col("parent_id").alias("up_parent"))
-        joined = tree.join(up, F.col("above") == F.col("up_id"), "left")
-        found = F.col("up_id").isNotNull()
-        tree = joined.select(
-            "id", "name", "slug", "parent_id",
-            F.concat(F.coalesce(F.concat("up_slug", F.lit("/")), F.lit("")), "path").alias("path"),
-            (F.col("depth") + found.cast("int")).alias("depth"),
-            F.col("up_parent").alias("above"),
-            (F.col("orphan") | (F.col("above").isNotNull() & ~found)).alias("orphan"))
-    own = counts.select("slug", "product_count")
-    too_deep = F.raise_error(F.lit(f"category tree deeper than {max_depth} levels or cyclic"))
-    return tree.filter(~F.col("orphan")).join(own, "slug", "left").select(
-        "id", "name", "slug", "parent_id", "depth",
-        F.when(F.col("above").isNull(), F.col("path")).otherwise(too_deep.cast("string")).alias("path"),
-        F.coalesce("product_count", F.lit(0)).alias("product_count"))
+    columns = ["id", "name", "slug", "parent_id"]
+    reached = category_descent(categories).select("id", "orphan")
+    return categories.select(*columns).join(reached, "id", "left").filter(F.coalesce("orphan", F.lit(True))).select(
+        *columns, F.when(F.col("orphan"), "orphan").otherwise("cycle").alias("problem"))
 
 
 def category_by_slug(tree: DataFrame, slug: str) -> DataFrame:

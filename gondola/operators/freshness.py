@@ -19,6 +19,8 @@ BUCKETS = ("within_sla", "up_to_7d", "up_to_30d", "over_30d", "unknown")
 # Freshness targets and batch sizes of the refresh planning.
 TARGETS = (("recovery", 90), ("final", 95))
 BATCH_SIZES = (10, 25, 50)
+# Shrink of the rankable rows that blocks a baseline.
+MAX_SHRINK_PERCENT, MAX_SHRINK_ROWS = 1.0, 10
 
 
 def exclusion_reasons() -> Column:
@@ -91,7 +93,7 @@ def oldest_rankable(rows: DataFrame, top: int) -> DataFrame:
 
 
 def denominator_deltas(current: DataFrame, previous: DataFrame, explanations: DataFrame,
-                       max_percent: float = 1.0, max_rows: int = 10) -> DataFrame:
+                       max_percent: float = MAX_SHRINK_PERCENT, max_rows: int = MAX_SHRINK_ROWS) -> DataFrame:
     """Shrink of the rankable rows per source and overall against the previous snapshot.
 
     Inputs have (slug, rows); explanations name approved slugs, ``all`` for the total.
@@ -114,17 +116,37 @@ def denominator_deltas(current: DataFrame, previous: DataFrame, explanations: Da
     )
 
 
-def baseline_status(baseline: DataFrame, deltas: DataFrame, running_runs: Column, pending_rows: Column,
+def baseline_status(rows: DataFrame, now, explained: list[str], runs: DataFrame, staging: DataFrame,
                     target: float = 95.0, fail_under: float | None = None) -> DataFrame:
-    """One overall status row of the freshness baseline."""
-    blocked = deltas.agg(F.coalesce(F.bool_or("blocked"), F.lit(False))).scalar()
+    """One overall status row of the freshness baseline.
+
+    FAIL where the rankable rows of a source or of all shrank beyond the limits of ``denominator_deltas`` without an
+    explanation (slugs, ``all`` for the total) or freshness is under ``fail_under``; WARN with runs or staged rows still
+    open, or below the target. The rows are read once: measures per source first, then one row over the sources.
+    """
+    ranked = classified(rows, now)
+    per = ranked.groupBy("source_slug").agg(
+        F.count("*").alias("total_rows"), F.count_if(F.col("status") == fr.FRESH).alias("fresh_rows"),
+        F.count_if("rankable").alias("rankable_rows"), F.count_if("is_available").alias("_previous"))
+
+    def blocked(current: Column, previous: Column) -> Column:
+        shrink = F.greatest(F.lit(0), previous - current)
+        return (shrink > 0) & ((shrink > MAX_SHRINK_ROWS) | (shrink / previous * 100.0 > MAX_SHRINK_PERCENT))
+
+    unexplained = blocked(F.col("rankable_rows"), F.col("_previous")) & ~F.col("source_slug").isin(*explained)
+    overall = per.agg(
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("total_rows", "fresh_rows", "rankable_rows", "_previous")],
+        F.coalesce(F.bool_or(unexplained), F.lit(False)).alias("_blocked"))
+    total_blocked = F.lit("all" not in explained) & blocked(F.col("rankable_rows"), F.col("_previous"))
+    running = runs.agg(F.count_if(F.col("status") == "RUNNING")).scalar()
+    pending = staging.agg(F.count_if(F.col("status") == "PENDING")).scalar()
     share = F.col("freshness_percent")
     too_low = share < fail_under if fail_under is not None else F.lit(False)
-    work_open = (running_runs > 0) | (pending_rows > 0)
-    return baseline.filter(F.col("source_slug") == "all").withColumns({
-        "blocked": blocked, "running_runs": running_runs, "pending_rows": pending_rows}).select(
-        "total_rows", "fresh_rows", "freshness_percent", "rankable_rows",
-        verdict_of(F.col("blocked") | too_low, (F.col("running_runs") > 0) | (F.col("pending_rows") > 0) | (share < target)).alias("status"))
+    work_open = (F.col("running_runs") > 0) | (F.col("pending_rows") > 0)
+    return overall.withColumns({
+        "running_runs": running, "pending_rows": pending, "freshness_percent": percent(F.col("fresh_rows"), F.col("total_rows"))}).select(
+        "total_rows", "fresh_rows", "freshness_percent", "rankable_rows", "running_runs", "pending_rows",
+        verdict_of(F.col("_blocked") | total_blocked | too_low, work_open | (share < target)).alias("status"))
 
 
 def source_health(rows: DataFrame, now, target: float = 95.0, fail_under: float | None = None) -> DataFrame:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.identity import candidate_identity, canonical_identity, folded
+from ..functions.identity import candidate_identity, canonical_identity, folded, record_hash
 from ..functions.rules import reasons
 from ..functions.text import clean
 from ..functions.web import normalized_product_url
@@ -136,6 +136,12 @@ def comparison_counts(compared: DataFrame) -> DataFrame:
     return compared.groupBy("source", "status", "matched_by").agg(F.count("*").alias("rows"))
 
 
+def comparison_samples(compared: DataFrame, size: int = 25) -> DataFrame:
+    """The first ``size`` rows by id of every source and status, for a look by hand."""
+    first = Window.partitionBy("source", "status").orderBy("id")
+    return compared.withColumn("position", F.row_number().over(first)).filter(F.col("position") <= size)
+
+
 # -- sampling ------------------------------------------------------------------------
 def stratified_sample(candidates: DataFrame, seed: str, size: int) -> DataFrame:
     """Deterministic sample over category paths, ordered by hash inside each path.
@@ -147,7 +153,9 @@ def stratified_sample(candidates: DataFrame, seed: str, size: int) -> DataFrame:
     """
     if not seed.strip() or size <= 0:
         raise ValueError("sampling needs a seed and a positive size")
-    identity = canonical_identity(*[F.col(c) for c in ("sku_id", "product_url", "ean", "identity_kind", "identity", "name")])
+    # a row without any of these is told apart by everything it holds
+    whole = F.concat(F.lit("candidate:"), record_hash(candidates.columns))
+    identity = canonical_identity(*[F.col(c) for c in ("sku_id", "product_url", "ean", "identity_kind", "identity", "name")], whole)
     rows = candidates.withColumns({"category_path": folded(F.col("category_path")), "candidate_identity": identity}).filter(
         F.col("category_path").isNotNull())
     strata = rows.groupBy("category_path").agg(F.count("*").alias("n"))

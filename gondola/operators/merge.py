@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.freshness import at
 from ..functions.quality import has_items, has_text
+from ..sources import versions
 
 KEY = ["product_ean", "supermarket_id"]
 PRICE_COLUMNS = ["price", "list_price", "reference_price", "reference_unit", "is_available", "sku_id", "seller_id", "product_url"]
@@ -50,12 +51,25 @@ def protective_merge(products: DataFrame, canonical: DataFrame) -> DataFrame:
         *[c for c in products.columns], "changed")
 
 
+SHORTEST_EAN, LONGEST_EAN = 8, 14
+
+
+def is_ean(ean: Column) -> Column:
+    return F.coalesce(ean.rlike(rf"^[0-9]{{{SHORTEST_EAN},{LONGEST_EAN}}}\z"), F.lit(False))
+
+
 def created_id(ean: Column, store: Column) -> Column:
-    """Id of a row the merge creates: unique and the same in every rerun, below all ids given elsewhere.
+    """Id of a row the merge creates: one for each EAN text and store, the same in every rerun, below all ids given
+    elsewhere; null where the text is no EAN.
 
-    An EAN has at most 14 digits and a store number 16 bits, which together fit the negative 64-bit range.
+    Leading zeros make different texts: texts are numbered by length first, so those of one length follow all shorter
+    ones. That takes under 1.2e14 numbers, which fit the negative 64-bit range with a store number of 16 bits.
     """
-    return -(ean.cast("bigint") * F.lit(1 << 16) + store + 1)
+    shorter = F.lit(0).cast("bigint")
+    for digits in range(SHORTEST_EAN, LONGEST_EAN):
+        shorter = shorter + F.when(F.length(ean) > digits, F.lit(10 ** digits)).otherwise(F.lit(0))
+    number = F.when(is_ean(ean), ean.try_cast("bigint") + shorter)
+    return F.when((store >= 0) & (store < (1 << 16) - 1), -(number * F.lit(1 << 16) + store + 1))
 
 
 def _store_ids(winners: DataFrame, supermarkets: DataFrame) -> DataFrame:
@@ -64,7 +78,7 @@ def _store_ids(winners: DataFrame, supermarkets: DataFrame) -> DataFrame:
 
 
 def upsert_current(current: DataFrame, winners: DataFrame, supermarkets: DataFrame, now) -> DataFrame:
-    """Current prices after the batch, with the action taken per row."""
+    """Current prices after the batch, with the action taken per row; a row that cannot be created is left out."""
     new = _store_ids(winners, supermarkets).select(*KEY, F.struct(*PRICE_COLUMNS).alias("new"))
     joined = current.join(new, KEY, "full_outer")
     hit = F.col("new").isNotNull()
@@ -73,7 +87,21 @@ def upsert_current(current: DataFrame, winners: DataFrame, supermarkets: DataFra
     return joined.withColumns({
         "action": action, **values, "id": F.coalesce("id", created_id(F.col("product_ean"), F.col("supermarket_id"))),
         "last_checked_at": F.when(hit, at(now)).otherwise(F.col("last_checked_at")),
-    }).drop("new")
+    }).filter(F.col("id").isNotNull()).drop("new")
+
+
+def refused_creations(winners: DataFrame, current: DataFrame, supermarkets: DataFrame) -> DataFrame:
+    """Winners without a stored row whose EAN text or store number gives no id: (product_ean, supermarket_id)."""
+    rows = _store_ids(winners.select("ean", "source_slug"), supermarkets).select(*KEY)
+    return rows.filter(created_id(F.col("product_ean"), F.col("supermarket_id")).isNull()).join(current.select(*KEY), KEY, "left_anti")
+
+
+def merge_current(root: str, winners: DataFrame, supermarkets: DataFrame, now, version: int | None = None) -> versions.Manifest:
+    """The batch merged into the bucketed table of current prices at ``root``, as a new version of the buckets it touches."""
+    stores = supermarkets.select(F.col("slug").alias("source_slug"), F.col("id").alias("supermarket_id"))
+    changes = winners.join(stores, "source_slug").withColumn("product_ean", F.col("ean"))
+    return versions.merge(changes, root, lambda held, new: upsert_current(
+        held, new.drop("product_ean", "supermarket_id"), supermarkets, now), version)
 
 
 def planned_rows(winners: DataFrame, last: DataFrame, supermarkets: DataFrame, current: DataFrame) -> DataFrame:
@@ -93,7 +121,7 @@ def planned_rows(winners: DataFrame, last: DataFrame, supermarkets: DataFrame, c
 
 def history_to_append(planned: DataFrame, now) -> DataFrame:
     """History rows of the changed winners, at two decimals, keyed like the current rows they belong to."""
-    return planned.filter("changed").select(
+    return planned.filter(F.col("changed") & (F.col("id").isNotNull() | is_ean(F.col("product_ean")))).select(
         F.coalesce("id", created_id(F.col("product_ean"), F.col("supermarket_id"))).alias("supermarket_product_id"),
         at(now).alias("scraped_at"), *KEY, F.col("price").cast("decimal(18,2)").alias("price"), F.col("list_price").cast("decimal(10,2)").alias("list_price"), "first_row")
 

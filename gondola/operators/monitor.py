@@ -151,22 +151,54 @@ def ingestion_trend(staging: DataFrame, runs: DataFrame, now, days: int = 30) ->
         _coalesced("detected", "staged", "promoted", "rejected"))
 
 
-def admin_overview(run_rows: DataFrame, health_rows: DataFrame, trend: DataFrame, snapshot: DataFrame, staging: DataFrame,
-                   now, days: int = 30) -> DataFrame:
-    overall = freshness_overall(snapshot)
-    recent = staging.filter(F.col("created_at") >= _hours_before(now, days * 24))
-    quality = recent.agg(half_up(F.coalesce(F.avg("quality_score"), F.lit(0.0)) * 100.0, 1))
-    return run_rows.agg(
-        F.max("started_at").alias("latest_run_at"), F.count_if(F.col("status") == "FAILED").alias("failed_sources"),
-    ).select(
-        "latest_run_at", "failed_sources",
-        health_rows.agg(F.count_if(F.col("state") == "healthy")).scalar().alias("healthy_sources"),
-        health_rows.agg(F.count_if(F.col("state") == "blocked")).scalar().alias("blocked_sources"),
-        overall.select("freshness_percent").scalar().alias("freshness_percent"),
-        overall.select("sources_below_alert").scalar().alias("sources_below_sla"),
-        trend.agg(F.sum("promoted")).scalar().alias("promoted"),
-        trend.agg(F.sum("rejected")).scalar().alias("rejected"),
-        quality.scalar().alias("average_quality"))
+def admin_overview(supermarkets: DataFrame, runs: DataFrame, health: DataFrame, current: DataFrame, staging: DataFrame,
+                   now, stage_now, days: int = 30) -> DataFrame:
+    """One row over all stores: newest run, failed, healthy and blocked sources, freshness, counters of the last days, quality.
+
+    Every input is reduced to a row per source in one pass; the staged rows meet their source's newest good run on the way,
+    for which the runs are read a second time. ``now`` is the clock of the prices, ``stage_now`` that of the runs.
+    """
+    first, today = F.date_sub(F.to_date(at(stage_now)), days - 1), F.to_date(at(stage_now))
+    ended = F.coalesce("finished_at", "started_at")
+    good = F.col("status").isin("SUCCESS", "PARTIAL")
+    inside = F.to_date("started_at").between(first, today)
+    of_runs = runs.groupBy(F.col("source_slug").alias("slug")).agg(
+        F.max_by(F.struct("started_at", "status"), F.struct("started_at", "id")).alias("last"),
+        F.max(F.when(good, F.struct(ended.alias("latest_run_at"), F.col("id").alias("run_id")))).alias("good"),
+        F.sum(F.when(inside, F.col("products_promoted"))).alias("promoted"),
+        F.sum(F.when(inside, F.col("products_rejected"))).alias("rejected"))
+    of_health = health.groupBy(F.col("source_slug").alias("slug")).agg(
+        F.max_by(F.struct("is_healthy", "error_type"), F.struct("checked_at", "id")).alias("probe"))
+    newest = latest_good_runs(runs).select("run_id", F.col("source_slug").alias("slug"))
+    recent = F.col("created_at") >= _hours_before(stage_now, days * 24)
+    of_staging = staging.select("run_id", "ean", "status", "quality_score", "created_at").join(newest, "run_id", "left").groupBy("slug").agg(
+        F.count_distinct(F.when(F.col("slug").isNotNull() & (F.col("status") != "REJECTED"), F.col("ean"))).alias("shadow"),
+        F.sum(F.when(recent, F.col("quality_score"))).alias("_score"), F.count_if(recent).alias("_scored")).withColumn(
+        "slug", F.coalesce("slug", F.lit("")))  # rows of no newest run, for their quality
+    of_prices = production_freshness(current, supermarkets, now).withColumn("_active", F.lit(True))
+    # a few sources from here on; those without an active store count for the sums only
+    rows = of_prices.join(of_runs, "slug", "full_outer").join(of_health, "slug", "left").join(of_staging, "slug", "full_outer")
+    use_shadow = (F.col("shadow") > 0) & (F.col("latest_check_at").isNull() | F.coalesce(F.col("good.latest_run_at") > F.col("latest_check_at"), F.lit(False)))
+    in_time = F.col("good.latest_run_at") >= _hours_before(now, F.col("sla_hours"))
+    shadow_fresh = F.when(in_time, F.col("shadow")).otherwise(0)
+    rows = rows.withColumns({
+        "_total": F.when(use_shadow, F.col("shadow")).otherwise(F.col("total")),
+        "_fresh": F.when(use_shadow, shadow_fresh).otherwise(F.col("fresh")),
+        "_state": health_state(F.col("probe.is_healthy"), F.col("probe.error_type"))})
+    active, share = F.col("_active"), one_decimal_percent(F.col("_fresh"), F.col("_total"))
+    quality = half_up(F.coalesce(F.try_divide(F.sum("_score"), F.sum("_scored")), F.lit(0.0)) * 100.0, 1)
+    return rows.agg(
+        quality.alias("average_quality"),
+        F.max(F.when(active, F.col("last.started_at"))).alias("latest_run_at"),
+        F.count_if(active & (F.col("last.status") == "FAILED")).alias("failed_sources"),
+        F.count_if(active & (F.col("_state") == "healthy")).alias("healthy_sources"),
+        F.count_if(active & (F.col("_state") == "blocked")).alias("blocked_sources"),
+        F.sum(F.when(active, F.col("_fresh"))).alias("_fresh"), F.sum(F.when(active, F.col("_total"))).alias("_total"),
+        F.count_if(active & (share < ALERT_PERCENT)).alias("sources_below_sla"),
+        F.coalesce(F.sum("promoted"), F.lit(0)).alias("promoted"), F.coalesce(F.sum("rejected"), F.lit(0)).alias("rejected"),
+    ).select("latest_run_at", "failed_sources", "healthy_sources", "blocked_sources",
+             one_decimal_percent(F.col("_fresh"), F.col("_total")).alias("freshness_percent"), "sources_below_sla", "promoted", "rejected",
+             "average_quality")
 
 
 def scraper_stats(supermarkets: DataFrame, current: DataFrame, now, hours: int = 24) -> DataFrame:
@@ -294,7 +326,7 @@ def admin_promotions(promotions: DataFrame, bridge: DataFrame, now, status: str
         hits = [F.coalesce(contains_ignore_case(F.col(c), query), F.lit(False))
                 for c in ("title", "wallet_provider", "bank_name", "conditions")]
         rows = rows.filter(hits[0] | hits[1] | hits[2] | hits[3])
-    # a promotion lists at most 200 EANs (see validate_promotions)
+    # a promotion lists at most 200 EANs: apply_promotions, its writer, refuses more
     listed = bridge.join(rows.select(F.col("id").alias("promotion_id")), "promotion_id", "left_semi").groupBy(
         F.col("promotion_id").alias("id")).agg(F.sort_array(F.collect_list("product_ean")).alias("eans"))
     return rows.join(listed, "id", "left").withColumns({
@@ -329,3 +361,59 @@ def validate_promotions(feed: DataFrame, listed: DataFrame, supermarkets: DataFr
     reasons = F.filter(F.array(*[F.when(bad, F.lit(name)) for name, bad in checks]), lambda r: r.isNotNull())
     return feed.join(unknown, "id", "left").join(sizes, "id", "left").join(stores, "supermarket_id", "left").select(
         "id", reasons.alias("reasons"))
+
+
+PROMOTION_FIELDS = ["supermarket_id", "type", "title", "wallet_provider", "bank_name", "discount_value", "conditions",
+                    "start_date", "end_date", "is_active"]
+
+
+def _numbered(keys: DataFrame, key: str) -> DataFrame:
+    """(key, n): numbers from 1 in the order of the key's MD5, without one task that orders all keys."""
+    digest = F.md5(F.col(key).cast("string"))
+    rows = keys.select(key).distinct().withColumns({"_md5": digest, "_part": F.substring(digest, 1, 3)})
+    parts = rows.groupBy("_part").agg(F.count("*").alias("_size"))
+    # at most 4096 parts
+    ahead = parts.select("_part", (F.sum("_size").over(Window.orderBy("_part")) - F.col("_size")).alias("_ahead"))
+    inside = Window.partitionBy("_part").orderBy("_md5", key)
+    return rows.withColumn("_n", F.row_number().over(inside)).join(ahead, "_part").select(key, (F.col("_ahead") + F.col("_n")).alias("n"))
+
+
+def promotion_verdicts(feed: DataFrame, listed: DataFrame, promotions: DataFrame, supermarkets: DataFrame, products: DataFrame) -> DataFrame:
+    """(feed_key, id, reasons): the checks of an upsert, and ``not_found`` for an update of an id that is not stored."""
+    keyed = feed.withColumnRenamed("id", "_target").withColumn("id", F.col("feed_key"))
+    checked = validate_promotions(keyed, listed.withColumnRenamed("feed_key", "promotion_id"), supermarkets, products).select(
+        F.col("id").alias("feed_key"), "reasons")
+    stored = promotions.select("id", F.lit(True).alias("_stored"))
+    found = feed.select("feed_key", "id").join(stored, "id", "left")
+    lost = F.when(F.col("id").isNotNull() & F.col("_stored").isNull(), F.array(F.lit("not_found"))).otherwise(F.expr("array()"))
+    return found.join(checked, "feed_key").select("feed_key", "id", F.concat("reasons", lost).alias("reasons"))
+
+
+def apply_promotions(promotions: DataFrame, bridge: DataFrame, feed: DataFrame, listed: DataFrame, supermarkets: DataFrame,
+                     products: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Promotions and their product lists after a feed, and the verdicts on its rows.
+
+    feed: feed_key, id (null creates a promotion) and the promotion's fields; listed: feed_key, product_ean, blank
+    ones left out and repeated ones taken once. An accepted row replaces all fields and, by parent key, the whole list
+    of its promotion; a refused one changes nothing. A feed has at most one row per id: of several the largest feed_key counts.
+    """
+    eans = listed.select("feed_key", clean(F.col("product_ean")).alias("product_ean")).filter("product_ean IS NOT NULL").distinct()
+    verdicts = promotion_verdicts(feed, eans, promotions, supermarkets, products)
+    accepted = feed.join(verdicts.filter(F.size("reasons") == 0).select("feed_key"), "feed_key", "left_semi")
+    updates = accepted.filter("id IS NOT NULL").groupBy("id").agg(F.max_by(F.struct("feed_key", *PROMOTION_FIELDS), "feed_key").alias("new"))
+    creates = accepted.filter("id IS NULL").withColumnRenamed("id", "_none")
+    last = promotions.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
+    made = creates.join(_numbered(creates, "feed_key"), "feed_key").withColumn("_last", last).select(
+        (F.col("_last") + F.col("n")).alias("id"), "feed_key", *PROMOTION_FIELDS)
+    text = {"title": clean(F.col("title"))}
+    kinds = promotions.schema
+    stored = promotions.join(updates, "id", "left").select("id", *[
+        F.when(F.col("new").isNotNull(), F.col(f"new.{c}").cast(kinds[c].dataType)).otherwise(F.col(c)).alias(c) for c in PROMOTION_FIELDS],
+        F.col("new.feed_key").alias("_key"))
+    new_rows = made.select("id", *[F.col(c).cast(kinds[c].dataType).alias(c) for c in PROMOTION_FIELDS], F.col("feed_key").alias("_key"))
+    after = stored.unionByName(new_rows)
+    written = updates.select("id", "new.feed_key").unionByName(made.select("id", "feed_key"))
+    lists = bridge.join(written.select(F.col("id").alias("promotion_id")), "promotion_id", "left_anti").select("promotion_id", "product_ean").unionByName(
+        eans.join(written, "feed_key").select(F.col("id").alias("promotion_id"), "product_ean"))
+    final = after.withColumn("title", F.when(F.col("_key").isNotNull(), text["title"]).otherwise(F.col("title"))).drop("_key")
+    return final, lists, verdicts

@@ -10,10 +10,9 @@ from ..operators import audits as op
 from ..operators import discovery
 from ..operators import refresh as rf
 from ..operators import freshness as fo
-from ..sources import sinks
 from ..sources.derive import NOW, Tables, ean_of, slug_of
-from .ingest import EVALUATED_SQL, _UPSERT_SQL, BATCH_TABLES, evaluated, upserted, winners
-from .refresh import _CAPACITY_SQL, WRITERS, capacity_of, hosts_of, live_of, rows_of
+from .ingest import EVALUATED_SQL, UPSERT_SQL, BATCH_TABLES, evaluated, upserted, winners
+from .refresh import _CAPACITY_SQL, WRITERS, capacity_of, hosts_of, live_of, rows_of, shared_rows
 from .registry import DERIVED, query
 
 # audit results of many operations, one per event
@@ -137,7 +136,7 @@ def run_aggregate(t):
     return op.run_aggregate(chunks, touched).withColumn("reasons", F.array_join("reasons", ","))
 
 
-@query("k04_post_run_audit", "K4", BATCH_TABLES, f"""WITH {_UPSERT_SQL},
+@query("k04_post_run_audit", "K4", BATCH_TABLES, f"""WITH {UPSERT_SQL},
 act AS (SELECT product_ean, supermarket_id, CASE WHEN right(product_ean, 2) = '07' THEN price + 1 ELSE price END AS price, CASE WHEN right(product_ean, 2) = '09' THEN NOT is_available ELSE is_available END AS is_available, sku_id FROM upserted WHERE right(product_ean, 3) <> '005'),
 j AS (SELECT w.ean AS product_ean, w.supermarket_id, list_filter([CASE WHEN a.product_ean IS NULL THEN 'missing' END, CASE WHEN a.price IS DISTINCT FROM w.price::double AND a.product_ean IS NOT NULL THEN 'price_differs' END,
    CASE WHEN a.is_available <> w.is_available THEN 'is_available_differs' END, CASE WHEN abs(floor((w.price::double - o.price::double) / o.price::double * 100 * 100 + 0.5) / 100) > 8 THEN 'price_change_stop' END], lambda x: x IS NOT NULL) AS reasons,
@@ -155,7 +154,7 @@ def post_run_audit(t):
     return rows.withColumn("reasons", F.array_join("reasons", ","))
 
 
-@query("k05_rollback_equality", "K5 H3", BATCH_TABLES, f"""WITH {_UPSERT_SQL},
+@query("k05_rollback_equality", "K5 H3", BATCH_TABLES, f"""WITH {UPSERT_SQL},
 a AS (SELECT product_ean, supermarket_id, price::double AS price, is_available FROM state_sp), b AS (SELECT product_ean, supermarket_id, price, is_available FROM upserted WHERE action <> 'insert')
 SELECT (SELECT count(*) FROM (FROM a EXCEPT ALL FROM b)) AS only_in_snapshot, (SELECT count(*) FROM (FROM b EXCEPT ALL FROM a)) AS only_in_restored,
   CASE WHEN EXISTS (FROM a EXCEPT ALL FROM b) OR EXISTS (FROM b EXCEPT ALL FROM a) THEN 'FAIL' ELSE 'PASS' END AS status""")
@@ -247,7 +246,7 @@ SELECT idempotency_key, source_slug, ean, array_to_string(list_filter([CASE WHEN
   CASE WHEN EXISTS (SELECT 1 FROM c2 WHERE c2.source_slug = pr.source_slug AND c2.ean = pr.ean) THEN 'source_row_exists' END,
   CASE WHEN EXISTS (SELECT 1 FROM c2 WHERE c2.source_slug = pr.source_slug AND c2.sku_id = pr.sku_id) THEN 'sku_in_use' END], lambda x: x IS NOT NULL), ',') AS reasons FROM pr""")
 def apply_races(t):
-    plan = discovery.planned_creates(audit_of(t), NOW)["supermarket_products"]
+    plan = _created(t)["supermarket_products"]
     later = t.supermarket_products.filter(F.col("last_checked_at") >= F.lit("2001-06-01").cast("timestamp")).select(
         slug_of(F.col("supermarket_id")).alias("source_slug"), F.col("product_ean").alias("ean"), "sku_id")
     some = t.products.filter(F.col("category").isNotNull())
@@ -259,13 +258,14 @@ _RB_KEYS = {"price_history": ["source_slug", "ean"], "supermarket_products": ["s
 
 def _created(t: Tables) -> dict[str, DataFrame]:
     """The insert plans over the audit as the artifact it is: written once, then read by each table's plan."""
-    return discovery.planned_creates(sinks.written(audit_of(t), "discovery-audit"), NOW)
+    return discovery.planned_creates(t.shared("discovery-audit", audit_of), NOW)
 
 
 def _rollback_inputs(t: Tables):
     plans = _created(t)
     ordered = {n: plans[n] for n in _RB_KEYS}  # children first
-    rows = t.supermarket_products.select(slug_of(F.col("supermarket_id")).alias("source_slug"), F.col("product_ean").alias("ean"), "id")
+    rows = t.shared("present-rows", lambda t: t.supermarket_products.select(
+        slug_of(F.col("supermarket_id")).alias("source_slug"), F.col("product_ean").alias("ean"), "id"))
     before = {"price_history": rows, "supermarket_products": rows, "products": t.products.select("ean")}
     return ordered, before
 
@@ -310,7 +310,7 @@ def source_health(t):
     s = t.supermarkets.withColumns({"is_vtex": F.col("id") % 4 != 3, "base_url": F.when(F.col("id") != 2, F.col("base_url"))})
     hosts = hosts_of(t).withColumn("expected_host", F.when(F.col("source_slug") == "market-1", "elsewhere.example.com").otherwise(F.col("expected_host")))
     planned = t.supermarkets.filter("id = 0").select(F.lit("market-6").alias("source_slug"), F.lit("market-6.example.com").alias("expected_host"))
-    rows = op.source_health_verdicts(s, fo.source_health(rows_of(t), NOW), capacity_of(t), hosts.unionByName(planned), WRITERS, ["market-0"], 30)
+    rows = op.source_health_verdicts(s, fo.source_health(shared_rows(t), NOW), capacity_of(t), hosts.unionByName(planned), WRITERS, ["market-0"], 30)
     return rows.withColumn("reasons", F.array_join("reasons", ","))
 
 

@@ -263,6 +263,20 @@ def category_tree(t):
     return op.category_tree(categories(t), op.category_counts(shelved_products(t)))
 
 
+# a supplier in seven hangs below a category that is missing, one in eleven is its own ancestor
+_DAMAGED = "CASE WHEN id >= 1000 AND id % 7 = 0 THEN 7 WHEN id >= 1000 AND id % 11 = 0 THEN CASE WHEN id % 2 = 0 THEN id ELSE id + 11 END ELSE parent_id END"
+
+
+@query("i02_category_problems", "I2", "", f"""WITH RECURSIVE {_CATEGORIES_SQL.split("shelved AS")[0].rstrip().rstrip(",")},
+damaged AS (SELECT id, name, slug, {_DAMAGED} AS parent_id FROM categories),
+tree AS (SELECT id, parent_id IS NOT NULL AS orphan FROM damaged WHERE parent_id IS NULL OR parent_id NOT IN (SELECT id FROM damaged)
+  UNION ALL SELECT d.id, t.orphan FROM damaged d JOIN tree t ON d.parent_id = t.id)
+SELECT d.id, name, slug, parent_id, CASE WHEN t.orphan THEN 'orphan' ELSE 'cycle' END AS problem
+FROM damaged d LEFT JOIN tree t ON t.id = d.id WHERE coalesce(t.orphan, true)""")
+def category_problems(t):
+    return op.category_problems(categories(t).withColumn("parent_id", F.expr(_DAMAGED)))
+
+
 @query("i02_category_by_slug", "I2", "products", f"""WITH {_CATEGORIES_SQL}
 SELECT c.id, c.name, coalesce(n.product_count, 0) AS product_count FROM categories c LEFT JOIN counts n USING (slug) WHERE slug = 'nation-7'""")
 def category_by_slug(t):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.identity import candidate_identity, canonical_identity, first_clean_identity_text, four_decimals, idempotency_key, record_hash
+from ..functions.identity import candidate_identity, canonical_identity, four_decimals, idempotency_key, record_hash
 from ..functions.web import normalized_product_url, url_host
 from ..operators import identity as op
 from ..sources.derive import Tables, slug_of
@@ -152,9 +152,21 @@ def comparison_counts(t):
     return op.comparison_counts(compared(t))
 
 
+@query("k06_comparison_samples", "K6", "cands state_sp", f"""WITH {_CMP_SQL}
+SELECT source, status, row_number() OVER (PARTITION BY source, status ORDER BY id) AS position, id, matched_by FROM compared QUALIFY position <= 25""")
+def comparison_samples(t):
+    return op.comparison_samples(compared(t)).select("source", "status", F.col("position").cast("bigint").alias("position"), "id", "matched_by")
+
+
+_ROW_FIELDS = {"id": "id", "source": "source", "surface": "surface", "ean": "ean", "sku_id": "sku_id", "product_id": "product_id", "product_url": "url",
+               "name": "name", "category_path": "category_path", "scraped_at": "scraped_at", "orderkey": "orderkey", "linenumber": "linenumber",
+               "identity_kind": "NULL", "identity": "NULL"}
+_ROW_HASH = "sha256(concat_ws('|', " + ", ".join(f"'{n}=' || coalesce(({c})::varchar, '~')" for n, c in sorted(_ROW_FIELDS.items())) + "))"
+
+
 def _sample_sql(size: int) -> str:
     return f"""
-r AS (SELECT id, lower(category_path) AS path, {_CANON.replace("ELSE 'none'", "ELSE 'hash'")} AS ident FROM cands WHERE category_path IS NOT NULL),
+r AS (SELECT id, lower(category_path) AS path, {_CANON.replace("ELSE 'none'", f"ELSE 'candidate:' || {_ROW_HASH}")} AS ident FROM cands WHERE category_path IS NOT NULL),
 strata AS (SELECT path, count(*) AS n FROM r GROUP BY 1),
 tot AS (SELECT count(*) AS strata, sum(n)::bigint AS eligible FROM strata),
 chosen AS (SELECT s.*, t.strata AS ns, t.eligible, least({size}, t.eligible) AS target FROM strata s, tot t ORDER BY sha256('seed-1:' || path), path LIMIT {size}),
@@ -170,25 +182,20 @@ sample AS (SELECT id, path AS category_path, ident AS candidate_identity, row_nu
 def sampled(t: Tables, size: int) -> DataFrame:
     rows = cands(t).withColumnRenamed("url", "product_url").withColumns({
         "identity_kind": F.lit(None).cast("string"), "identity": F.lit(None).cast("string")})
-    named = rows.filter(first_clean_identity_text().isNotNull())
-    return op.stratified_sample(named, "seed-1", size)
-
-
-_NAMED = "cands AS MATERIALIZED (SELECT * FROM cands0 WHERE sku_id IS NOT NULL OR url IS NOT NULL OR ean IS NOT NULL OR name IS NOT NULL)"
-DERIVED["cands0"] = DERIVED["cands"]
+    return op.stratified_sample(rows, "seed-1", size)
 
 
-@query("f13_stratified_sample", "F13", "cands0", f"WITH {_NAMED}, {_sample_sql(400)} SELECT * FROM sample")
+@query("f13_stratified_sample", "F13", "cands", f"WITH {_sample_sql(400)} SELECT * FROM sample")
 def stratified_sample(t):
     return sampled(t, 400).select("id", "category_path", "candidate_identity", "sample_index")
 
 
-@query("f13_hash_chosen_strata", "F13", "cands0", f"WITH {_NAMED}, {_sample_sql(50)} SELECT * FROM sample")
+@query("f13_hash_chosen_strata", "F13", "cands", f"WITH {_sample_sql(50)} SELECT * FROM sample")
 def hash_chosen_strata(t):
     return sampled(t, 50).select("id", "category_path", "candidate_identity", "sample_index")
 
 
-@query("k07_triage_counts", "K7", "cands0", f"""WITH {_NAMED}, {_sample_sql(400)}
+@query("k07_triage_counts", "K7", "cands", f"""WITH {_sample_sql(400)}
 SELECT CASE WHEN length(candidate_identity) % 5 = 0 THEN 'source_or_candidate_artifact' WHEN length(category_path) % 3 = 0 THEN 'already_present_alternate_identity'
   WHEN length(category_path) % 4 = 0 THEN 'equivalent_variant_or_pack' WHEN length(candidate_identity) % 2 = 0 THEN 'valid_investigation_candidate' ELSE 'insufficient_evidence' END AS classification,
   count(*) AS items FROM sample GROUP BY 1""")

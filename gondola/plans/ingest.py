@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,7 +13,9 @@ from ..functions.quality import completeness
 from ..functions.text import CATEGORY_KEYWORDS, STOP_WORDS, UNIT_PATTERN
 from ..operators import catalog, ingest, merge
 from ..sources import payloads
-from ..sources.derive import NOW, STATE_AT, Tables, ean_of
+from ..sources.derive import NOW, STATE_AT, Tables, ean_of, slug_of
+from ..sources import landed as files
+from ..sources.stable import shared_folder
 from .registry import query
 
 
@@ -37,7 +41,7 @@ def expand_sql(column: str) -> str:
 
 # -- payloads ---------------------------------------------------------------------
 def candidates_from_payloads(t: Tables) -> DataFrame:
-    found = payloads.find_product_records(t.raw_payloads.select("payload_id", "source_slug", "base_url", "raw"))
+    found = payloads.product_nodes(t.raw_payloads.select("payload_id", "source_slug", "base_url", "raw"))
     return payloads.normalize_payloads(found)
 
 
@@ -128,6 +132,26 @@ def last_fetch_wins(t):
     return payloads.last_fetch_wins(fetched)
 
 
+# words that stand in product names
+SEARCH_TERMS = ("bolt", "red", "n")
+
+
+@query("h01_union_of_terms", "H1 A4", "sp products", f"""
+WITH found AS (SELECT 'market-' || supermarket_id AS source_slug, product_ean AS ean, t.i AS term_ord, sp.id AS pos, CASE WHEN t.i = 1 THEN list_price ELSE price END::double AS price
+  FROM sp JOIN products ON ean = product_ean, (VALUES {", ".join(f"({i}, '{w}')" for i, w in enumerate(SEARCH_TERMS))}) t(i, word) WHERE contains(lower(name), word))
+SELECT source_slug, ean, arg_max(price, (term_ord, pos)) AS price, min(term_ord) AS term_ord, arg_min(pos, (term_ord, pos)) AS pos, count(*) AS fetched FROM found GROUP BY 1, 2""")
+def union_of_terms(t):
+    """One answer per search term; the second term's answer shows list prices."""
+    names = t.products.select(F.col("ean").alias("product_ean"), "name")
+    rows = t.supermarket_products.join(names, "product_ean").select(
+        slug_of(F.col("supermarket_id")).alias("source_slug"), F.col("product_ean").alias("ean"), F.col("id").alias("pos"), "name", "price", "list_price")
+    answers = [rows.filter(F.contains(F.lower("name"), F.lit(word))).select(
+        "source_slug", "ean", "pos", F.col("list_price" if i == 1 else "price").cast("double").alias("price")) for i, word in enumerate(SEARCH_TERMS)]
+    fetched = payloads.union_of_terms(answers)
+    counts = fetched.groupBy("source_slug", "ean").agg(F.count("*").alias("fetched"))
+    return payloads.last_fetch_wins(fetched).join(counts, ["source_slug", "ean"])
+
+
 @query("a05_allowlisted_rows", "A5 H4", "staging state_products", """
 SELECT id, ean, floor(price::double*100+0.5)/100 AS price, 'PENDING' AS status FROM staging WHERE ean IN (SELECT ean FROM state_products)""")
 def allowlisted_rows(t):
@@ -168,19 +192,18 @@ SELECT r_regionkey AS payload_id, r_regionkey::varchar AS id, r_name AS name, lo
 UNION ALL SELECT n_regionkey, n_name, n_name, 'all/' || n_nationkey, 'https://m.example.com/all/' || n_nationkey || '?o=1' FROM nation
 UNION ALL SELECT n_regionkey, s_suppkey::varchar, s_name, replace(lower(s_name), '#', '-'), NULL FROM supplier JOIN nation ON n_nationkey = s_nationkey""")
 def category_payload_flatten(t):
-    shops = t.raw("supplier").groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.collect_list(F.struct(
-        F.col("s_suppkey").cast("string").alias("Id"), F.col("s_name").alias("Name"))).alias("children"))
-    nations = t.raw("nation").join(shops, "n_nationkey", "left").groupBy(F.col("n_regionkey").alias("r_regionkey")).agg(
-        F.collect_list(F.struct(
-            F.col("n_name").alias("name"),
-            F.concat(F.lit("https://m.example.com/all/"), F.col("n_nationkey").cast("string"), F.lit("?o=1")).alias("url"),
-            "children")).alias("children"))
-    docs = t.raw("region").join(nations, "r_regionkey", "left").select(
-        F.col("r_regionkey").cast("bigint").alias("payload_id"),
-        F.to_json(F.array(F.struct(
+    """A document of nations per region, and suppliers in documents of about twenty, below a node without a name."""
+    nation = F.struct(F.col("n_name").alias("name"), F.concat(F.lit("https://m.example.com/all/"), F.col("n_nationkey").cast("string"), F.lit("?o=1")).alias("url"))
+    nations = t.raw("nation").groupBy(F.col("n_regionkey").alias("r_regionkey")).agg(F.collect_list(nation).alias("children"))
+    tops = t.raw("region").join(nations, "r_regionkey", "left").select(
+        F.col("r_regionkey").cast("bigint").alias("payload_id"), F.to_json(F.array(F.struct(
             F.col("r_regionkey").cast("string").alias("id"), F.col("r_name").alias("name"),
             F.concat(F.lit("/"), F.lower("r_name"), F.lit("/")).alias("url"), "children"))).alias("raw"))
-    return payloads.flatten_category_trees(docs).orderBy("path")
+    shop = F.struct(F.col("s_suppkey").cast("string").alias("Id"), F.col("s_name").alias("Name"))
+    shops = t.raw("supplier").join(t.raw("nation"), F.col("n_nationkey") == F.col("s_nationkey")).groupBy(
+        F.col("n_regionkey").cast("bigint").alias("payload_id"), F.floor(F.col("s_suppkey") / 100)).agg(F.collect_list(shop).alias("children"))
+    leaves = shops.select("payload_id", F.to_json(F.array(F.struct(F.array(F.struct("children")).alias("Children")))).alias("raw"))
+    return payloads.flatten_category_trees(tops.unionByName(leaves))
 
 
 @query("a11_artifact_candidates", "A11", "observations", """
@@ -200,6 +223,71 @@ def artifact_candidates(t):
     return payloads.read_artifacts(t.observations.select(F.col("id").alias("artifact_id"), body.alias("body")))
 
 
+def landed(t: Tables, rows: DataFrame, name: str, whole: bool = False) -> DataFrame:
+    """Documents written as lines of text files in the shared folder and read back."""
+    path = f"{shared_folder(t.spark)}/landed-{name}-{uuid4().hex}"
+    rows.select("body").write.text(path)
+    return files.read_documents(t.spark, path, whole)
+
+
+def landed_artifacts(t: Tables) -> DataFrame:
+    """One artifact per order with its lines as candidates; one in 37 is cut off and one in 41 has no candidates."""
+    k = F.col("orderkey")
+    candidate = F.struct(
+        F.when(F.col("linenumber") % 3 == 0, F.concat(F.lit("Market-"), F.col("supermarket_id").cast("string"))).alias("source"),
+        F.when(F.col("linenumber") % 2 == 0, F.lit(" SEARCH ")).alias("surface"), "ean")
+    orders = t.observations.groupBy("orderkey").agg(F.array_sort(F.collect_list(F.struct("linenumber", "id", candidate.alias("c")))).alias("lines"))
+    body = F.to_json(F.struct(
+        F.concat(F.lit("o-"), F.lpad(k.cast("string"), 10, "0")).alias("artifact"),
+        F.when(k % 5 == 0, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array(F.lit("Shop"))).alias("sources"),
+        F.struct(F.lit("full").alias("mode"), F.lit("Category").alias("surface"), F.when(k % 3 == 0, F.array(F.lit("other"))).alias("surfaces")).alias("coverage"),
+        F.when(k % 41 != 0, F.col("lines.c")).alias("candidates")))
+    return landed(t, orders.select(F.when(k % 37 == 0, F.substring(body, 1, 60)).otherwise(body).alias("body")), "artifacts")
+
+
+@query("a11_landed_artifacts", "A11", "observations", """
+SELECT 'o-' || lpad(orderkey::varchar, 10, '0') AS artifact, (row_number() OVER (PARTITION BY orderkey ORDER BY linenumber, id) - 1)::int AS pos,
+  CASE WHEN linenumber % 3 = 0 THEN 'market-' || supermarket_id WHEN orderkey % 5 <> 0 THEN 'shop' END AS source,
+  CASE WHEN linenumber % 2 = 0 THEN 'search' WHEN orderkey % 3 <> 0 THEN 'category' END AS surface,
+  concat_ws(',', CASE WHEN linenumber % 3 <> 0 AND orderkey % 5 = 0 THEN 'wrapper_source' END,
+    CASE WHEN linenumber % 2 <> 0 AND orderkey % 3 = 0 THEN 'wrapper_coverage_conflict' END) AS errors, ean
+FROM observations WHERE orderkey % 37 <> 0 AND orderkey % 41 <> 0""")
+def artifacts_from_files(t):
+    documents = landed_artifacts(t).withColumn("artifact", F.get_json_object("body", "$.artifact"))
+    return files.artifact_candidates(documents).select("artifact", "pos", "source", "surface", F.array_join("errors", ",").alias("errors"), "ean")
+
+
+@query("a11_quarantined_artifacts", "A11", "observations", """
+SELECT DISTINCT '{"artifact":"o-' || lpad(orderkey::varchar, 10, '0') || '","sources":' AS excerpt,
+  CASE WHEN orderkey % 37 = 0 THEN 'not_json' ELSE 'no_candidates' END AS reason FROM observations WHERE orderkey % 37 = 0 OR orderkey % 41 = 0""")
+def quarantined_artifact_files(t):
+    return files.quarantined_artifacts(landed_artifacts(t)).select(F.substring("excerpt", 1, 37).alias("excerpt"), "reason")
+
+
+def landed_payloads(t: Tables) -> DataFrame:
+    """The raw payloads as lines; one in 31 is cut off, one in 43 has no product, one in 47 lies a dozen levels down."""
+    k, raw = F.col("payload_id"), F.col("raw")
+    marked = F.concat(F.lit('{"id":"p-'), F.lpad(k.cast("string"), 12, "0"), F.lit('","data":'))
+    body = (F.when(k % 31 == 0, F.concat(marked, F.substring(raw, 1, 20))).when(k % 43 == 0, F.concat(marked, F.lit("[]}")))
+            .when(k % 47 == 0, F.concat(marked, F.lit("[" * 12), raw, F.lit("]" * 12 + "}"))).otherwise(F.concat(marked, raw, F.lit("}"))))
+    return landed(t, t.raw_payloads.select(body.alias("body")), "payloads")
+
+
+@query("a02_landed_payloads", "A2", "sp products", """
+SELECT 'p-' || lpad(sp.id::varchar, 12, '0') AS payload, 0 AS pos, '<b>' || name || '</b>  ' AS product_name
+FROM sp JOIN products ON ean = product_ean WHERE sp.id % 31 <> 0 AND sp.id % 43 <> 0""")
+def payloads_from_files(t):
+    documents = landed_payloads(t).withColumn("payload", F.get_json_object("body", "$.id"))
+    return files.payload_records(documents).select("payload", "pos", F.get_json_object("record", "$.productName").alias("product_name"))
+
+
+@query("a02_quarantined_payloads", "A2", "sp products", """
+SELECT '{"id":"p-' || lpad(sp.id::varchar, 12, '0') || '"' AS excerpt, CASE WHEN sp.id % 31 = 0 THEN 'not_json' WHEN sp.id % 43 = 0 THEN 'no_products' ELSE 'deep' END AS reason
+FROM sp JOIN products ON ean = product_ean WHERE sp.id % 31 = 0 OR sp.id % 43 = 0 OR sp.id % 47 = 0""")
+def quarantined_payload_files(t):
+    return files.quarantined_documents(landed_payloads(t)).select(F.substring("excerpt", 1, 22).alias("excerpt"), "reason")
+
+
 # -- verdicts ---------------------------------------------------------------------
 def evaluated(t: Tables) -> DataFrame:
     return ingest.evaluate_candidates(t.staging_product, ingest.historical_averages(t.observations))
@@ -338,8 +426,11 @@ def planned(t: Tables) -> DataFrame:
         t.supermarkets, t.state_supermarket_products)
 
 
-_UPSERT_SQL = f"""{BATCH_SQL},
-upserted AS (SELECT coalesce(x.id, -(cast(w.ean AS bigint) * 65536 + w.supermarket_id + 1)) AS id, coalesce(x.product_ean, w.ean) AS product_ean, coalesce(x.supermarket_id, w.supermarket_id) AS supermarket_id,
+# texts of one length follow all shorter ones: 10**8 + ... + 10**(len - 1) of these
+_CREATED_ID = "-((w.ean::bigint + (CASE len(w.ean) " + " ".join(
+    f"WHEN {n} THEN {sum(10 ** d for d in range(8, n))}" for n in range(8, 15)) + " END)) * 65536 + w.supermarket_id + 1)"
+UPSERT_SQL = f"""{BATCH_SQL},
+upserted AS (SELECT coalesce(x.id, {_CREATED_ID}) AS id, coalesce(x.product_ean, w.ean) AS product_ean, coalesce(x.supermarket_id, w.supermarket_id) AS supermarket_id,
     CASE WHEN w.ean IS NULL THEN x.price ELSE w.price END::double AS price, CASE WHEN w.ean IS NULL THEN x.is_available ELSE w.is_available END AS is_available,
     CASE WHEN w.ean IS NULL THEN x.sku_id ELSE w.sku_id END AS sku_id,
     CASE WHEN w.ean IS NULL THEN x.last_checked_at ELSE TIMESTAMP '{NOW}' END AS last_checked_at,
@@ -347,18 +438,18 @@ upserted AS (SELECT coalesce(x.id, -(cast(w.ean AS bigint) * 65536 + w.supermark
   FROM state_sp x FULL JOIN winners w ON w.ean = x.product_ean AND w.supermarket_id = x.supermarket_id),
 last AS (SELECT supermarket_product_id AS sid, price, list_price FROM state_history QUALIFY row_number() OVER (
     PARTITION BY supermarket_product_id ORDER BY scraped_at DESC, orderkey DESC, linenumber DESC, suppkey DESC) = 1),
-new_history AS (SELECT coalesce(x.id, -(cast(w.ean AS bigint) * 65536 + w.supermarket_id + 1)) AS supermarket_product_id, TIMESTAMP '{NOW}' AS scraped_at, w.ean AS product_ean, w.supermarket_id, w.price::double AS price, w.list_price::double AS list_price, l.sid IS NULL AS first_row
+new_history AS (SELECT coalesce(x.id, {_CREATED_ID}) AS supermarket_product_id, TIMESTAMP '{NOW}' AS scraped_at, w.ean AS product_ean, w.supermarket_id, w.price::double AS price, w.list_price::double AS list_price, l.sid IS NULL AS first_row
   FROM winners w LEFT JOIN state_sp x ON x.product_ean = w.ean AND x.supermarket_id = w.supermarket_id LEFT JOIN last l ON l.sid = x.id
   WHERE l.sid IS NULL OR w.price IS DISTINCT FROM l.price OR w.list_price IS DISTINCT FROM l.list_price)"""
 
 
-@query("j03_upserted_prices", "J3", BATCH_TABLES, f"WITH {_UPSERT_SQL} SELECT * FROM upserted")
+@query("j03_upserted_prices", "J3", BATCH_TABLES, f"WITH {UPSERT_SQL} SELECT * FROM upserted")
 def upserted_prices(t):
     return upserted(t).select("id", "product_ean", "supermarket_id", F.col("price").cast("double").alias("price"),
                               "is_available", "sku_id", "last_checked_at", "action")
 
 
-@query("j04_history_on_change", "J4", BATCH_TABLES, f"WITH {_UPSERT_SQL} SELECT * FROM new_history")
+@query("j04_history_on_change", "J4", BATCH_TABLES, f"WITH {UPSERT_SQL} SELECT * FROM new_history")
 def history_on_change(t):
     return merge.history_to_append(planned(t), NOW).withColumns({c: F.col(c).cast("double") for c in ("price", "list_price")})
 
@@ -369,7 +460,7 @@ def promoted_staging(t):
     return merge.promote(batch(t)).select("id", "status")
 
 
-@query("e17_reconcile_summary", "E17", BATCH_TABLES, f"""WITH {_UPSERT_SQL}
+@query("e17_reconcile_summary", "E17", BATCH_TABLES, f"""WITH {UPSERT_SQL}
 SELECT (SELECT count(*) FROM pending) AS promoted, (SELECT count(DISTINCT ean) FROM pending) AS distinct_eans,
   (SELECT count(DISTINCT ean) FROM pending WHERE ean NOT IN (SELECT ean FROM state_products)) AS new_products,
   (SELECT count(DISTINCT ean) FROM pending WHERE ean IN (SELECT ean FROM state_products)) AS merged_products,

@@ -9,7 +9,7 @@ from ..functions import promo
 from ..functions.identity import source_lock_key
 from ..functions.text import split_ean_list
 from ..operators import monitor as op
-from ..sources.derive import NOW, Tables
+from ..sources.derive import NOW, Tables, ean_of
 from .ingest import EVALUATED_SQL, evaluated
 from .registry import query
 
@@ -119,9 +119,7 @@ SELECT (SELECT max(started_at) FROM run_panel) AS latest_run_at, (SELECT count(*
   (SELECT sum(promoted)::bigint FROM trend) AS promoted, (SELECT sum(rejected)::bigint FROM trend) AS rejected,
   (SELECT floor(avg(quality_score) * 100 * 10 + 0.5)/10 FROM evaluated WHERE created_at >= TIMESTAMP '{STAGE_NOW}' - INTERVAL 30 DAY) AS average_quality""")
 def admin_overview(t):
-    return op.admin_overview(
-        op.run_panel(t.supermarkets, t.ingestion_run), op.health_panel(t.supermarkets, t.source_health),
-        op.ingestion_trend(t.staging_product, t.ingestion_run, STAGE_NOW), snapshot(t), evaluated(t), STAGE_NOW)
+    return op.admin_overview(t.supermarkets, t.ingestion_run, t.source_health, t.supermarket_products, evaluated(t), NOW, STAGE_NOW)
 
 
 _STATS_SQL = f"""
@@ -250,6 +248,54 @@ def promotion_checks(t):
     return rows.select("id", F.array_join("reasons", ",").alias("reasons"))
 
 
+# a third of the promotions is updated (some at an unknown store or id, some without a wallet), a tenth is entered anew
+_FEED_SQL = """
+feed AS (SELECT id AS feed_key, CASE WHEN id % 10 = 1 THEN NULL WHEN id % 30 = 9 THEN id + 10000000 ELSE id END AS id, id % 8 AS supermarket_id, type,
+    '  New ' || title || ' ' AS title, CASE WHEN id % 6 <> 0 THEN wallet_provider END AS wallet_provider, bank_name, discount_value, conditions, start_date, end_date, NOT is_active AS is_active
+  FROM promotions WHERE id % 3 = 0 OR id % 10 = 1),
+np AS (SELECT count(*) AS n FROM part),
+listed AS (SELECT DISTINCT feed_key, lpad(cast((feed_key * m) % np.n AS varchar), 13, '0') AS product_ean FROM feed, np, (VALUES (7), (11), (7)) v(m) WHERE feed_key % 4 <> 0),
+verdicts AS (SELECT feed_key, id, list_filter([CASE WHEN type = 'wallet_discount' AND wallet_provider IS NULL THEN 'wallet_provider_missing' END,
+    CASE WHEN supermarket_id NOT IN (SELECT id FROM supermarkets) THEN 'unknown_store' END,
+    CASE WHEN EXISTS (SELECT 1 FROM listed b WHERE b.feed_key = feed.feed_key AND b.product_ean NOT IN (SELECT ean FROM state_products)) THEN 'unknown_product' END,
+    CASE WHEN id IS NOT NULL AND id NOT IN (SELECT id FROM promotions) THEN 'not_found' END], lambda x: x IS NOT NULL) AS reasons FROM feed),
+ok AS (SELECT feed.*, coalesce(feed.id, (SELECT max(id) FROM promotions) + row_number() OVER (PARTITION BY feed.id IS NULL ORDER BY md5(feed_key::varchar), feed_key)) AS target
+  FROM feed JOIN verdicts USING (feed_key) WHERE len(reasons) = 0),
+after AS (
+  SELECT p.id, p.supermarket_id, p.type, p.title, p.wallet_provider, p.is_active FROM promotions p WHERE p.id NOT IN (SELECT target FROM ok)
+  UNION ALL SELECT target, supermarket_id, type, trim(title), wallet_provider, is_active FROM ok),
+lists AS (SELECT promotion_id, product_ean FROM promotion_products WHERE promotion_id NOT IN (SELECT target FROM ok)
+  UNION ALL SELECT target, product_ean FROM ok JOIN listed USING (feed_key))"""
+_FEED_TABLES = "promotions promotion_products state_products supermarkets"
+
+
+def applied_promotions(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
+    k = F.col("id")
+    feed = t.promotions.filter((k % 3 == 0) | (k % 10 == 1)).select(
+        k.alias("feed_key"), F.when(k % 10 == 1, None).when(k % 30 == 9, k + 10_000_000).otherwise(k).alias("id"), (k % 8).alias("supermarket_id"), "type",
+        F.concat(F.lit("  New "), "title", F.lit(" ")).alias("title"), F.when(k % 6 != 0, F.col("wallet_provider")).alias("wallet_provider"),
+        "bank_name", "discount_value", "conditions", "start_date", "end_date", (~F.col("is_active")).alias("is_active"))
+    parts = t.raw("part").select(F.count("*")).scalar()
+    ean = lambda m: F.concat(F.lit(" "), ean_of((F.col("feed_key") * m) % parts))
+    listed = feed.filter("feed_key % 4 <> 0").select("feed_key", F.explode(F.array(ean(7), ean(11), ean(7), F.lit(" "))).alias("product_ean"))
+    return op.apply_promotions(t.promotions, t.promotion_products, feed, listed, t.supermarkets, t.state_products)
+
+
+@query("j09_applied_promotions", "J9", _FEED_TABLES, f"WITH {_FEED_SQL} SELECT * FROM after")
+def promotions_after_feed(t):
+    return applied_promotions(t)[0].select("id", "supermarket_id", "type", "title", "wallet_provider", "is_active")
+
+
+@query("j09_applied_lists", "J9", _FEED_TABLES, f"WITH {_FEED_SQL} SELECT * FROM lists")
+def promotion_lists_after_feed(t):
+    return applied_promotions(t)[1]
+
+
+@query("j09_feed_verdicts", "J9", _FEED_TABLES, f"WITH {_FEED_SQL} SELECT feed_key, id, array_to_string(reasons, ',') AS reasons FROM verdicts")
+def promotion_feed_verdicts(t):
+    return applied_promotions(t)[2].withColumn("reasons", F.array_join("reasons", ","))
+
+
 @query("d34_promotion_ean_lists", "D34", "promotion_products", """
 SELECT promotion_id, product_ean || '|99999999' AS eans FROM promotion_products""")
 def promotion_ean_lists(t):

@@ -13,17 +13,18 @@ from .registry import DERIVED, query
 WRITERS = ["market-0", "market-1", "market-2", "market-3"]
 SCAN, BATCH = 100, 25
 
-# existing rows with deliberate gaps, and live answers for most of them
+# existing rows with deliberate gaps, and live answers to all of them; one in 53 answers under another SKU
 DERIVED["rows"] = (("sp", "supermarkets", "products"), """
   SELECT sp.id, CASE WHEN sp.id % 41 = 0 THEN '' ELSE sp.product_ean END AS ean, CASE WHEN sp.id % 37 = 0 THEN ' ' ELSE p.name END AS product_name,
          s.slug AS source_slug, CASE WHEN sp.id % 31 = 0 THEN NULL WHEN sp.id % 43 = 0 THEN 0 ELSE sp.price END AS price, sp.list_price, sp.is_available, sp.sku_id,
          sp.product_url, CASE WHEN sp.id % 47 <> 0 THEN sp.last_checked_at END AS last_checked_at, s.freshness_sla_hours
   FROM sp JOIN supermarkets s ON s.id = sp.supermarket_id JOIN products p ON p.ean = sp.product_ean""")
 DERIVED["live"] = (("sp",), """
-  SELECT 'market-' || supermarket_id AS source_slug, product_ean AS ean, id // 6 AS k, CASE WHEN (id // 6) % 23 <> 0 THEN 'sku-' || (id // 6) END AS sku_id,
+  SELECT 'market-' || supermarket_id AS source_slug, product_ean AS ean, id // 6 AS k,
+         CASE WHEN id % 53 = 0 THEN 'moved-' || (id // 6) WHEN (id // 6) % 23 <> 0 THEN 'sku-' || (id // 6) END AS sku_id,
          'https://www.market-' || supermarket_id || '.example.com/item-' || (id // 6) || '/p' AS product_url, copy, id,
          CASE WHEN id % 59 = 0 THEN 0 ELSE floor(price::double * (1 + (id % 7) * 0.5::double) * 100 + 0.5) / 100 END::decimal(10,2) AS price, list_price, id % 17 <> 0 AS is_available
-  FROM sp, (VALUES (0), (1)) v(copy) WHERE id % 53 <> 0 AND (copy = 0 OR id % 19 = 0)""")
+  FROM sp, (VALUES (0), (1)) v(copy) WHERE copy = 0 OR id % 19 = 0""")
 _HOST = "regexp_replace(lower(regexp_extract({}, '^[a-z]+://([^/?#]+)', 1)), '^www\\.', '')"
 _CLASSIFIED = f"""
 classified AS (SELECT *, CASE WHEN last_checked_at IS NULL THEN 'unknown' WHEN TIMESTAMP '{NOW}' - last_checked_at <= freshness_sla_hours * INTERVAL 1 HOUR THEN 'fresh' ELSE 'stale' END AS status,
@@ -50,9 +51,10 @@ def live_of(t: Tables) -> DataFrame:
     k, part = F.col("id"), F.floor(F.col("id") / 6)
     price = F.floor(F.col("price").cast("double") * (F.lit(1.0) + (k % 7) * F.lit(0.5)) * 100 + 0.5) / F.lit(100.0)
     copies = F.when(k % 19 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-    return t.supermarket_products.filter(k % 53 != 0).select(
+    moved = k % 53 == 0
+    return t.supermarket_products.select(
         slug_of(F.col("supermarket_id")).alias("source_slug"), F.col("product_ean").alias("ean"), part.alias("k"),
-        F.when(part % 23 != 0, F.concat(F.lit("sku-"), part.cast("string"))).alias("sku_id"),
+        F.when(moved, F.concat(F.lit("moved-"), part.cast("string"))).when(part % 23 != 0, F.concat(F.lit("sku-"), part.cast("string"))).alias("sku_id"),
         F.concat(F.lit("https://www."), slug_of(F.col("supermarket_id")), F.lit(".example.com/item-"), part.cast("string"), F.lit("/p")).alias("product_url"),
         F.explode(copies).alias("copy"), "id",
         F.when(k % 59 == 0, 0.0).otherwise(price).cast("decimal(10,2)").alias("price"), "list_price", (k % 17 != 0).alias("is_available"))
@@ -135,14 +137,15 @@ def denominator_deltas(t):
     return deltas_of(t)
 
 
-@query("k02_baseline_status", "K2", "rows runs", f"""WITH {_BASE_SQL}, gate AS (SELECT count(*) FILTER (status = 'RUNNING') AS running FROM runs),
+@query("k02_baseline_status", "K2", "rows runs staging", f"""WITH {_BASE_SQL}, gate AS (SELECT count(*) FILTER (status = 'RUNNING') AS running FROM runs),
+waiting AS (SELECT count(*) AS pending FROM staging),
 cur AS (SELECT source_slug AS slug, rankable_rows AS n FROM base), prev AS (SELECT coalesce(source_slug, 'all') AS slug, count(*) FILTER (is_available) AS n FROM bucketed GROUP BY GROUPING SETS ((source_slug), ())),
 blocked AS (SELECT bool_or(p.n > c.n AND (p.n - c.n > 10 OR (p.n - c.n)::double / p.n * 100 > 1) AND slug <> 'market-1') AS b FROM cur c JOIN prev p USING (slug))
-SELECT total_rows, fresh_rows, freshness_percent, rankable_rows, CASE WHEN (SELECT b FROM blocked) THEN 'FAIL' WHEN (SELECT running FROM gate) > 0 OR freshness_percent < 95 THEN 'WARN' ELSE 'PASS' END AS status
+SELECT total_rows, fresh_rows, freshness_percent, rankable_rows, (SELECT running FROM gate) AS running_runs, (SELECT pending FROM waiting) AS pending_rows,
+  CASE WHEN (SELECT b FROM blocked) THEN 'FAIL' WHEN (SELECT running FROM gate) > 0 OR (SELECT pending FROM waiting) > 0 OR freshness_percent < 95 THEN 'WARN' ELSE 'PASS' END AS status
 FROM base WHERE source_slug = 'all'""")
 def baseline_status(t):
-    running = t.ingestion_run.agg(F.count_if(F.col("status") == "RUNNING")).scalar()
-    return fo.baseline_status(fo.freshness_baseline(rows_of(t), NOW), deltas_of(t), running, F.lit(0))
+    return fo.baseline_status(rows_of(t), NOW, ["market-1"], t.ingestion_run, t.staging_product)
 
 
 # -- source health and debt --------------------------------------------------------------
@@ -260,8 +263,21 @@ capacity AS (SELECT *, CASE WHEN recommended_batch > 0 THEN ceil(rows_to_90 / re
   CASE WHEN recommended_batch > 0 THEN ceil(rows_to_95 / recommended_batch) ELSE 0 END::bigint AS chunks_to_95 FROM c3)"""
 
 
+def shared_capacity_scan(t: Tables) -> DataFrame:
+    """The capacity guards over stored rows: two reads of these and one of the live answers, once for all that follows."""
+    def scan(t: Tables) -> DataFrame:
+        rows = shared_rows(t)
+        return op.evaluate_rows(rows.filter(fo.is_rankable()), rows, live_of(t), hosts_of(t), "capacity").select("source_slug", "id", "status", "reasons")
+
+    return t.shared("capacity-scan", scan)
+
+
+def shared_rows(t: Tables) -> DataFrame:
+    return t.shared("rows", rows_of)
+
+
 def capacity_of(t: Tables) -> DataFrame:
-    return op.refresh_capacity(fo.source_health(rows_of(t), NOW), scanned(t, "capacity"), WRITERS, BATCH)
+    return op.refresh_capacity(fo.source_health(shared_rows(t), NOW), shared_capacity_scan(t), WRITERS, BATCH)
 
 
 @query("e26_refresh_capacity", "E26", "rows live", f"WITH {_CAPACITY_SQL} SELECT * FROM capacity")
@@ -293,9 +309,8 @@ SELECT c.source_slug, c.id, array_to_string(list_filter([CASE WHEN NOT writer_su
   CASE WHEN j.status <> 'PASS' THEN 'row_not_passed' END], lambda x: x IS NOT NULL), ',') AS reasons
 FROM chosen c JOIN capacity k USING (source_slug) JOIN judged j ON j.id = c.id""")
 def capacity_evidence(t):
-    evaluated = scanned(t, "capacity")
-    chosen = fo.oldest_rankable(rows_of(t), BATCH)
-    return op.capacity_evidence(chosen, capacity_of(t), evaluated, BATCH).withColumn("reasons", F.array_join("reasons", ","))
+    chosen = fo.oldest_rankable(shared_rows(t), BATCH)
+    return op.capacity_evidence(chosen, capacity_of(t), shared_capacity_scan(t), BATCH).withColumn("reasons", F.array_join("reasons", ","))
 
 
 @query("j13_applied_refresh", "J13", "rows live", f"""WITH {_PICK_SQL}

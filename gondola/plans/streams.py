@@ -13,7 +13,10 @@ from ..sources.stable import shared_folder
 from ..streaming import jobs
 from .registry import query
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: A batch uploads the keys it changed, not the whole state.
+STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true"}
 
 
 def stream_of(t: Tables, name: str) -> DataFrame:
@@ -25,7 +28,8 @@ def fresh_base(t: Tables) -> str:
 
 
 def drain(t: Tables, stream: DataFrame) -> DataFrame:
-    t.spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    for key, value in STATE_STORE.items():
+        t.spark.conf.set(key, value)
     base = fresh_base(t)
     jobs.run_to_parquet(stream, base).awaitTermination()
     return t.spark.read.schema(stream.schema).parquet(f"{base}/out")
@@ -41,9 +45,7 @@ def price_change_stream(t):
         F.concat_ws("-", "l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", F.unix_date(F.to_date("l_shipdate"))).alias("id"),
         (k * N_MARKETS + m).alias("key"), F.col("l_shipdate").cast("timestamp").alias("scraped_at"),
         money(currency(F.col("p_retailprice") * (F.lit(1.0) - F.col("l_discount")))).alias("price"), money(F.col("p_retailprice")).alias("list_price"))
-    base = fresh_base(t)
-    jobs.stream_price_changes(rows, base).awaitTermination()
-    out = t.spark.read.schema(rows.schema).parquet(f"{base}/changes/batch=*")
+    out = drain(t, jobs.price_changes(rows))
     return out.withColumns({c: F.col(c).cast("double") for c in ("price", "list_price")})
 
 
@@ -72,7 +74,7 @@ def failure_alerts(t):
         (F.col("event_type") != "error").alias("is_healthy"))
     base = fresh_base(t)
     jobs.stream_failure_alerts(health, base).awaitTermination()
-    return t.spark.read.schema("id bigint, source_slug string, checked_at timestamp, failures bigint").parquet(f"{base}/alerts/batch=*")
+    return t.spark.read.schema(jobs.ALERT_ROWS).parquet(f"{base}/batch=*/kind=alert*").drop("last_second")
 
 
 @query("l03_daily_trend_stream", "L3 E13", "observations", """

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 
 from ..functions import promo
 from ..operators import merge
-from ..sources import sinks
+from ..sources import sinks, versions
 from ..sources.derive import NOW, Tables
 from ..sources.stable import shared_folder
+from .ingest import BATCH_TABLES, UPSERT_SQL, winners
 from .registry import query
 
 RETENTION_DAYS = 90
@@ -69,3 +70,31 @@ def updated_values(t):
 SELECT id, CASE WHEN list_price > price AND list_price > 0 THEN floor((list_price::double - price::double) * 100 + 0.5) / 100 END AS amount FROM sp""")
 def discount_amounts(t):
     return t.supermarket_products.select("id", promo.discount_amount(F.col("price"), F.col("list_price")).alias("amount"))
+
+
+def _merged(t: Tables, batch):
+    """State and batch merged into a bucketed table; its folder and the manifests before and after."""
+    root = f"{_root(t)}/supermarket_products"
+    first = versions.create(t.state_supermarket_products, root, merge.KEY, "supermarket_id", buckets=8)
+    return root, first, merge.merge_current(root, batch, t.supermarkets, NOW, first.version)
+
+
+@query("j03_merged_table", "J3", BATCH_TABLES, f"WITH {UPSERT_SQL} SELECT * EXCLUDE (action) FROM upserted")
+def merged_table(t):
+    root, _, _ = _merged(t, winners(t))
+    return versions.read(t.spark, root).select(
+        "id", "product_ean", "supermarket_id", F.col("price").cast("double").alias("price"), "is_available", "sku_id", "last_checked_at")
+
+
+@query("j03_rewritten_buckets", "J3", BATCH_TABLES, f"""WITH {UPSERT_SQL}
+SELECT x.supermarket_id, count(*) AS rows, count(*) FILTER (x.supermarket_id = 2) AS rewritten,
+  count(*) FILTER (x.supermarket_id = 2 AND action <> 'keep') AS changed
+FROM upserted x LEFT JOIN state_sp o ON o.id = x.id WHERE o.id IS NOT NULL OR x.supermarket_id = 2 GROUP BY 1""")
+def rewritten_buckets(t):
+    """A batch of one store rewrites the buckets of that store; all others keep the files of the first write."""
+    root, first, after = _merged(t, winners(t).filter("source_slug = 'market-2'"))
+    old = set(first.writes.values())
+    rows = versions.read(t.spark, root, after, with_place=True)
+    return rows.groupBy("supermarket_id").agg(
+        F.count("*").alias("rows"), F.count_if(~F.col("_write").isin(*old)).alias("rewritten"),
+        F.count_if(F.col("last_checked_at") == F.lit(NOW).cast("timestamp")).alias("changed"))

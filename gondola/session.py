@@ -21,6 +21,8 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
     # Cut top-k per source inside each partition, also for larger k.
     "spark.sql.optimizer.windowGroupLimitThreshold": "10000",
+    # Folders of a partitioned table are listed by tasks of many folders each, not one apiece.
+    "spark.sql.sources.parallelPartitionDiscovery.parallelism": "64",
     # Rows of the many derived columns are wide; keep one stage per span.
     "spark.sql.codegen.maxFields": "200",
 }

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.numeric import currency
+from .sinks import written
 
 NOW = "2001-11-05 00:00:00"
 STATE_AT = "1995-07-01 00:00:00"
@@ -37,7 +38,13 @@ _SCHEMAS: dict[str, T.StructType] = {}
 
 class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.dir = spark, sf_dir
+        self.spark, self.dir, self._shared = spark, sf_dir, {}
+
+    def shared(self, name: str, build) -> DataFrame:
+        """``build(self)`` for a query that reads it several times: written once to the shared folder, then read from there."""
+        if name not in self._shared:
+            self._shared[name] = written(build(self), name)
+        return self._shared[name]
 
     def raw(self, name: str) -> DataFrame:
         """A source table; its schema is read from the files once per process."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,23 +28,37 @@ def _is_product(node: Column) -> Column:
             | F.try_variant_get(node, "$.items", "variant").isNotNull())
 
 
-def find_product_records(payloads: DataFrame) -> DataFrame:
-    """Every object in a JSON payload that has ``productName`` or ``items``, nested hits too.
+def product_nodes(payloads: DataFrame) -> DataFrame:
+    """Every object in a JSON payload that has ``productName`` or ``items``, nested hits too, as variants (pos, node).
 
     The payload is parsed once and walked level by level inside the row, to its last level.
     """
     hits = _walk_all(_root(), _is_product, _children, 10)
-    return payloads.select(*payloads.drop("raw").columns, F.posexplode(hits).alias("pos", "_v")).withColumn(
-        "record", F.to_json("_v")).drop("_v")
+    return payloads.select(*payloads.drop("raw").columns, F.posexplode(hits).alias("pos", "node"))
+
+
+def find_product_records(payloads: DataFrame) -> DataFrame:
+    """The same objects as JSON text (pos, record)."""
+    return product_nodes(payloads).withColumn("record", F.to_json("node")).drop("node")
 
 
 def _root() -> Column:
     return F.filter(F.array(F.try_parse_json("raw")), lambda v: v.isNotNull())
 
 
+def has_products() -> Column:
+    """Whether the payload in ``raw`` holds a product record at any depth."""
+    return F.size(_walk_all(_root(), _is_product, _children, 10)) > 0
+
+
+def deeper_than(max_depth: int) -> Column:
+    """Whether the payload in ``raw`` holds containers below ``max_depth`` levels."""
+    return _walk(_root(), _is_product, _children, max_depth)["deeper"]
+
+
 def quarantined_payloads(payloads: DataFrame, max_depth: int = 10) -> DataFrame:
     """Payloads that hold containers below ``max_depth`` levels, for a look by hand; they don't stop the others."""
-    return payloads.filter(_walk(_root(), _is_product, _children, max_depth)["deeper"])
+    return payloads.filter(deeper_than(max_depth))
 
 
 def _walk(roots: Column, keep, children, max_depth: int) -> Column:
@@ -93,7 +109,12 @@ def _images(p: Column, base: Column) -> Column:
 
 
 def normalize_payloads(records: DataFrame) -> DataFrame:
-    """Candidate rows from (record, base_url); records without an EAN or a name are dropped."""
+    """Candidate rows from (node, base_url), or from JSON texts (record, base_url); those without an EAN or a name are dropped.
+
+    The fields are read out of the variant in the types of the record; a field of another shape is null.
+    """
+    if "node" not in records.columns:
+        records = records.withColumn("node", F.try_parse_json("record")).drop("record")
     p, q, none = F.col("_p"), F.col("_q"), F.expr("array()")
     sku = F.get(p["items"], F.lit(0))
     sku_sellers, all_sellers = sku["sellers"], p["sellers"]
@@ -112,12 +133,12 @@ def normalize_payloads(records: DataFrame) -> DataFrame:
     link = F.coalesce(F.when(clean(p["linkText"]).isNotNull(), F.concat(F.lit("/"), p["linkText"], F.lit("/p"))),
                       clean(p["link"]))
     available = F.coalesce(F.col("_offer.AvailableQuantity"), F.col("_offer.IsAvailable"), p["available"])
-    keep = [c for c in records.columns if c not in ("record", "base_url")]
+    keep = [c for c in records.columns if c not in ("node", "base_url")]
+    typed = lambda kind: F.try_variant_get("node", "$", kind.simpleString())
     return (
         # the generator keeps the parsed structs from being re-evaluated per use
         records.select(*keep, "base_url", F.explode(F.array(F.struct(
-            F.from_json("record", RAW_PRODUCT).alias("p"),
-            F.when(F.col("record").rlike('"(EAN|value)"'), F.from_json("record", RAW_ALTERNATE)).alias("q")))).alias("_d"))
+            typed(RAW_PRODUCT).alias("p"), typed(RAW_ALTERNATE).alias("q")))).alias("_d"))
         .withColumn("_p", F.col("_d.p")).withColumn("_q", F.col("_d.q"))
         .withColumn("_seller", seller).withColumn("_offer", offer)
         .withColumn("ean", F.get(F.filter(eans, lambda e: e.rlike(r"^\d{8,14}$")), F.lit(0)))
@@ -155,6 +176,12 @@ def plausible_list_price(price: Column, list_price: Column) -> Column:
     return F.when(price.isNull() | ~odd, list_price)
 
 
+def union_of_terms(results: list[DataFrame]) -> DataFrame:
+    """The answers of several search terms (source_slug, ean, pos, ...) one after the other, with ``term_ord`` from 0."""
+    tagged = [rows.withColumn("term_ord", F.lit(i)) for i, rows in enumerate(results)]
+    return reduce(DataFrame.unionByName, tagged)
+
+
 def last_fetch_wins(fetched: DataFrame) -> DataFrame:
     """Union of term results deduplicated by (source, EAN): values of the last row, position of the first."""
     order = F.struct("term_ord", "pos")

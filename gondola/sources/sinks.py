@@ -15,14 +15,24 @@ def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.schema(TABLES[name]).parquet(f"{root}/{name}")
 
 
+def _gathered(rows: DataFrame, column: str, spread: str) -> DataFrame:
+    """Neighbouring partition values together before a partitioned write, so that files are about as many as values.
+
+    Ranges over (value, hash of a key) cut a value with many rows over several tasks, and tasks stay as many as shuffle
+    partitions even where the rows are few: making a file for each value is what takes the time then.
+    """
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartitionByRange(tasks, column, F.xxhash64(spread))
+
+
 def append_staging(rows: DataFrame, root: str) -> None:
     """Append candidates partitioned by load day, so expiry drops whole partitions."""
-    (rows.withColumn("load_day", F.to_date("created_at")).write.mode("append")
+    (_gathered(rows.withColumn("load_day", F.to_date("created_at")), "load_day", "id").write.mode("append")
      .partitionBy("load_day").parquet(f"{root}/staging_product"))
 
 
 def append_history(rows: DataFrame, root: str) -> None:
-    (rows.withColumn("month", F.date_format("scraped_at", "yyyy-MM")).write.mode("append")
+    (_gathered(rows.withColumn("month", F.date_format("scraped_at", "yyyy-MM")), "month", "scraped_at").write.mode("append")
      .partitionBy("month").parquet(f"{root}/price_history"))
 
 

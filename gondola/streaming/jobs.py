@@ -11,13 +11,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
 from ..operators.monitor import failure_streaks
-from ..sources.stable import previous_in_order
 
 # Fixed values.
 ALERT_COOLDOWN_SECONDS = 3600
@@ -26,51 +25,55 @@ FAILURES_BEFORE_ALERT = 2
 
 
 # -- price changes -----------------------------------------------------------------
-PRICE_ORDER = ["scraped_at", "id"]
+class LastPrices(StatefulProcessor):
+    """The newest value of every key, in a map state of the key's bucket: a batch reads and writes its own keys only.
 
-
-def changes_of_batch(batch: DataFrame, last: DataFrame | None) -> DataFrame:
-    """Rows whose (price, list_price) differs from the preceding value of their key.
-
-    batch: id, key, scraped_at, price, list_price. ``last`` has the stored value per
-    key; a key without a stored value counts as changed.
+    Rows of a key count in the order of (at, id), inside a batch and across batches. A row that is not newer
+    than the stored one is late: it is neither a change nor does it replace the stored value.
     """
-    pair = F.struct("price", "list_price")
-    steps = previous_in_order(batch.withColumn("_pair", pair), "key", PRICE_ORDER, "_pair", "_prev")
-    if last is not None:
-        stored = last.select("key", F.struct("price", "list_price").alias("_stored"))
-        steps = steps.join(stored, "key", "left").withColumn(
-            "_prev", F.when(F.col("is_first"), F.col("_stored")).otherwise(F.col("_prev"))).drop("_stored")
-    changed = F.col("_prev").isNull() | ~F.col("_prev").eqNullSafe(F.col("_pair"))
-    return steps.filter(changed).select("id", "key", "scraped_at", "price", "list_price")
 
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getMapState("last", "key bigint", "at bigint, id string, pair string")
 
-def last_values(batch: DataFrame, last: DataFrame | None) -> DataFrame:
-    """Newest value per key after the batch."""
-    new = batch.groupBy("key").agg(F.max(F.struct(*PRICE_ORDER, "price", "list_price")).alias("v")).select(
-        "key", "v.price", "v.list_price")
-    if last is None:
-        return new
-    kept = last.join(new.select("key"), "key", "left_anti")
-    return kept.select("key", "price", "list_price").unionByName(new)
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        batch = pd.concat(rows, ignore_index=True).sort_values(["key", "at", "id"], ignore_index=True)
+        known, place = np.unique(batch["key"].to_numpy(), return_inverse=True)
+        stored = [self.last.getValue((int(k),)) if self.last.containsKey((int(k),)) else None for k in known]
+        if any(v is not None for v in stored):
+            seen = np.array([v is not None for v in stored])[place]
+            at = np.array([v[0] if v else 0 for v in stored])[place]
+            id_, pair = (np.array([v[i] if v else "" for v in stored], object)[place] for i in (1, 2))
+            newer = ~seen | (batch["at"] > at) | ((batch["at"] == at) & (batch["id"] > id_))
+            batch, seen, pair = batch[newer].reset_index(drop=True), seen[newer], pair[newer]
+        else:
+            seen, pair = np.zeros(len(batch), bool), np.full(len(batch), "", object)
+        of = batch["key"].to_numpy()
+        first = np.ones(len(batch), bool)
+        first[1:] = of[1:] != of[:-1]
+        final = np.roll(first, -1)
+        values = batch["pair"].to_numpy()
+        before = np.where(first, pair, np.roll(values, 1)) if len(batch) else values
+        changed = np.where(first & ~seen, True, before != values).astype(bool)
+        for row in batch[final].itertuples(index=False):
+            self.last.updateValue((int(row.key),), (int(row.at), row.id, row.pair))
+        yield batch.loc[changed, ["id", "key", "at", "pair"]]
 
+    def close(self) -> None:
+        pass
 
-def stream_price_changes(observations: DataFrame, base: str) -> StreamingQuery:
-    """Append only changed prices to ``base/changes``; the last value per key is kept in ``base/last``.
 
-    Each micro-batch writes its own directories by batch number, so repeating a
-    batch after a failure overwrites the same output.
-    """
-    def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        previous = spark.read.parquet(f"{base}/last/batch={number - 1}") if number > 0 else None
-        batch.persist()  # read once for both outputs; recomputed if an executor is lost
-        changes_of_batch(batch, previous).write.mode("overwrite").parquet(f"{base}/changes/batch={number}")
-        last_values(batch, previous).write.mode("overwrite").parquet(f"{base}/last/batch={number}")
-        batch.unpersist()
-
-    return (observations.writeStream.foreachBatch(write).option("checkpointLocation", f"{base}/checkpoint")
-            .trigger(availableNow=True).start())
+def price_changes(observations: DataFrame, buckets: int = 256) -> DataFrame:
+    """Rows of a stream whose (price, list_price) differs from the preceding value of their key; the first row of a
+    key counts as changed. observations: id, key (a number), scraped_at, price, list_price."""
+    kinds = {c: observations.schema[c].dataType for c in ("price", "list_price")}
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    rows = observations.select(
+        F.pmod(F.xxhash64("key"), F.lit(buckets)).alias("bucket"), F.col("id").cast("string").alias("id"), F.col("key").cast("bigint").alias("key"),
+        F.unix_micros("scraped_at").alias("at"), F.concat(text("price"), F.lit("|"), text("list_price")).alias("pair"))
+    out = rows.groupBy("bucket").transformWithStateInPandas(
+        statefulProcessor=LastPrices(), outputStructType="id string, key bigint, at bigint, pair string", outputMode="append", timeMode="none")
+    value = lambda c, i: F.nullif(F.split_part("pair", F.lit("|"), F.lit(i)), F.lit("")).cast(kinds[c]).alias(c)
+    return out.select("id", "key", F.timestamp_micros("at").alias("scraped_at"), value("price", 1), value("list_price", 2))
 
 
 # -- alert suppression -------------------------------------------------------------
@@ -118,51 +121,121 @@ def suppress_repeats(alerts: DataFrame, cooldown_seconds: int = ALERT_COOLDOWN_S
         outputMode="append", timeMode="none")
 
 
+# Failure alerts: an alert at second s lets the next one pass from s + cooldown on. A chunk of that length
+# holds at most one sent alert, so a chunk is a jump function from the earliest second allowed to the earliest
+# allowed behind it. The functions of the chunks of a block (up to 48 chunks of one source) are composed in one row, the
+# composed ones take a source's state from block to block, and every block then finds its alerts on its own.
+CHUNKS_IN_BLOCK = 48
+_FREE = -(1 << 62)
+
+
+def _first_from(seconds: Column, allowed: Column) -> Column:
+    return F.get(F.filter(seconds, lambda s: s >= allowed), F.lit(0))
+
+
+def _jump(chunk: Column, allowed: Column, cooldown: int) -> Column:
+    """Earliest second allowed behind the chunk: after the alert it sends, or unchanged if it sends none."""
+    return F.coalesce(_first_from(chunk["seconds"], allowed) + cooldown, allowed)
+
+
+def _given(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def composed_jump(chunks: Column, cooldown: int) -> Column:
+    """The jump over all chunks of a block as steps (upto, allowed): entries up to ``upto`` leave as ``allowed``.
+
+    What is allowed at the start of a block lies less than a cool-down behind it, so the steps can only lie at
+    the first chunk's seconds; steps that meet are merged, which soon leaves a few.
+    """
+    whole = lambda a: F.lit(a).cast("bigint")
+    first = F.get(chunks, F.lit(0))["seconds"]
+    steps = F.concat(
+        F.transform(first, lambda s: F.struct(s.alias("upto"), (s + cooldown).alias("allowed"))),
+        F.array(F.struct(whole(1 << 62).alias("upto"), whole(_FREE).alias("allowed"))))
+
+    def over(found: Column, chunk: Column) -> Column:
+        moved = F.transform(found, lambda p: F.struct(p["upto"].alias("upto"), _jump(chunk, p["allowed"], cooldown).alias("allowed")))
+        # of steps with one value the last, which reaches furthest
+        return _given(moved, lambda m: F.filter(m, lambda p, i: F.coalesce(F.get(m, i + 1)["allowed"] != p["allowed"], F.lit(True))))
+
+    return F.aggregate(F.slice(chunks, 2, CHUNKS_IN_BLOCK), steps, over)
+
+
+def cooled_down(per_second: DataFrame, cooldown: int, last: DataFrame | None = None) -> DataFrame:
+    """(source_slug, second) of the alerts that pass; per_second: source_slug, second, one row each.
+
+    ``last`` has the second of the last alert (source_slug, last_second) sent before.
+    """
+    rows = per_second.select("source_slug", "second")
+    if last is not None:
+        rows = rows.join(last.select("source_slug", "last_second"), "source_slug", "left").where(
+            F.col("last_second").isNull() | (F.col("second") >= F.col("last_second") + cooldown)).drop("last_second")
+    chunk = F.floor(F.col("second") / cooldown)
+    chunks = rows.groupBy("source_slug", chunk.alias("chunk")).agg(F.sort_array(F.collect_list("second")).alias("seconds"))
+    blocks = chunks.groupBy("source_slug", F.floor(F.col("chunk") / CHUNKS_IN_BLOCK).alias("block")).agg(
+        F.array_sort(F.collect_list(F.struct("chunk", "seconds"))).alias("chunks"))
+    jumps = blocks.select("source_slug", F.struct("block", composed_jump(F.col("chunks"), cooldown).alias("steps")).alias("b"))
+
+    def through(state: Column, block: Column) -> Column:
+        step = F.get(F.filter(block["steps"], lambda p: p["upto"] >= state["allowed"]), F.lit(0))
+        return F.struct(
+            # nothing allowed before the last block holds back the next: a block is longer than the cool-down
+            F.greatest(step["allowed"], state["allowed"]).alias("allowed"),
+            F.concat(state["entries"], F.array(F.struct(block["block"].alias("block"), state["allowed"].alias("entry")))).alias("entries"))
+
+    start = F.struct(F.lit(_FREE).cast("bigint").alias("allowed"), F.array().cast("array<struct<block:bigint,entry:bigint>>").alias("entries"))
+    # one row per source with a step list for each of its blocks (a day at the usual cool-down)
+    entries = jumps.groupBy("source_slug").agg(F.array_sort(F.collect_list("b")).alias("blocks")).select(
+        "source_slug", F.explode(F.aggregate("blocks", start, through)["entries"]).alias("e")).select("source_slug", "e.block", "e.entry")
+
+    def send(state: Column, chunk: Column) -> Column:
+        sent = _first_from(chunk["seconds"], state["allowed"])
+        return F.struct(F.coalesce(sent + cooldown, state["allowed"]).alias("allowed"),
+                        F.concat(state["sent"], F.filter(F.array(sent), lambda s: s.isNotNull())).alias("sent"))
+
+    begin = F.struct(F.col("entry").alias("allowed"), F.array().cast("array<bigint>").alias("sent"))
+    return blocks.join(entries, ["source_slug", "block"]).select(
+        "source_slug", F.explode(F.aggregate("chunks", begin, send)["sent"]).alias("second"))
+
+
 def failure_alerts_of_batch(log: DataFrame, state: DataFrame | None, threshold: int = FAILURES_BEFORE_ALERT,
-                            cooldown_seconds: int = FAILURE_COOLDOWN_SECONDS) -> tuple[DataFrame, DataFrame]:
-    """(alerts, new state) for a batch of id, source_slug, checked_at, is_healthy.
+                            cooldown_seconds: int = FAILURE_COOLDOWN_SECONDS) -> DataFrame:
+    """Alerts and the new state in one result, told apart by ``kind``, for a batch of id, source_slug, checked_at,
+    is_healthy.
 
-    state: source_slug, failures, last_second. Streaks come from the chunked running
-    count; the cool-down runs on one row per (source, second).
+    kind alert: id, source_slug, checked_at, failures. kind state: source_slug, failures (counted at the end),
+    last_second (of the last alert sent). Streaks come from the chunked running count, the cool-down from jump functions.
     """
     initial = None if state is None else state.select("source_slug", F.col("failures").alias("initial"))
     streaks = failure_streaks(log, initial)
     second = F.unix_seconds("checked_at")
     per_second = streaks.filter(F.col("failures") >= threshold).groupBy("source_slug", second.alias("second")).agg(
-        F.min(F.struct("checked_at", "id", "failures")).alias("a")).select("source_slug", "second", "a.*")
-    last = F.lit(None).cast("bigint").alias("last_second")
-    if state is None:
-        known = per_second.withColumn("last_second", last)
-    else:
-        known = per_second.join(state.select("source_slug", "last_second"), "source_slug", "left")
-
-    def pick(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("second", ignore_index=True)
-        before = group["last_second"].iloc[0]
-        sent, _ = _send(group["second"].to_numpy(), None if pd.isna(before) else int(before), cooldown_seconds)
-        return group.loc[sent, ["id", "source_slug", "checked_at", "failures", "second"]]
-
-    alerts = known.groupBy("source_slug").applyInPandas(
-        pick, "id bigint, source_slug string, checked_at timestamp, failures bigint, second bigint")
+        F.min(F.struct("checked_at", "id", "failures")).alias("a"))
+    alerts = per_second.join(cooled_down(per_second, cooldown_seconds, state), ["source_slug", "second"])
     ends = streaks.groupBy("source_slug").agg(F.max_by("failures", F.struct("checked_at", "id")).alias("failures"))
-    sent = alerts.groupBy("source_slug").agg(F.max("second").alias("sent"))
-    new = ends.join(sent, "source_slug", "left")
+    marks = ends.select("source_slug", "failures", F.lit(None).cast("bigint").alias("last_second"), F.lit(1).alias("_order")).unionByName(
+        alerts.groupBy("source_slug").agg(F.max("second").alias("last_second")).select(
+            "source_slug", F.lit(None).cast("bigint").alias("failures"), "last_second", F.lit(1).alias("_order")))
     if state is not None:
-        old = state.select("source_slug", F.col("failures").alias("_f"), F.col("last_second").alias("_l"))
-        new = new.join(old, "source_slug", "full_outer").select(
-            "source_slug", F.coalesce("failures", "_f").alias("failures"), F.coalesce("sent", "_l").alias("last_second"))
-    else:
-        new = new.withColumnRenamed("sent", "last_second")
-    return alerts.drop("second"), new
+        marks = marks.unionByName(state.select("source_slug", "failures", "last_second", F.lit(0).alias("_order")))
+    newest = lambda c: F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col("_order"))).alias(c)
+    new = marks.groupBy("source_slug").agg(newest("failures"), newest("last_second"))
+    none = lambda kind: F.lit(None).cast(kind)
+    return alerts.select(F.lit("alert").alias("kind"), "a.id", "source_slug", "a.checked_at", "a.failures", none("bigint").alias("last_second")).unionByName(
+        new.select(F.lit("state").alias("kind"), none("bigint").alias("id"), "source_slug", none("timestamp").alias("checked_at"), "failures", "last_second"))
+
+
+ALERT_ROWS = "id bigint, source_slug string, checked_at timestamp, failures bigint, last_second bigint"
 
 
 def stream_failure_alerts(health: DataFrame, base: str) -> StreamingQuery:
-    """Alerts in ``base/alerts`` and the small per-source state in ``base/state``, by batch number."""
+    """One write per batch, ``base/batch=<n>``, with the alerts in ``kind=alert`` and the small per-source state in
+    ``kind=state``; repeating a batch overwrites the same folder."""
     def write(batch: DataFrame, number: int) -> None:
-        state = batch.sparkSession.read.parquet(f"{base}/state/batch={number - 1}") if number > 0 else None
-        alerts, new = failure_alerts_of_batch(batch, state)
-        alerts.write.mode("overwrite").parquet(f"{base}/alerts/batch={number}")
-        new.write.mode("overwrite").parquet(f"{base}/state/batch={number}")
+        state = batch.sparkSession.read.schema(ALERT_ROWS).parquet(f"{base}/batch={number - 1}/kind=state") if number > 0 else None
+        failure_alerts_of_batch(batch, state).write.mode("overwrite").partitionBy("kind").parquet(f"{base}/batch={number}")
 
     return (health.writeStream.foreachBatch(write).option("checkpointLocation", f"{base}/checkpoint")
             .trigger(availableNow=True).start())

@@ -1,6 +1,7 @@
 """Invariants, state across runs and skewed fixtures checked against brute force."""
 
 import random
+import re
 import tempfile
 from collections import Counter
 
@@ -14,7 +15,6 @@ from gondola.plans.refresh import drift_of, live_of
 from gondola.sources import payloads, sinks
 from gondola.sources.derive import Tables
 from gondola.sources.stable import previous_in_order
-from gondola.streaming import jobs
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -97,16 +97,6 @@ def test_promotion_ties_keep_null_discounts_first(spark):
     assert (got["promotion_id"], got["final_price"]) == (2, 50.0)
 
 
-def test_category_cycles_are_an_error(spark):
-    chain = spark.createDataFrame([(i, f"n{i}", f"n{i}", i - 1 if i else None) for i in range(5)], "id bigint, name string, slug string, parent_id bigint")
-    counts = spark.createDataFrame([("n4", 7)], "slug string, product_count bigint")
-    tree = {r["slug"]: r for r in catalog.category_tree(chain, counts).collect()}
-    assert tree["n4"]["path"] == "n0/n1/n2/n3/n4" and tree["n4"]["product_count"] == 7
-    loop = spark.createDataFrame([(1, "a", "a", 2), (2, "b", "b", 1)], "id bigint, name string, slug string, parent_id bigint")
-    with pytest.raises(Exception, match="deeper|cyclic"):
-        catalog.category_tree(loop, counts).collect()
-
-
 def test_payload_spellings_and_malformed_json(spark):
     body = ('{"data":[{"productName":"<b>Leche</b>","items":[{"EAN":"77900010","itemId":"5","sellers":['
             '{"sellerId":"1","commertialOffer":{"Price":900,"ListPrice":1000,"AvailableQuantity":0}},'
@@ -191,42 +181,6 @@ def test_stratified_sample_takes_surplus_from_smallest_remainders(spark):
     assert picked == {"a": 6, "b": 1, "c": 1, "d": 1, "e": 1}
 
 
-def test_price_stream_over_several_batches(spark):
-    root = folder()
-    rng = random.Random(1)
-    rows = [(f"{i:05d}", rng.randrange(4), i // 2, float(rng.randrange(3)), 1.0) for i in range(900)]
-    for b in range(3):
-        spark.createDataFrame(rows[b * 300:(b + 1) * 300], "id string, key bigint, t bigint, price double, list_price double").withColumn(
-            "scraped_at", F.timestamp_seconds("t")).coalesce(1).write.parquet(f"{root}/in/f{b}")
-    schema = "id string, key bigint, t bigint, price double, list_price double, scraped_at timestamp"
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in/*")
-    jobs.stream_price_changes(stream.drop("t"), f"{root}/job").awaitTermination()
-    last, want = {}, set()
-    for i, key, _, price, listed in rows:
-        if last.get(key) != (price, listed):
-            want.add(i)
-        last[key] = (price, listed)
-    got = {r["id"] for r in spark.read.parquet(f"{root}/job/changes/batch=*").collect()}
-    assert got == want
-
-
-def test_failure_alert_state_across_batches(spark):
-    log = [(i, "s", i * 400, i % 11 == 0) for i in range(60)]
-    df = spark.createDataFrame(log, "id bigint, source_slug string, t bigint, is_healthy boolean").withColumn("checked_at", F.timestamp_seconds("t"))
-    streak, last, want = 0, None, []
-    for i, _, t, good in log:
-        streak = 0 if good else streak + 1
-        if streak >= 2 and (last is None or t - last >= 1800):
-            want.append(i)
-            last = t
-    state, got = None, []
-    for low, high in ((0, 25), (25, 60)):
-        alerts, state = jobs.failure_alerts_of_batch(df.filter((F.col("id") >= low) & (F.col("id") < high)), state)
-        got += sorted(r["id"] for r in alerts.collect())
-        state = spark.createDataFrame(state.collect(), state.schema)
-    assert got == want
-
-
 def test_mined_terms_fill_up_with_defaults(spark):
     products = spark.createDataFrame([("1", "Yerba Mate Suave", "Marca", None)], "ean string, name string, brand string, category string")
     terms = [r["term"] for r in ingest.mined_terms(products, 8).collect()]
@@ -282,3 +236,25 @@ def test_rollback_report_counts_each_table(spark):
     got = {r["table"]: r for r in discovery.rollback_report(plans, before, after, {"rows": ["s", "ean"], "products": ["ean"]}).collect()}
     assert (got["rows"]["planned"], got["rows"]["present"], got["rows"]["remaining"], got["rows"]["deleted"], got["rows"]["status"]) == (2, 2, 1, 1, "FAIL")
     assert (got["products"]["planned"], got["products"]["deleted"], got["products"]["status"]) == (1, 1, "PASS")
+
+
+def scans(frame):
+    """Scans per table in the plan, scalar subqueries included; stored inputs by their name."""
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    found = re.findall(r"FileScan parquet .*?Location: InMemoryFileIndex\(\d+ paths\)\[[^\]]*?([A-Za-z-]+?)(?:-[0-9a-f]{32})?(?:\.parquet)?(?:, \.\.\.)?\]", plan)
+    return Counter(found)
+
+
+def test_audits_read_each_input_at_most_twice(spark):
+    def plan_of(name):
+        return scans(load()[name].build(Tables(spark, SF_DIR)))
+
+    # prices and staged rows are made of line items; counting runs needs orders only
+    assert plan_of("k02_baseline_status") == {"lineitem": 2, "orders": 2, "part": 3}
+    # the runs twice (sums, and the newest good run for the staged rows), staged rows, their price averages and prices once
+    overview = plan_of("e14_admin_overview")
+    assert overview["lineitem"] <= 5 and overview["events"] == 1 and overview["orders"] <= 3
+    for name in ("c14_capacity_evidence", "k13_source_health", "j14_apply_races", "j15_rollback_report"):
+        found = plan_of(name)
+        stored = {k: n for k, n in found.items() if k not in ("lineitem", "part", "orders")}
+        assert found["lineitem"] <= 2 and all(n <= 6 for n in stored.values()), (name, found)
