@@ -280,8 +280,10 @@ def least_documents(rows: list[Row]) -> list[Row]:
     other_mark[1:] = other_key[1:] | (mark[1:] != mark[:-1])
     group = np.cumsum(other_key) - 1
     several = np.bincount(group, other_mark) > 1
+    id_ = id_[order]
+    least = id_[other_mark][np.cumsum(other_mark) - 1]  # rows that share an id take nothing from each other
     code = np.zeros(len(order), np.uint8)
-    code[order] = np.where(~other_mark, 1, np.where(several[group], 2, 0))
+    code[order] = np.where(id_ > least, 1, np.where(several[group], 2, 0))
     return _dealt_back(rows, code, 4)
 
 
