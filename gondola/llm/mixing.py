@@ -7,9 +7,11 @@ met. Prefix sums never sort a whole source in one task: keys fall into 4096
 buckets of about equal probability, bucket totals are prefix-summed on their
 own, and a window only orders the documents inside a bucket.
 
-Cases: null texts have size 0; a null id or source is a value of its own (null
-sources come last); repeated rows are documents of their own. Reruns agree,
-since u depends on nothing but the id.
+Cases: null texts have size 0; a null source is a value of its own and comes
+last; repeated rows are documents of their own. Reruns agree: u is a hash of the
+id, or of the whole row where the id is null, and rows that share an id stand in
+the order of a hash of the row. With ``carry`` the rows travel in a struct, so
+their column names never clash.
 """
 
 from __future__ import annotations
@@ -68,22 +70,26 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, id_col: str = "doc_id
     With ``carry``, all columns of ``docs`` come along in a struct ``doc``.
     """
     id_ = F.col(id_col)
-    extra_columns = [F.struct(*docs.columns).alias("doc")] if carry else []
-    rows = docs.select(id_.alias("_id"), *extra_columns, F.col(source_col).alias("source"), F.col(source_col).isNull().alias("_null"),
+    named = lambda c: F.col(f"`{c}`")
+    extra_columns = [F.struct(*[named(c) for c in docs.columns]).alias("doc")] if carry else []
+    # rows that also agree in this are the same to the mix, in whatever order they come
+    tie = F.xxhash64(*[named(c) for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind])
+    rows = docs.select(id_.alias("_id"), *extra_columns, tie.alias("_tie"), F.col(source_col).alias("source"), F.col(source_col).isNull().alias("_null"),
                        F.coalesce(F.col(source_col), F.lit("")).alias("_src"), word_count(F.col(text_col)).alias("size"))
     if quality is None:
         rows = rows.withColumn("_weight", F.lit(1.0))
     else:
         rows = rows.join(quality, F.col("_id") == F.col("_labelled"), "left").drop("_labelled").withColumn(
             "_weight", F.coalesce("_weight", F.lit(1.0)))
-    rows = rows.withColumn("_key", exponential_key(F.col("_id").cast("string"), F.col("_weight")))
+    rows = rows.withColumn("_key", exponential_key(
+        F.coalesce(F.col("_id").cast("string"), F.concat(F.lit("~"), F.col("_tie").cast("string"))), F.col("_weight")))
     rows = rows.withColumn("_bucket", F.floor(BUCKETS * (1 - F.exp(-F.col("_key")))).cast("int")).repartition("_null", "_src", "_bucket")
     totals = rows.groupBy("_null", "_src", "_bucket").agg(F.sum("size").alias("_sum"))
     ahead = Window.partitionBy("_null", "_src").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.withColumn("_ahead", F.coalesce(F.sum("_sum").over(ahead), F.lit(0)))
     targets = source_targets(totals.groupBy("_null", "_src").agg(F.sum("_sum").alias("source_size")))
     starts = starts.join(targets, ["_null", "_src"]).drop("_sum")
-    inside = Window.partitionBy("_null", "_src", "_bucket").orderBy("_key", "_id").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("_null", "_src", "_bucket").orderBy("_key", "_id", "_tie").rowsBetween(Window.unboundedPreceding, 0)
     placed = rows.withColumn("_upto", F.sum("size").over(inside)).join(starts, ["_null", "_src", "_bucket"])
     epochs = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(MAX_EPOCHS))).otherwise(0)
     placed = placed.withColumn("_epochs", epochs.cast("long"))
