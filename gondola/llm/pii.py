@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 SPAN = "array<struct<kind:string,start:int,end:int,value:string,score:double>>"
 NEAR = 40
+IN_BLOCK = 256
 
 
 def _digits(value: Column) -> Column:
@@ -74,21 +75,40 @@ KINDS = (
 BASE = ("email", "ip", "card", "phone")
 
 
+def _given(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def spans_of(text: Column, kind: Kind) -> Column:
     found = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
-    between = F.split(text, kind.pattern, -1)
+    between = F.split(text, kind.pattern, -1)  # one more than found: the last has no match behind it
     none = F.array().cast(SPAN)
-    # (end of the last match, spans so far)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("out"))
+    flat, nested = "array<struct<start:int,end:int,value:string>>", "array<array<struct<start:int,end:int,value:string>>>"
 
     def add(state: Column, pair: Column) -> Column:
+        """(end of the last match, spans so far): only confirmed spans are copied along."""
         begin = state["at"] + F.length(pair["gap"])
         end = begin + F.length(pair["value"])
-        one = F.struct(begin.alias("start"), end.alias("end"), pair["value"].alias("value"))
-        return F.struct(end.alias("at"), F.concat(state["out"], F.array(one)).alias("out"))
-
-    pairs = F.transform(found, lambda v, i: F.struct(F.get(between, i).alias("gap"), v.alias("value")))
-    placed = F.filter(F.aggregate(pairs, start, add)["out"], lambda s: F.coalesce(kind.valid(s["value"]), F.lit(False)))
+        one = F.array(F.struct(begin.alias("start"), end.alias("end"), pair["value"].alias("value")))
+        right = F.coalesce(kind.valid(pair["value"]), F.lit(False))
+        return F.when(pair["value"].isNull(), state).otherwise(F.struct(
+            end.alias("at"), F.when(right, F.concat(state["out"], one)).otherwise(state["out"]).alias("out")))
+
+    def add_block(state: Column, block: Column) -> Column:
+        begin = F.struct(state["at"].alias("at"), F.array().cast(flat).alias("out"))
+        return _given(F.aggregate(block, begin, add), lambda done: F.struct(
+            done["at"].alias("at"), F.concat(state["out"], F.array(done["out"])).alias("out")))
+
+    def by_block(pairs: Column) -> Column:
+        """Appending to one array costs its length each time; blocks keep that bounded for any number of matches."""
+        firsts = F.sequence(F.lit(0), F.floor((F.size(pairs) - 1) / IN_BLOCK).cast("int"))
+        blocks = F.transform(firsts, lambda i: F.slice(pairs, i * IN_BLOCK + 1, IN_BLOCK))
+        start = F.struct(F.lit(0).alias("at"), F.array().cast(nested).alias("out"))
+        return F.flatten(F.aggregate(blocks, start, add_block)["out"])
+
+    pairs = F.zip_with(between, found, lambda gap, v: F.struct(gap.alias("gap"), v.alias("value")))
+    placed = _given(pairs, by_block)
 
     def scored(s: Column) -> Column:
         first = F.greatest(s["start"] - NEAR, F.lit(0))

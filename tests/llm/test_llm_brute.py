@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from gondola.llm import decontam, langid, lines, mixing, neardup, pii, ppm, prefixhash, suffix, toxicity
 from gondola.llm.queries import SETTINGS
@@ -468,3 +469,91 @@ def test_mix_meets_targets(spark):
 def test_held_out_folds(spark):
     ids = spark.range(50).select(toxicity.held_out("id").alias("h"), "id").collect()
     assert all(r.h == (zlib.crc32(str(r.id).encode()) % 5 == 0) for r in ids)
+
+
+# -- rows that share an id, or have none
+
+@pytest.mark.parametrize("chunk_bytes", (1500, 4000, 1 << 20))
+def test_rows_that_share_an_id_take_nothing_from_each_other(spark, chunk_bytes):
+    rng = random.Random(5)
+    own = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    shared, other = own(400), own(90)
+    docs = [(5, own(30) + shared + own(28)) for _ in range(40)] + [(6, own(20) + other), (9, own(20) + other), (9, other + shared[:60]), (7, own(50) + shared[100:200])]
+    rng.shuffle(docs)
+    first = {}
+    for i, t in docs:
+        for p in range(len(t) - 49):
+            first[t[p:p + 50]] = min(i, first.get(t[p:p + 50], i))
+    want = Counter()
+    for i, t in docs:
+        gone = np.zeros(len(t), bool)
+        for p in range(len(t) - 49):
+            if first[t[p:p + 50]] < i:
+                gone[p:p + 50] = True
+        want[i, len(t), int(gone.sum())] += 1
+    got = Counter((r.id, r.n_bytes, r.n_removed) for r in suffix.remove_repeats(table(spark, docs), chunk_bytes=chunk_bytes).collect())
+    assert got == want and not any(n for i, _, n in got if i == 5)
+
+
+def test_mix_agrees_for_shared_and_null_ids_in_any_order(spark):
+    rng = random.Random(3)
+    rows = [(7 if i % 16 else i, " ".join("w" for _ in range(rng.randint(1, 9))) + f" {i}", "en", f"s{i % 3}" if i % 5 else None, None) for i in range(200)]
+    rows += [(None, "a b c " + "d " * (i % 7), "en", "s1", None) for i in range(90)]
+    results = []
+    for seed in range(3):
+        random.Random(seed).shuffle(rows)
+        got = mixing.mix(spark.createDataFrame(rows, SCHEMA).repartition(5)).collect()
+        results.append(Counter((r.doc_id, r.source, r.size, r.taken) for r in got))
+        by = defaultdict(lambda: [0, 0.0])
+        for r in got:
+            by[r.source][0] += r.taken
+            by[r.source][1] = r.target
+        assert all(abs(taken - target) < 12 for taken, target in by.values())
+    assert results[0] == results[1] == results[2]
+    clash = spark.createDataFrame(rows, SCHEMA).withColumns({c: F.lit(1) for c in ("size", "target", "taken", "a.b", "doc", "_tie")})
+    assert mixing.mix(clash, carry=True).select("doc.`a.b`", "doc.size").count() == 290
+
+
+@pytest.mark.parametrize("percent", (80, 90, 100))
+def test_near_duplicates_at_other_similarities(spark, percent):
+    rng = random.Random(percent)
+    docs = []
+    for g in range(12):
+        base = [f"w{rng.randrange(400)}" for _ in range(120)]
+        for k in range(6):
+            words = list(base)
+            for _ in range(rng.randrange(0, 10)):
+                words[rng.randrange(120)] = f"x{rng.randrange(9)}"
+            docs.append((g * 10 + k, " ".join(words)))
+    sets = {i: {tuple(t.split()[j:j + 2]) for j in range(119)} for i, t in docs}
+    parent = {i: i for i, _ in docs}
+    def find(i):  # noqa: E306
+        while parent[i] != i:
+            i = parent[i]
+        return i
+    for a in sets:
+        for b in sets:
+            if a < b and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                parent[max(find(a), find(b))] = min(find(a), find(b))
+    got = {r.id: r.component for r in neardup.near_duplicates(table(spark, docs), width=2, percent=percent).collect()}
+    assert got == {i: find(i) for i in sets}
+
+
+def test_similarities_without_enough_bands_are_refused(spark):
+    with pytest.raises(ValueError, match="percent"):
+        neardup.near_duplicates(table(spark, [(1, "a")]), percent=60)
+    assert neardup.bits_off(80) == 29 and abs(neardup.likely(80) - 0.68) < 0.001
+
+
+def test_pii_in_a_text_of_100000_numbers(spark):
+    import time
+
+    rng = random.Random(2)
+    parts = [f"{rng.randrange(10, 10**6)}," if i % 300 else f"a{i}@example.org, 4111 1111 1111 1111; +49 30 {1000000 + i}" for i in range(100_000)]
+    text = " ".join(parts)
+    start = time.time()
+    row = pii.report(table(spark, [(1, text), (2, "x@y.z")])).where("doc_id = 1").first()
+    assert time.time() - start < 60
+    emails = [m.span() for m in re.finditer(r"a[0-9]+@example\.org", text)]
+    assert (row.n_email, row.n_card, row.n_phone) == (len(emails), len(emails), len(emails))
+    assert row.spans.split(",")[: len(emails)] == [f"email:{a}:{b}" for a, b in emails]

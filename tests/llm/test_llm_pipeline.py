@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from gondola.llm.queries import queries
 
@@ -10,7 +12,7 @@ SF_DIR = "/root/testdata/sf0.001"
 
 def test_every_operator_is_registered():
     names = list(queries())
-    assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)] == [1] * 10 and "pipeline" in names
+    assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 14)] == [1] * 13 and "pipeline" in names
 
 
 def test_stages_act_and_keep_the_columns(spark):
@@ -48,3 +50,16 @@ def test_stages_act_and_keep_the_columns(spark):
 def test_run_is_repeatable(spark):
     one, two = (corpus_pipeline.run(spark, SF_DIR).toPandas().sort_values("doc_id", ignore_index=True) for _ in range(2))
     assert len(one) and one.equals(two)
+
+
+def test_clashing_columns_pass_through_all_stages(spark):
+    documents = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    extra = ("size", "target", "taken", "_score", "_worst", "_kept", "a.b", "row", "doc", "id", "_tie", "component", "_gone")
+    docs = documents
+    for k, name in enumerate(extra):
+        docs = docs.withColumn(name, F.col("doc_id") + k)
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, SF_DIR)
+    rows = docs.collect()
+    assert len(rows) and docs.columns == [*documents.columns, *extra, "_size", "source_size", "_target", "_taken"]
+    assert all(r[name] == r["doc_id"] + k for r in rows for k, name in enumerate(extra))
