@@ -15,6 +15,7 @@ are ``und``.
 
 from __future__ import annotations
 
+import pickle
 from dataclasses import dataclass
 
 import numpy as np
@@ -80,21 +81,32 @@ def log_probs(net: Net, codes: np.ndarray, step: int = 512) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros((0, len(net.langs)), np.float32)
 
 
-def train(texts: list[bytes], langs: list[str], epochs: int = 6, batch: int = 64, rate: float = 0.01,
-          per_text: int = 12, seed: int = 0) -> Net:
-    """Adam on the cross entropy of windows; at most ``per_text`` windows of a training text, evenly spaced."""
-    names = sorted(set(langs))
+def chosen_windows(texts: list[bytes], per_text: int = 12) -> tuple[np.ndarray, np.ndarray]:
+    """At most ``per_text`` windows of each text, evenly spaced, and the text of each."""
+    codes, owner, _ = windows_of(texts)
+    if not len(codes):
+        return codes, owner
+    nth = np.arange(len(owner)) - np.searchsorted(owner, owner)
+    keep = nth % np.maximum(1, -(-np.bincount(owner, minlength=len(texts)) // per_text))[owner] == 0
+    return codes[keep], owner[keep]
+
+
+def train(texts: list[bytes], langs: list[str], epochs: int = 6, **options) -> Net:
+    codes, owner = chosen_windows(texts)
+    return train_windows(codes, np.array(langs, object)[owner], sorted(set(langs)), epochs, **options)
+
+
+def train_windows(codes: np.ndarray, langs: np.ndarray, names: list[str], epochs: int = 6, batch: int = 64, rate: float = 0.01, seed: int = 0) -> Net:
+    """Adam on the cross entropy of windows; each language weighs the same."""
     rng = np.random.default_rng(seed)
     make = lambda *shape: rng.normal(0, 1 / np.sqrt(shape[0]), shape).astype(np.float32)
     n_filters = len(WIDTHS) * FILTERS
     net = Net(names, rng.normal(0, 0.5, (PAD + 1, DIM)).astype(np.float32), [make(w * DIM, FILTERS) for w in WIDTHS],
               np.zeros(n_filters, np.float32), make(n_filters, max(1, len(names))), np.zeros(max(1, len(names)), np.float32))
-    codes, owner, _ = windows_of(texts)
     if len(names) < 2 or not len(codes):
         return net
-    nth = np.arange(len(owner)) - np.searchsorted(owner, owner)
-    keep = nth % np.maximum(1, -(-np.bincount(owner, minlength=len(texts)) // per_text))[owner] == 0
-    codes, target = codes[keep], np.array([names.index(name) for name in langs])[owner[keep]]
+    number = {name: i for i, name in enumerate(names)}
+    target = np.array([number[v] for v in langs])
     share = np.bincount(target, minlength=len(names))
     weight = (len(target) / (len(names) * share))[target].astype(np.float32)
     params = [net.embed, *net.filters, net.shift, net.out, net.bias]
@@ -147,17 +159,36 @@ def predict(net: Net, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return best, score
 
 
-def fit(docs: DataFrame, per_class: int = 300, most_langs: int = 200) -> Net:
-    """Learn from at most ``per_class`` texts of each of the ``most_langs`` most frequent languages."""
+def training_rows(docs: DataFrame, per_class: int) -> DataFrame:
+    """(doc_id, lang, codes): the training windows of at most ``per_class`` documents of each language, and no more of their texts."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") > 0))
-    common = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_langs).select("lang")
     order = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id")
-    picked = known.select("doc_id", "lang").join(F.broadcast(common), "lang").withColumn(
-        "_n", F.row_number().over(order)).where(F.col("_n") <= per_class).drop("_n").distinct()
-    # at most per_class * most_langs ids: a proven bound
-    rows = known.select("doc_id", "lang", "text").join(F.broadcast(picked), ["doc_id", "lang"]).orderBy("doc_id", "text").limit(
-        2 * per_class * most_langs).toArrow()
-    return train(as_bytes(rows["text"].combine_chunks()) if rows.num_rows else [], rows["lang"].to_pylist())
+    picked = known.select("doc_id", "lang").distinct().withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_class).drop("_n")
+    rows = known.select("doc_id", "lang", "text").join(picked, ["doc_id", "lang"])
+
+    def run(batches):
+        for batch in batches:
+            codes, owner = chosen_windows(as_bytes(batch.column(2)))
+            cut = np.searchsorted(owner, np.arange(batch.num_rows + 1))
+            held = [codes[i:j].tobytes() for i, j in zip(cut, cut[1:])]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1), pa.array(held, pa.binary())], names=["doc_id", "lang", "codes"])
+
+    return rows.mapInArrow(run, "doc_id bigint, lang string, codes binary")
+
+
+def fit(docs: DataFrame, per_class: int = 300) -> Net:
+    """Train in one task on at most ``per_class`` documents (ids) of each language, 12 windows of 128 bytes of a text;
+    only the weights come to the driver. Of rows that share an id, the one with the least windows in byte order counts."""
+    def run(batches):
+        rows = sorted(row for b in batches for row in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()))
+        codes = [np.frombuffer(c, np.int16).reshape(-1, WINDOW) for _, _, c in rows]
+        langs = np.repeat(np.array([lang for _, lang, _ in rows], object), [len(c) for c in codes])
+        net = train_windows(np.concatenate(codes) if codes else np.zeros((0, WINDOW), np.int16), langs, sorted({lang for _, lang, _ in rows}))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(net)], pa.binary())], names=["net"])
+
+    sample = training_rows(docs.where(F.col("doc_id").isNotNull()), per_class).groupBy("doc_id", "lang").agg(F.min("codes").alias("codes"))
+    one = sample.repartition(1).mapInArrow(run, "net binary").first()
+    return pickle.loads(one.net) if one else train([], [])
 
 
 def identify(docs: DataFrame, net: Net, text_col: str = "text") -> DataFrame:

@@ -557,3 +557,35 @@ def test_pii_in_a_text_of_100000_numbers(spark):
     emails = [m.span() for m in re.finditer(r"a[0-9]+@example\.org", text)]
     assert (row.n_email, row.n_card, row.n_phone) == (len(emails), len(emails), len(emails))
     assert row.spans.split(",")[: len(emails)] == [f"email:{a}:{b}" for a, b in emails]
+
+
+def test_language_prediction_equals_plain_loops(spark):
+    rng = random.Random(4)
+    texts = ["", "é", "ab " * 70, "".join(rng.choice("abcdé ñ") for _ in range(300)), "x" * 128, "y" * 129]
+    net = langid.train([t.encode() for t in texts[1:]], ["a", "b", "c", "a", "b"], epochs=1)
+    best, score = langid.predict(net, [t.encode() for t in texts])
+    for text, k, p in zip(texts, best, score):
+        data, total = text.encode(), [0.0] * 3
+        for at in range(0, len(data), 128):
+            window = list(data[at:at + 128]) + [256] * (128 - len(data[at:at + 128]))
+            tops = []
+            for width, filters in zip(langid.WIDTHS, net.filters):
+                for f in range(langid.FILTERS):
+                    tops.append(max(sum(net.embed[window[i + j]][d] * filters[j * langid.DIM + d, f] for j in range(width) for d in range(langid.DIM))
+                                    for i in range(128 - width + 1)))
+            hidden = [max(0.0, t + s) for t, s in zip(tops, net.shift)]
+            z = [sum(h * net.out[i, c] for i, h in enumerate(hidden)) + net.bias[c] for c in range(3)]
+            norm = math.log(sum(math.exp(v - max(z)) for v in z)) + max(z)
+            total = [t + (v - norm) * min(128, len(data) - at) for t, v in zip(total, z)]
+        mean = [t / max(1, len(data)) for t in total]
+        share = [math.exp(m) for m in mean]
+        assert abs(share[k] / sum(share) - p) < 1e-4 and max(mean) - mean[k] < 1e-4
+
+
+def test_language_sample_is_bounded_for_shared_ids(spark):
+    docs = [(1, "alle meine entchen schwimmen auf dem see " * (1 + i % 3), "de", "s", None) for i in range(200)]
+    docs += [(i, "the quick brown fox jumps over the lazy dog " * 4, "en", "s", None) for i in range(10, 60)] + [(None, "sans nom", "fr", "s", None)]
+    frame = spark.createDataFrame(docs, SCHEMA)
+    net = langid.fit(frame, per_class=20)
+    assert net.langs == ["de", "en"]
+    assert langid.fit(frame.repartition(7), per_class=20).out.tolist() == net.out.tolist()
