@@ -549,7 +549,7 @@ def test_pii_in_a_text_of_100000_numbers(spark):
     import time
 
     rng = random.Random(2)
-    parts = [f"{rng.randrange(10, 10**6)}," if i % 300 else f"a{i}@example.org, 4111 1111 1111 1111; +49 30 {1000000 + i}" for i in range(100_000)]
+    parts = [f"{rng.randrange(10, 10**6)}," if i % 300 else f"a{i}@example.org, 4111 1111 1111 1111; +49 30 {1000000 + i};" for i in range(100_000)]
     text = " ".join(parts)
     start = time.time()
     row = pii.report(table(spark, [(1, text), (2, "x@y.z")])).where("doc_id = 1").first()
