@@ -38,7 +38,7 @@ class LastPrices(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(rows, ignore_index=True).sort_values(["key", "at", "id"], ignore_index=True)
         known, place = np.unique(batch["key"].to_numpy(), return_inverse=True)
-        stored = [self.last.getValue((int(k),)) if self.last.containsKey((int(k),)) else None for k in known]
+        stored = [self.last.getValue((int(k),)) for k in known] if self.last.exists() else [None] * len(known)
         if any(v is not None for v in stored):
             seen = np.array([v is not None for v in stored])[place]
             at = np.array([v[0] if v else 0 for v in stored])[place]
