@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import stored
 from .text import as_bytes, slices
 
 WINDOW = 128
@@ -164,6 +165,8 @@ def training_rows(docs: DataFrame, per_class: int) -> DataFrame:
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") > 0))
     order = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id")
     picked = known.select("doc_id", "lang").distinct().withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_class).drop("_n")
+    # written first: its size is then known, and only where it is small do the texts stay where they are
+    picked = stored(picked, "picked")
     rows = known.select("doc_id", "lang", "text").join(picked, ["doc_id", "lang"])
 
     def run(batches):
