@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.numeric import loose_number
-from ..functions.text import category_from_text, category_leaf, clean, first_clean, slugify, strip_html
+from ..functions.numeric import loose_number, number_of, number_text
+from ..functions.text import category_from_lowered, category_leaf, clean, first_clean, slugify, strip_html
 from ..functions.web import absolute_url
 from ..schema import RAW_ALTERNATE, RAW_PRODUCT
 
@@ -28,12 +28,29 @@ def _is_product(node: Column) -> Column:
             | F.try_variant_get(node, "$.items", "variant").isNotNull())
 
 
+def _product_keys(node: Column) -> Column:
+    return sum((F.try_variant_get(node, f"$.{k}", "variant").isNotNull().cast("int") for k in _PRODUCT_KEYS), F.lit(0))
+
+
+def _keys_in_text() -> Column:
+    """At least the number of ``productName`` and ``items`` keys in the payload: how often the quoted words stand in its text.
+
+    A key can only be spelled otherwise with a code point escape; such payloads count as holding any number.
+    """
+    raw = F.col("raw")
+    found = sum(((F.length(raw) - F.length(F.replace(raw, F.lit(f'"{k}"')))) / F.lit(len(k) + 2) for k in _PRODUCT_KEYS), F.lit(0.0))
+    return F.when(F.contains(raw, F.lit("\\u")), F.lit(2**31 - 1)).otherwise(found.cast("int"))
+
+
+_PRODUCT_KEYS = ("productName", "items")
+
+
 def product_nodes(payloads: DataFrame) -> DataFrame:
     """Every object in a JSON payload that has ``productName`` or ``items``, nested hits too, as variants (pos, node).
 
-    The payload is parsed once and walked level by level inside the row, to its last level.
+    The payload is parsed once and walked level by level inside the row, as deep as its text has such keys left.
     """
-    hits = _walk_all(_root(), _is_product, _children, 10)
+    hits = _walk_all(_root(), _is_product, _children, 10, _product_keys, _keys_in_text())
     return payloads.select(*payloads.drop("raw").columns, F.posexplode(hits).alias("pos", "node"))
 
 
@@ -42,18 +59,29 @@ def find_product_records(payloads: DataFrame) -> DataFrame:
     return product_nodes(payloads).withColumn("record", F.to_json("node")).drop("node")
 
 
-def _root() -> Column:
-    return F.filter(F.array(F.try_parse_json("raw")), lambda v: v.isNotNull())
+def _root(parsed: Column | None = None) -> Column:
+    return F.filter(F.array(F.try_parse_json("raw") if parsed is None else parsed), lambda v: v.isNotNull())
 
 
-def has_products() -> Column:
-    """Whether the payload in ``raw`` holds a product record at any depth."""
-    return F.size(_walk_all(_root(), _is_product, _children, 10)) > 0
+def has_products(root: Column | None = None) -> Column:
+    """Whether the payload in ``raw`` holds a product record at any depth; ``root``: the parsed payload."""
+    return F.size(_walk_all(_root(root), _is_product, _children, 10, _product_keys, F.least(_keys_in_text(), F.lit(1)))) > 0
 
 
-def deeper_than(max_depth: int) -> Column:
-    """Whether the payload in ``raw`` holds containers below ``max_depth`` levels."""
-    return _walk(_root(), _is_product, _children, max_depth)["deeper"]
+def deeper_than(max_depth: int, root: Column | None = None) -> Column:
+    """Whether the payload in ``raw`` holds containers below ``max_depth`` levels; ``root``: the parsed payload.
+
+    Only payloads whose brackets stand that deep are walked.
+    """
+    return F.coalesce(_brackets_reach(max_depth), F.lit(False)) & _walk(_root(root), _is_product, _children, max_depth)["deeper"]
+
+
+def _brackets_reach(depth: int) -> Column:
+    """Whether brackets are nested at least ``depth`` deep: some stay after the innermost pairs went ``depth - 1`` times."""
+    left = F.regexp_replace("raw", r'"[^"\\]*+(?:\\.[^"\\]*+)*+"|[^\[\]{}"]++', "")
+    for _ in range(depth - 1):
+        left = F.regexp_replace(left, r"\[\]|\{\}", "")
+    return left != ""
 
 
 def quarantined_payloads(payloads: DataFrame, max_depth: int = 10) -> DataFrame:
@@ -71,29 +99,37 @@ def _walk(roots: Column, keep, children, max_depth: int) -> Column:
         lambda acc: F.struct(acc["hits"].alias("hits"), (F.size(acc["level"]) > 0).alias("deeper")))
 
 
-def _walk_all(roots: Column, keep, children, usual_depth: int) -> Column:
+def _walk_all(roots: Column, keep, children, usual_depth: int, weigh=None, budget: Column | None = None) -> Column:
     """Kept nodes of all levels in breadth-first order, at any depth.
 
-    The fold goes on where levels are left after the usual ones: JSON has no more levels than opening brackets.
+    The fold goes on where levels are left after the usual ones: JSON has no more levels than opening brackets. With
+    ``budget``, at least the sum of ``weigh`` over all nodes, it ends at the level where that is used up.
     """
-    usual = F.aggregate(
-        F.sequence(F.lit(1), F.lit(usual_depth)), _first_level(roots), lambda acc, _: _next_level(acc, keep, children))
+    def step(acc, _):
+        return F.when(F.size(acc["level"]) == 0, acc).otherwise(_next_level(acc, keep, children, weigh))
+
+    usual = F.aggregate(F.sequence(F.lit(1), F.lit(usual_depth)), _first_level(roots, budget), step)
     most = F.length("raw") - F.length(F.translate("raw", "[{", "")) + 1
     return F.get(F.transform(F.array(usual), lambda found: F.when(F.size(found["level"]) == 0, found["hits"]).otherwise(F.aggregate(
-        F.sequence(F.lit(1), most), found,
-        lambda acc, _: F.when(F.size(acc["level"]) == 0, acc).otherwise(_next_level(acc, keep, children)),
-        lambda acc: acc["hits"]))), F.lit(0))
+        F.sequence(F.lit(1), most), found, step, lambda acc: acc["hits"]))), F.lit(0))
 
 
-def _first_level(roots: Column) -> Column:
+def _first_level(roots: Column, budget: Column | None = None) -> Column:
     none = F.expr(_NO_NODES)
-    return F.struct(none.alias("hits"), F.coalesce(roots, none).alias("level"))
+    start = F.coalesce(roots, none)
+    if budget is None:
+        return F.struct(none.alias("hits"), start.alias("level"))
+    return F.struct(none.alias("hits"), F.when(budget > 0, start).otherwise(none).alias("level"), budget.alias("left"))
 
 
-def _next_level(acc: Column, keep, children) -> Column:
-    return F.struct(
-        F.concat(acc["hits"], F.filter(acc["level"], keep)).alias("hits"),
-        F.flatten(F.transform(acc["level"], children)).alias("level"))
+def _next_level(acc: Column, keep, children, weigh=None) -> Column:
+    hits = F.concat(acc["hits"], F.filter(acc["level"], keep)).alias("hits")
+    below = F.flatten(F.transform(acc["level"], children))
+    if weigh is None:
+        return F.struct(hits, below.alias("level"))
+    left = F.aggregate(acc["level"], acc["left"], lambda n, node: n - weigh(node))
+    return F.get(F.transform(F.array(left), lambda n: F.struct(
+        hits, F.when(n > 0, below).otherwise(F.expr(_NO_NODES)).alias("level"), n.alias("left"))), F.lit(0))
 
 
 def _truthy(text: Column) -> Column:
@@ -127,48 +163,50 @@ def normalize_payloads(records: DataFrame) -> DataFrame:
         F.concat(F.coalesce(q["referenceId"], none), F.coalesce(other["referenceId"], none)),
         lambda a, b: F.coalesce(a["Value"], b["value"]))
     eans = F.transform(F.concat(F.array(p["ean"], q["EAN"], sku["ean"], other["EAN"]), ids), clean)
-    price = loose_number(F.coalesce(F.col("_offer.Price"), p["price"]))
-    listed = loose_number(F.coalesce(F.col("_offer.ListPrice"), p["listPrice"]))
+    price = number_text(F.coalesce(F.col("_offer.Price"), p["price"]))
+    listed = number_text(F.coalesce(F.col("_offer.ListPrice"), p["listPrice"]))
     link = F.coalesce(F.when(clean(p["linkText"]).isNotNull(), F.concat(F.lit("/"), p["linkText"], F.lit("/p"))),
                       clean(p["link"]))
     available = F.coalesce(F.col("_offer.AvailableQuantity"), F.col("_offer.IsAvailable"), p["available"])
     keep = [c for c in records.columns if c not in ("record", "base_url")]
-    return (
-        # the generator keeps the parsed structs from being re-evaluated per use
-        records.select(*keep, "base_url", F.explode(F.array(F.struct(
-            F.from_json("record", RAW_PRODUCT).alias("p"),
-            F.when(F.col("record").rlike('"(EAN|value)"'), F.from_json("record", RAW_ALTERNATE)).alias("q")))).alias("_d"))
-        .withColumn("_p", F.col("_d.p")).withColumn("_q", F.col("_d.q"))
-        .withColumn("_seller", seller).withColumn("_offer", offer)
-        .withColumn("ean", F.get(F.filter(eans, lambda e: e.rlike(r"^\d{8,14}$")), F.lit(0)))
-        .withColumn("name", strip_html(first_clean(p["productName"], p["name"])))
-        .filter(F.col("ean").isNotNull() & (F.col("name") != ""))
-        .withColumn("images", _images(p, F.col("base_url")))
-        # separate columns: each rule reads its input more than once
-        .withColumn("_inferred", category_from_text(F.col("name")))
-        .withColumn("_listed", category_leaf(F.when(
-            p["categories"].isNotNull(), clean(F.get(p["categories"], F.lit(0)))).otherwise(clean(p["category"]))))
-        .withColumn("_category", first_clean(F.col("_inferred"), F.get(p["categoryTree"], F.lit(0))["name"], F.col("_listed")))
-        .withColumn("price", price).withColumn("_list", listed)
-        .select(
-            *keep, "ean", "name",
-            strip_html(first_clean(p["brand"], p["brandName"])).alias("brand"),
-            strip_html(first_clean(p["description"], p["metaTagDescription"])).alias("description"),
-            F.get("images", F.lit(0)).alias("image_url"),
-            "images",
-            strip_html(F.col("_category")).alias("category"),
-            first_clean(sku["itemId"], sku["id"]).alias("sku_id"),
-            first_clean(F.col("_seller.sellerId"), F.col("_seller.id")).alias("seller_id"),
-            absolute_url(link, F.col("base_url")).alias("product_url"),
-            "price",
-            plausible_list_price(F.col("price"), F.col("_list")).alias("list_price"),
-            loose_number(F.coalesce(p["unitMultiplier"], F.col("_offer.PriceWithoutDiscount"))).alias("reference_price"),
-            first_clean(p["measurementUnit"], sku["measurementUnit"]).alias("reference_unit"),
-            F.when(available.isNull(), True).otherwise(_truthy(available)).alias("is_available"),
-        )
+    c = F.col
+    parsed = _once(records.select(*keep, "base_url", "record"), "_d", p=F.from_json("record", RAW_PRODUCT), q=F.when(
+        c("record").rlike('"(EAN|value)"'), F.from_json("record", RAW_ALTERNATE))).drop("record")
+    parsed = parsed.withColumn("_p", c("_d.p")).withColumn("_q", c("_d.q"))
+    found = _once(parsed, "_a", seller=seller, eans=eans, name=first_clean(p["productName"], p["name"])).drop("_q", "_d")
+    found = found.withColumn("_seller", c("_a.seller"))
+    named = _once(found, "_b", offer=offer, ean=F.get(F.filter("_a.eans", lambda e: e.rlike(r"^\d{8,14}$")), F.lit(0)), name=strip_html(c("_a.name")))
+    named = named.drop("_a").withColumn("_offer", c("_b.offer")).filter(c("_b.ean").isNotNull() & (c("_b.name") != ""))
+    worked = _once(
+        named, "_c", images=_images(p, c("base_url")), lowered=F.lower("_b.name"),
+        listed=F.when(p["categories"].isNotNull(), clean(F.get(p["categories"], F.lit(0)))).otherwise(clean(p["category"])),
+        brand=first_clean(p["brand"], p["brandName"]), description=first_clean(p["description"], p["metaTagDescription"]),
+        price=price, list=listed, link=link, available=available)
+    ready = _once(worked, "_e", price=number_of(c("_c.price")), list=number_of(c("_c.list")), category=first_clean(
+        category_from_lowered(c("_c.lowered")), F.get(p["categoryTree"], F.lit(0))["name"], category_leaf(c("_c.listed"))))
+    return ready.select(
+        *keep, c("_b.ean").alias("ean"), c("_b.name").alias("name"),
+        strip_html(c("_c.brand")).alias("brand"),
+        strip_html(c("_c.description")).alias("description"),
+        F.get("_c.images", F.lit(0)).alias("image_url"),
+        c("_c.images").alias("images"),
+        strip_html(c("_e.category")).alias("category"),
+        first_clean(sku["itemId"], sku["id"]).alias("sku_id"),
+        first_clean(c("_seller.sellerId"), c("_seller.id")).alias("seller_id"),
+        absolute_url(c("_c.link"), c("base_url")).alias("product_url"),
+        c("_e.price").alias("price"),
+        plausible_list_price(c("_e.price"), c("_e.list")).alias("list_price"),
+        loose_number(F.coalesce(p["unitMultiplier"], c("_offer.PriceWithoutDiscount"))).alias("reference_price"),
+        first_clean(p["measurementUnit"], sku["measurementUnit"]).alias("reference_unit"),
+        F.when(c("_c.available").isNull(), True).otherwise(_truthy(c("_c.available"))).alias("is_available"),
     )
 
 
+def _once(rows: DataFrame, alias: str, /, **values: Column) -> DataFrame:
+    """``rows`` with a struct of ``values``; the generator keeps them from being evaluated again at each use."""
+    return rows.select("*", F.explode(F.array(F.struct(*[v.alias(k) for k, v in values.items()]))).alias(alias))
+
+
 def plausible_list_price(price: Column, list_price: Column) -> Column:
     """Null when the list price is below the price or above five times the price."""
     odd = (list_price < price) | (list_price > price * 5)
