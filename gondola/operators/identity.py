@@ -98,12 +98,14 @@ def duplicate_numbering(candidates: DataFrame, key: Column, order: Column) -> Da
     """Marks the second and later rows of an identity.
 
     The first row of each identity comes from an aggregate, so an identity shared
-    by many rows is never gathered in one task.
+    by many rows is never gathered in one task. Rows without an identity join nothing
+    and are spread by the hash of their order.
     """
-    keyed = candidates.withColumn("_key", key).withColumn("_ord", order)
-    first = keyed.filter(F.col("_key").isNotNull()).groupBy("_key").agg(F.min("_ord").alias("_first"))
-    return keyed.join(first, "_key", "left").withColumn(
-        "is_duplicate", F.coalesce(F.col("_ord") > F.col("_first"), F.lit(False))).drop("_key", "_ord", "_first")
+    keyed = candidates.withColumn("_key", key).withColumn("_ord", order).withColumn(
+        "_spread", F.when(F.col("_key").isNull(), F.xxhash64("_ord")).otherwise(F.xxhash64("_key")))
+    first = keyed.filter(F.col("_key").isNotNull()).groupBy("_key", "_spread").agg(F.min("_ord").alias("_first"))
+    return keyed.join(first, ["_key", "_spread"], "left").withColumn(
+        "is_duplicate", F.coalesce(F.col("_ord") > F.col("_first"), F.lit(False))).drop("_key", "_ord", "_first", "_spread")
 
 
 def catalog_comparison(candidates: DataFrame, catalog: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from gondola.functions import numeric, text
-
+from gondola.operators import identity
 from gondola.sources import payloads
 
 ODD = [
@@ -44,3 +44,19 @@ def test_fast_paths_keep_values(spark):
         assert r.a == r.b
     numbers = spark.createDataFrame([(t,) for t in ("1,5", "1,2,3", "", " 7 ", "x", "1e999", None, "-.5")], "t string")
     assert [r[0] for r in numbers.select(numeric.loose_number(F.col("t"))).collect()] == [1.5, None, 0.0, 7.0, None, None, None, -0.5]
+
+
+def test_rows_without_identity_are_spread(spark):
+    """Keyless rows of a left join all have one hash, so they need a second join key of their own."""
+    rows = spark.range(4000).select("id", F.lit(None).cast("string").alias("k"), F.lit("x").alias("other"))
+    rows = rows.unionByName(spark.range(4000, 4100).select("id", (F.col("id") % 50).cast("string").alias("k"), F.lit("x").alias("other")))
+    held = {n: spark.conf.get(n) for n in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        marked = identity.duplicate_numbering(rows, F.col("k"), F.col("id")).withColumn("task", F.spark_partition_id()).cache()
+        sizes = [r["count"] for r in marked.groupBy("task").count().collect()]
+        assert marked.filter("is_duplicate").count() == 50 and marked.count() == 4100 and max(sizes) < 1500
+    finally:
+        for n, v in held.items():
+            spark.conf.set(n, v)
