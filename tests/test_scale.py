@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry_point
 from gondola.functions import numeric, text
 from gondola.operators import identity
 from gondola.sources import payloads
@@ -60,3 +61,12 @@ def test_rows_without_identity_are_spread(spark):
     finally:
         for n, v in held.items():
             spark.conf.set(n, v)
+
+
+def test_partitions_follow_the_size_of_a_shuffle(spark):
+    """More rows make more tasks, not larger ones, whatever number of shuffle partitions the session has (8 here)."""
+    queries = entry_point.queries()
+    queries["a09_seeded_stores"](spark, "/root/testdata/sf0.001")
+    rows = spark.range(3_000_000).select("id", F.sha2(F.col("id").cast("string"), 256).alias("text")).repartition("id")
+    assert rows.select(F.spark_partition_id().alias("p")).distinct().count() >= 1
+    assert rows.rdd.getNumPartitions() > 12
