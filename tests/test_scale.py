@@ -70,3 +70,16 @@ def test_partitions_follow_the_size_of_a_shuffle(spark):
     rows = spark.range(3_000_000).select("id", F.sha2(F.col("id").cast("string"), 256).alias("text")).repartition("id")
     assert rows.select(F.spark_partition_id().alias("p")).distinct().count() >= 1
     assert rows.rdd.getNumPartitions() > 12
+
+
+def line_scans(frame):
+    return frame._jdf.queryExecution().executedPlan().toString().count("lineitem.parquet")
+
+
+def test_repeated_inputs_are_worked_out_once(spark):
+    """Current prices, staged winners and guards that a query reads several times come from one pass over the lines."""
+    for name in ("j13_applied_refresh", "j14_apply_races", "j15_rollback_report", "j04_second_batch_adds_nothing", "k04_post_run_audit"):
+        frame = entry_point.queries()[name](spark, "/root/testdata/sf0.001")
+        assert line_scans(frame) == 0, name
+    plan = entry_point.queries()["j13_applied_refresh"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("price_delta_too_large") <= 2  # the list and its test, of one filter
