@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import clean
-from .payloads import deeper_than, find_product_records, has_products
+from .payloads import deeper_than, find_product_records, has_products, once
 
 BOM = "﻿"
 EXCERPT = 40
@@ -30,7 +30,7 @@ def read_documents(spark: SparkSession, path: str, whole: bool = True, pattern:
 
 
 def _parsed(documents: DataFrame) -> DataFrame:
-    return documents.withColumn("_v", F.try_parse_json("body"))
+    return once(documents, "_d", v=F.try_parse_json("body")).withColumn("_v", F.col("_d.v")).drop("_d")
 
 
 def _list_of(node: Column, path: str = "$") -> Column:
@@ -42,8 +42,8 @@ def _candidates(v: Column) -> Column:
 
 
 def _quarantine(documents: DataFrame, reason: Column) -> DataFrame:
-    return documents.withColumn("reason", reason).where(F.col("reason").isNotNull()).select(
-        "file", "bytes", "reason", F.substring("body", 1, EXCERPT).alias("excerpt"))
+    return once(documents, "_r", reason=reason).where(F.col("_r.reason").isNotNull()).select(
+        "file", "bytes", "_r.reason", F.substring("body", 1, EXCERPT).alias("excerpt"))
 
 
 def _unread(v: Column) -> Column:
@@ -91,11 +91,14 @@ def artifact_candidates(documents: DataFrame) -> DataFrame:
     surface. ``errors`` says why a row has none; it is empty for complete rows.
     """
     keys = [c for c in documents.columns if c != "body"]
-    rows = _parsed(documents).select(
-        *keys, F.when(_list_of(F.col("_v")).isNull(), wrapper_defaults(F.col("_v"))).alias("_w"), F.posexplode(_candidates(F.col("_v"))).alias("pos", "_c"))
+    v = F.col("_v")
+    # per document, not per candidate
+    read = once(_parsed(documents), "_e", w=F.when(_list_of(v).isNull(), wrapper_defaults(v)), c=_candidates(v))
+    rows = read.select(*keys, F.col("_e.w").alias("_w"), F.posexplode("_e.c").alias("pos", "_c"))
     field = lambda n: F.try_variant_get("_c", f"$.{n}", "string")
     own_source, own_surface = folded(field("source")), folded(field("surface"))
-    rows = rows.withColumns({"source": F.coalesce(own_source, "_w.source"), "surface": F.coalesce(own_surface, "_w.surface")})
+    rows = once(rows, "_f", source=F.coalesce(own_source, "_w.source"), surface=F.coalesce(own_surface, "_w.surface"))
+    rows = rows.withColumns({"source": F.col("_f.source"), "surface": F.col("_f.surface")})
     errors = F.filter(F.array(
         F.when(F.col("source").isNull(), F.coalesce("_w.source_error", F.lit("source_missing"))),
         F.when(F.col("surface").isNull(), F.coalesce("_w.surface_error", F.lit("surface_missing")))), lambda e: e.isNotNull())
@@ -119,6 +122,6 @@ def quarantined_documents(documents: DataFrame, max_depth: int = 10) -> DataFram
     """(file, bytes, reason, excerpt) of payloads that are empty, not_json, hold no_products, or are read but deeper than
     ``max_depth`` levels (deep)."""
     rows = _parsed(documents.withColumn("raw", F.col("body")))
-    reason = F.coalesce(_unread(F.col("_v")), F.when(~has_products(), "no_products"), F.when(deeper_than(max_depth), "deep"))
+    reason = F.coalesce(_unread(F.col("_v")), F.when(~has_products(F.col("_v")), "no_products"), F.when(deeper_than(max_depth, F.col("_v")), "deep"))
     return _quarantine(rows, reason)
 

@@ -170,19 +170,19 @@ def normalize_payloads(records: DataFrame) -> DataFrame:
     available = F.coalesce(F.col("_offer.AvailableQuantity"), F.col("_offer.IsAvailable"), p["available"])
     keep = [c for c in records.columns if c not in ("record", "base_url")]
     c = F.col
-    parsed = _once(records.select(*keep, "base_url", "record"), "_d", p=F.from_json("record", RAW_PRODUCT), q=F.when(
+    parsed = once(records.select(*keep, "base_url", "record"), "_d", p=F.from_json("record", RAW_PRODUCT), q=F.when(
         c("record").rlike('"(EAN|value)"'), F.from_json("record", RAW_ALTERNATE))).drop("record")
     parsed = parsed.withColumn("_p", c("_d.p")).withColumn("_q", c("_d.q"))
-    found = _once(parsed, "_a", seller=seller, eans=eans, name=first_clean(p["productName"], p["name"])).drop("_q", "_d")
+    found = once(parsed, "_a", seller=seller, eans=eans, name=first_clean(p["productName"], p["name"])).drop("_q", "_d")
     found = found.withColumn("_seller", c("_a.seller"))
-    named = _once(found, "_b", offer=offer, ean=F.get(F.filter("_a.eans", lambda e: e.rlike(r"^\d{8,14}$")), F.lit(0)), name=strip_html(c("_a.name")))
+    named = once(found, "_b", offer=offer, ean=F.get(F.filter("_a.eans", lambda e: e.rlike(r"^\d{8,14}$")), F.lit(0)), name=strip_html(c("_a.name")))
     named = named.drop("_a").withColumn("_offer", c("_b.offer")).filter(c("_b.ean").isNotNull() & (c("_b.name") != ""))
-    worked = _once(
+    worked = once(
         named, "_c", images=_images(p, c("base_url")), lowered=F.lower("_b.name"),
         listed=F.when(p["categories"].isNotNull(), clean(F.get(p["categories"], F.lit(0)))).otherwise(clean(p["category"])),
         brand=first_clean(p["brand"], p["brandName"]), description=first_clean(p["description"], p["metaTagDescription"]),
         price=price, list=listed, link=link, available=available)
-    ready = _once(worked, "_e", price=number_of(c("_c.price")), list=number_of(c("_c.list")), category=first_clean(
+    ready = once(worked, "_e", price=number_of(c("_c.price")), list=number_of(c("_c.list")), category=first_clean(
         category_from_lowered(c("_c.lowered")), F.get(p["categoryTree"], F.lit(0))["name"], category_leaf(c("_c.listed"))))
     return ready.select(
         *keep, c("_b.ean").alias("ean"), c("_b.name").alias("name"),
@@ -202,7 +202,7 @@ def normalize_payloads(records: DataFrame) -> DataFrame:
     )
 
 
-def _once(rows: DataFrame, alias: str, /, **values: Column) -> DataFrame:
+def once(rows: DataFrame, alias: str, /, **values: Column) -> DataFrame:
     """``rows`` with a struct of ``values``; the generator keeps them from being evaluated again at each use."""
     return rows.select("*", F.explode(F.array(F.struct(*[v.alias(k) for k, v in values.items()]))).alias(alias))
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry_point
 from gondola.functions import numeric, text
 from gondola.operators import identity
-from gondola.sources import payloads
+from gondola.sources import landed, payloads
 
 ODD = [
     '{"productName":"a","items":[{"id":1}]}',
@@ -83,3 +83,13 @@ def test_repeated_inputs_are_worked_out_once(spark):
         assert line_scans(frame) == 0, name
     plan = entry_point.queries()["j13_applied_refresh"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("price_delta_too_large") <= 2  # the list and its test, of one filter
+
+
+def test_landed_documents_are_parsed_once(spark):
+    documents = spark.createDataFrame([("f", 1, "{}", "x")], "file string, bytes bigint, body string, other string")
+    plan = lambda rows: rows._jdf.queryExecution().optimizedPlan().toString()
+    artifacts = plan(landed.artifact_candidates(documents))
+    # wrapper defaults stand below the step that makes a row per candidate
+    assert artifacts.count("wrapper_coverage_conflict") == 1
+    assert artifacts.index("posexplode") < artifacts.index("wrapper_coverage_conflict")
+    assert plan(landed.quarantined_documents(documents)).lower().count("parsejson") + plan(landed.quarantined_documents(documents)).count("parse_json") <= 1
