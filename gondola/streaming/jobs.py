@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.monitor import failure_streaks
 
@@ -25,53 +26,74 @@ FAILURES_BEFORE_ALERT = 2
 
 
 # -- price changes -----------------------------------------------------------------
-class LastPrices(StatefulProcessor):
-    """The newest value of every key, in a map state of the key's bucket: a batch reads and writes its own keys only.
+#: Newest row of each key of a block, keys ascending.
+LAST_PRICES = "keys binary, at binary, ids array<string>, pairs array<string>"
 
-    Rows of a key count in the order of (at, id), inside a batch and across batches. A row that is not newer
-    than the stored one is late: it is neither a change nor does it replace the stored value.
-    """
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getMapState("last", "key bigint", "at bigint, id string, pair string")
+def _ordered(batch: pd.DataFrame) -> pd.DataFrame:
+    """Rows by (key, at, id); texts are only compared where key and time are equal."""
+    key, at = batch["key"].to_numpy(), batch["at"].to_numpy()
+    order = np.lexsort((at, key))
+    key, at = key[order], at[order]
+    tied = np.zeros(len(order) + 1, bool)
+    tied[1:-1] = (key[1:] == key[:-1]) & (at[1:] == at[:-1])
+    tied = tied[1:] | tied[:-1]
+    if tied.any():
+        rank = np.zeros(len(order), np.int64)
+        rank[tied] = np.unique(batch["id"].to_numpy()[order[tied]], return_inverse=True)[1]
+        order = order[np.lexsort((rank, at, key))]
+    return batch.take(order)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(rows, ignore_index=True).sort_values(["key", "at", "id"], ignore_index=True)
-        known, place = np.unique(batch["key"].to_numpy(), return_inverse=True)
-        stored = [self.last.getValue((int(k),)) for k in known] if self.last.exists() else [None] * len(known)
-        if any(v is not None for v in stored):
-            seen = np.array([v is not None for v in stored])[place]
-            at = np.array([v[0] if v else 0 for v in stored])[place]
-            id_, pair = (np.array([v[i] if v else "" for v in stored], object)[place] for i in (1, 2))
-            newer = ~seen | (batch["at"] > at) | ((batch["at"] == at) & (batch["id"] > id_))
-            batch, seen, pair = batch[newer].reset_index(drop=True), seen[newer], pair[newer]
-        else:
-            seen, pair = np.zeros(len(batch), bool), np.full(len(batch), "", object)
-        of = batch["key"].to_numpy()
-        first = np.ones(len(batch), bool)
-        first[1:] = of[1:] != of[:-1]
-        final = np.roll(first, -1)
-        values = batch["pair"].to_numpy()
-        before = np.where(first, pair, np.roll(values, 1)) if len(batch) else values
-        changed = np.where(first & ~seen, True, before != values).astype(bool)
-        for row in batch[final].itertuples(index=False):
-            self.last.updateValue((int(row.key),), (int(row.at), row.id, row.pair))
-        yield batch.loc[changed, ["id", "key", "at", "pair"]]
 
-    def close(self) -> None:
-        pass
+def last_prices(block: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Changes among a batch's rows of a block of keys; the state is the newest value of each of its keys.
 
-
-def price_changes(observations: DataFrame, buckets: int = 256) -> DataFrame:
+    Rows of a key count in the order of (at, id), inside a batch and across batches. A row that is not newer
+    than the stored one is late: it is neither a change nor does it replace the stored value.
+    """
+    batch = _ordered(pd.concat(parts, ignore_index=True))
+    of, at, id_, pair = (batch[c].to_numpy() for c in ("key", "at", "id", "pair"))
+    seen, before = np.zeros(len(of), bool), np.full(len(of), "", object)
+    if state.exists:
+        keys, last_at = (np.frombuffer(v, np.int64) for v in state.get[:2])
+        last_id, last_pair = (np.array(v, object) for v in state.get[2:])
+        place = np.minimum(np.searchsorted(keys, of), len(keys) - 1)
+        seen = keys[place] == of
+        newer = ~seen | (at > last_at[place])
+        same = np.flatnonzero(seen & (at == last_at[place]))
+        newer[same] = id_[same] > last_id[place[same]]
+        of, at, id_, pair, seen, before = (v[newer] for v in (of, at, id_, pair, seen, last_pair[place]))
+    first = np.ones(len(of), bool)
+    first[1:] = of[1:] != of[:-1]
+    changed = first & ~seen
+    before[~first] = pair[:-1][~first[1:]]
+    changed |= before != pair
+    final = np.flatnonzero(np.roll(first, -1))
+    if len(final):
+        new = [v[final] for v in (of, at, id_, pair)]
+        if state.exists:
+            kept = ~np.isin(keys, new[0])
+            new = [np.concatenate([v[kept], n]) for v, n in zip((keys, last_at, last_id, last_pair), new)]
+            order = np.argsort(new[0])
+            new = [v[order] for v in new]
+        state.update((new[0].tobytes(), new[1].tobytes(), new[2].tolist(), new[3].tolist()))
+    yield pd.DataFrame({"id": id_[changed], "key": of[changed], "at": at[changed], "pair": pair[changed]})
+
+
+def price_changes(observations: DataFrame, block: int = 256) -> DataFrame:
     """Rows of a stream whose (price, list_price) differs from the preceding value of their key; the first row of a
-    key counts as changed. observations: id, key (a number), scraped_at, price, list_price."""
+    key counts as changed. observations: id, key (a number), scraped_at, price, list_price.
+
+    ``block`` neighbouring keys share a state row, which travels with their rows: a batch reads and writes the blocks of
+    its own keys, and no block grows with the table. Keys are serial numbers; far apart, each makes a block of its own.
+    """
     kinds = {c: observations.schema[c].dataType for c in ("price", "list_price")}
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     rows = observations.select(
-        F.pmod(F.xxhash64("key"), F.lit(buckets)).alias("bucket"), F.col("id").cast("string").alias("id"), F.col("key").cast("bigint").alias("key"),
+        F.expr(f"cast(key AS bigint) div {int(block)}").alias("block"), F.col("id").cast("string").alias("id"), F.col("key").cast("bigint").alias("key"),
         F.unix_micros("scraped_at").alias("at"), F.concat(text("price"), F.lit("|"), text("list_price")).alias("pair"))
-    out = rows.groupBy("bucket").transformWithStateInPandas(
-        statefulProcessor=LastPrices(), outputStructType="id string, key bigint, at bigint, pair string", outputMode="append", timeMode="none")
+    out = rows.groupBy("block").applyInPandasWithState(
+        last_prices, "id string, key bigint, at bigint, pair string", LAST_PRICES, "append", GroupStateTimeout.NoTimeout)
     value = lambda c, i: F.nullif(F.split_part("pair", F.lit("|"), F.lit(i)), F.lit("")).cast(kinds[c]).alias(c)
     return out.select("id", "key", F.timestamp_micros("at").alias("scraped_at"), value("price", 1), value("list_price", 2))
 

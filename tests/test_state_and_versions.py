@@ -68,6 +68,27 @@ def test_price_changes_over_batches_restart_and_late_rows(spark, store):
     assert (got["L901"]["price"], got["L901"]["list_price"]) == (D("7.00"), D("7.00"))
 
 
+def test_price_changes_keep_a_state_row_per_block_of_keys(spark, store):
+    from decimal import Decimal as D
+
+    root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    rng = random.Random(2)
+    keys = [k for k in range(-300, 1700)]
+    # two rows of a second are ordered by their ids, in a batch and against the stored row
+    batches = [[(f"{n}{i:05d}", k, rng.randrange(3), D(rng.randrange(3)), D(1)) for i, k in enumerate(keys * 2) if n == 0 or rng.random() < 0.2] for n in (1, 0)]
+    blocks = len({int(k / 256) for k in keys})
+    schema = spark.createDataFrame([], PRICES).withColumn("scraped_at", F.timestamp_seconds("t")).drop("t").schema
+    for number, batch in enumerate(batches):
+        rng.shuffle(batch)
+        land(spark, root, number, batch)
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in/*")
+        query = jobs.run_to_parquet(jobs.price_changes(stream), f"{root}/job")
+        query.awaitTermination()
+        state = [s for p in query.recentProgress for s in p["stateOperators"]]
+        assert state and all(0 < s["numRowsTotal"] <= blocks for s in state)
+    assert sorted(r["id"] for r in spark.read.parquet(f"{root}/job/out").collect()) == sorted(expected_changes(batches))
+
+
 def greedy(seconds, cooldown, last=None):
     sent = []
     for s in sorted(set(seconds)):
