@@ -22,16 +22,18 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import ROWS, Row, _table, ask, conclude, dealt, joined, told_of, total_bytes
 from .shared import stored
-from .text import U, as_bytes, mixed, slices
+from .text import BYTE_CODES, SPACE, U, as_bytes, mixed, powers, slices, span_hash
 
 ORDER = 5
 BITS = 9  # a symbol: 0 is the edge of a text, byte b is b + 1
@@ -76,6 +78,62 @@ def from_planes(data: bytes, kind) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
+def packed(data: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Words of the given sizes that stand behind one another."""
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    return pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def words(texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+    """Runs of bytes other than white space, and how many each text has."""
+    data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+    inside = ~SPACE[data]
+    edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+    start, end = edges[0::2], edges[1::2]
+    bounds = np.searchsorted(start, np.cumsum([len(t) + 1 for t in texts]))
+    return packed(data[inside], end - start), np.diff(bounds, prepend=0)
+
+
+def lines(data: bytes) -> pa.Array:
+    """The words of a question, one a line; the end of a text is an empty one."""
+    found = np.frombuffer(data + b"\n", np.uint8)
+    inside = found != 10
+    return packed(found[inside], np.diff(np.flatnonzero(~inside), prepend=-1) - 1)
+
+
+def encoded(parts: Iterable[pa.Array]) -> tuple[np.ndarray, pa.Array]:
+    """Each word's number among the distinct ones, and those; a part at a time, so that not all words are held at once."""
+    own, distinct = [], []
+    for part in parts:
+        found = part.dictionary_encode()
+        own.append(found.indices.to_numpy())
+        distinct.append(found.dictionary)
+    ends = np.cumsum([len(d) for d in distinct])
+    whole = pa.concat_arrays(distinct).dictionary_encode()
+    number = np.split(whole.indices.to_numpy(), ends[:-1])
+    return np.concatenate([n[o] for n, o in zip(number, own)]), whole.dictionary
+
+
+def hashes(word: pa.Array) -> np.ndarray:
+    offsets, data = (np.frombuffer(b, kind) if b else np.zeros(0, kind) for b, kind in zip(word.buffers()[1:], (np.int64, np.uint8)))
+    prefix = np.zeros(len(data) + 1, U)
+    np.cumsum(BYTE_CODES[data] * powers(len(prefix))[0][:len(data)], out=prefix[1:])
+    at = offsets[word.offset:word.offset + len(word) + 1]
+    return span_hash(prefix, at[:-1], at[1:])
+
+
+@dataclass
+class Tokens:
+    """Distinct tokens of a chunk by bucket and text, and the tokens of its texts."""
+
+    words: pa.Array
+    counts: np.ndarray  # in training texts
+    ends: np.ndarray  # bucket b: words[ends[b]:ends[b + 1]]
+    codes: np.ndarray
+    spoken: np.ndarray  # codes of all texts' words in order, and of the end last
+    sizes: np.ndarray  # words of each text
+
+
 class Places:
     """Positions of known keys in a sorted array: one probe of a sparse table, a binary search for what it misses."""
 
@@ -105,41 +163,50 @@ class Chunk:
         self.buckets, self.order = buckets, order
 
     def contexts(self) -> tuple[np.ndarray, np.ndarray]:
-        keys, counts = [np.zeros(0, U)], [np.zeros(0, np.int64)]
+        keys, counts = [], []
         for held in (False, True):
             texts = [t for t, h in zip(self.texts, self.held) if h == held]
             for a, b in slices(texts):
                 k, n = np.unique(context_keys(texts[a:b], self.order)[0], return_counts=True)
                 keys.append(k)
-                counts.append(n * (not held))
-        key, where = np.unique(np.concatenate(keys), return_inverse=True)
-        count = np.bincount(where, np.concatenate(counts), len(key)).astype(np.int64)
+                counts.append(n.astype(np.int32) * (not held))
+        key = np.concatenate(keys)
+        keys.clear()
+        sort = np.argsort(key).astype(np.int32)
+        key = key[sort]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        key, count = key[first], np.add.reduceat(np.concatenate(counts)[sort], first, dtype=np.int64)
         sort = np.argsort(bucket_of(key, self.buckets, self.order), kind="stable")
         return key[sort], count[sort]
 
-    def tokens(self) -> list[list[tuple[bytes, int]]]:
-        count: Counter = Counter()
-        for text, held in zip(self.texts, self.held):
-            words = text.split()
-            words.append(b"")  # the end of a text is a token
-            if held:
-                for w in words:
-                    count.setdefault(w, 0)
-            else:
-                count.update(words)
-        out: list[list[tuple[bytes, int]]] = [[] for _ in range(self.buckets)]
-        for pair in sorted(count.items()):
-            out[zlib.crc32(pair[0]) % self.buckets].append(pair)
-        return out
+    def tokens(self) -> Tokens:
+        sizes = []
+
+        def parts() -> Iterator[pa.Array]:
+            for a, b in slices(self.texts):
+                found, size = words(self.texts[a:b])
+                sizes.append(size)
+                yield found
+            yield packed(np.zeros(0, np.uint8), np.zeros(1, np.int64))  # the end of a text is a token
+
+        code, word = encoded(parts())
+        sizes = np.concatenate(sizes)
+        count = np.bincount(code[:-1][np.repeat(~self.held, sizes)], minlength=len(word))
+        count[code[-1]] += np.count_nonzero(~self.held)
+        bucket = (hashes(word) % U(self.buckets)).astype(np.int64)
+        sort = pc.sort_indices(word).to_numpy()
+        sort = sort[np.argsort(bucket[sort], kind="stable")]
+        ends = np.searchsorted(bucket[sort], np.arange(self.buckets + 1))
+        return Tokens(word.take(pa.array(sort)), count[sort], ends, sort, code, sizes)
 
     def questions(self) -> list[Row]:
         key, count = self.contexts()
         ends = np.searchsorted(bucket_of(key, self.buckets, self.order), np.arange(self.buckets + 1, dtype=U))
         rows = [Row(2 * b + CONTEXTS, self.number, planes(key[i:j]), planes(count[i:j].astype(np.uint32)))
                 for b, (i, j) in enumerate(zip(ends[:-1], ends[1:])) if j > i]
-        for b, pairs in enumerate(self.tokens()):
-            if pairs:
-                rows.append(Row(2 * b + TOKENS, self.number, b"\n".join(w for w, _ in pairs), np.array([n for _, n in pairs], np.uint32).tobytes()))
+        tokens = self.tokens()
+        rows += [Row(2 * b + TOKENS, self.number, b"\n".join(tokens.words[i:j].to_pylist()), tokens.counts[i:j].astype(np.uint32).tobytes())
+                 for b, (i, j) in enumerate(zip(tokens.ends[:-1], tokens.ends[1:])) if j > i]
         return rows
 
     def scored(self, told: list[Row]) -> pa.Table:
@@ -149,25 +216,21 @@ class Chunk:
         sort = np.argsort(key)
         key, logs = key[sort], logs[sort].astype(float)
         places = Places(key)
-        answers = {r.bucket // 2: r for r in told if r.bucket % 2 == TOKENS}
-        seen: dict[bytes, float] = {}
-        for b, pairs in enumerate(self.tokens()):
-            if pairs:
-                seen.update(zip((w for w, _ in pairs), np.log10(np.frombuffer(answers[b].data, np.int64) + 0.1).tolist()))
-        unknown = math.log10(0.1)
         score = np.zeros(len(self.texts))
         for a, b in slices(self.texts):
             keys, ends = context_keys(self.texts[a:b], self.order)
             total = np.concatenate([[0.0], np.cumsum(logs[places.find(keys)])])[np.concatenate([[0], ends])]
             score[a:b] = np.diff(total)
-        base, tokens, known = [], [], []
-        for text in self.texts:
-            values = [seen[w] for w in text.split()] + [seen[b""]]
-            base.append(math.fsum(values))
-            tokens.append(len(values))
-            known.append(len(values) - values.count(unknown))
-        vocabulary = sum(int(np.frombuffer(r.more, np.int64)[0]) for r in answers.values())
-        return pa.table({"id": self.ids, "held_out": pa.array(self.held), "n_tokens": tokens, "n_known": known, "logs": base, "score": score,
+        tokens, answers = self.tokens(), [r for r in told if r.bucket % 2 == TOKENS]
+        times = np.empty(len(tokens.words), np.int64)
+        times[tokens.codes] = joined(answers, "data", np.int64)
+        logs, known = np.log10(times + 0.1), times > 0
+        spoken, end = tokens.spoken[:-1], tokens.spoken[-1]
+        ends = np.concatenate([[0], np.cumsum(tokens.sizes)])
+        base = [math.fsum([*logs[spoken[a:b]].tolist(), logs[end]]) for a, b in zip(ends[:-1], ends[1:])]
+        found = np.diff(np.concatenate([[0], np.cumsum(known[spoken], dtype=np.int32)])[ends]) + int(known[end])
+        vocabulary = sum(int(np.frombuffer(r.more, np.int64)[0]) for r in answers)
+        return pa.table({"id": self.ids, "held_out": pa.array(self.held), "n_tokens": tokens.sizes + 1, "n_known": found, "logs": base, "score": score,
                          "words": [vocabulary] + [0] * (len(self.ids) - 1)})
 
 
@@ -246,15 +309,14 @@ def answered(asked: DataFrame, codes: DataFrame) -> DataFrame:
             for r in rows:
                 out.append((r.bucket, r.bucket, r.chunk, number, log[np.searchsorted(key, from_planes(r.data, U))].tobytes(), b"", b""))
         else:
-            total: Counter = Counter()
-            for r in rows:
-                for word, n in zip(r.data.split(b"\n"), np.frombuffer(r.more, np.uint32).tolist()):
-                    total[word] += n
-            words = sum(1 for n in total.values() if n)
-            for r in rows:  # the first chunk is told how many words the bucket knows
-                data = np.array([total[w] for w in r.data.split(b"\n")], np.int64).tobytes()
-                out.append((r.bucket, r.bucket, r.chunk, number, data, np.array([words], np.int64).tobytes(), b""))
-                words = 0
+            asked_words = [lines(r.data) for r in rows]
+            code, word = encoded(asked_words)
+            total = np.bincount(code, np.concatenate([np.frombuffer(r.more, np.uint32) for r in rows]), len(word)).astype(np.int64)
+            known, at = np.count_nonzero(total), 0
+            for r, asked_of in zip(rows, asked_words):  # the first chunk is told how many words the bucket knows
+                data = total[code[at:at + len(asked_of)]].tobytes()
+                out.append((r.bucket, r.bucket, r.chunk, number, data, np.array([known], np.int64).tobytes(), b""))
+                known, at = 0, at + len(asked_of)
         return _table(out)
 
     # counts of contexts have done their work

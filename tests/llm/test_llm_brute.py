@@ -589,3 +589,39 @@ def test_language_sample_is_bounded_for_shared_ids(spark):
     net = langid.fit(frame, per_class=20)
     assert net.langs == ["de", "en"]
     assert langid.fit(frame.repartition(7), per_class=20).out.tolist() == net.out.tolist()
+
+
+def test_ppm_words_as_split_finds_them():
+    import numpy as np
+
+    texts = [b"", b" \t\n\r\x0b\x0c", b"one", b"  a\x1cb \x85c\xc2\xa0d\x00 a ", b"x" * 90, b"\n\na a a\n", b""]
+    found, sizes = ppm.words(texts)
+    assert found.to_pylist() == [w for t in texts for w in t.split()] and sizes.tolist() == [len(t.split()) for t in texts]
+    code, word = ppm.encoded([found, ppm.lines(b"\na\nzz"), ppm.lines(b"")])
+    told = [w.as_py() for w in (word[int(i)] for i in code)]
+    assert told == [*found.to_pylist(), b"", b"a", b"zz", b""] and len(set(word.to_pylist())) == len(word)
+    one, other = (ppm.hashes(word.take(o)) for o in (np.arange(len(word)), np.arange(len(word))[::-1]))
+    assert (one == other[::-1]).all()
+
+
+def test_ppm_makes_no_python_step_per_word():
+    import sys
+
+    import pyarrow as pa
+
+    def steps(n):
+        texts = [" ".join(f"w{i * j}" for i in range(n)) for j in (1, 2, 3)]
+        made, chunk = 0, ppm.Chunk(pa.table({"chunk": [0] * 3, "id": [1, 2, 3], "text": texts}), 4, ppm.ORDER)
+
+        def count(frame, event, arg):
+            nonlocal made
+            made += event in ("call", "c_call")
+
+        sys.setprofile(count)
+        rows = chunk.questions()
+        sys.setprofile(None)
+        assert sorted(w for r in rows if r.bucket % 2 == ppm.TOKENS for w in r.data.split(b"\n")) == sorted({b"", *(w.encode() for t in texts for w in t.split())})
+        return made
+
+    steps(50)
+    assert steps(5000) < 2 * steps(50)
