@@ -93,3 +93,22 @@ def test_landed_documents_are_parsed_once(spark):
     assert artifacts.count("wrapper_coverage_conflict") == 1
     assert artifacts.index("posexplode") < artifacts.index("wrapper_coverage_conflict")
     assert plan(landed.quarantined_documents(documents)).lower().count("parsejson") + plan(landed.quarantined_documents(documents)).count("parse_json") <= 1
+
+
+def test_partitioned_writes_work_their_rows_out_once_and_keep_files_few(spark, tmp_path):
+    from gondola.sources import sinks
+
+    worked = spark.sparkContext.accumulator(0)
+
+    def counting(parts):
+        for part in parts:
+            worked.add(len(part))
+            yield part
+
+    rows = spark.range(6000).selectExpr("id", "timestamp_seconds(id % 40 * 86400) AS created_at").mapInPandas(counting, "id long, created_at timestamp")
+    before = {name: spark.conf.get(name) for name in sinks.WRITE_TASKS}
+    sinks.append_staging(rows, str(tmp_path))
+    assert worked.value == 6000  # a range exchange reads them a first time to find its bounds
+    assert {name: spark.conf.get(name) for name in sinks.WRITE_TASKS} == before
+    assert len(list(tmp_path.glob("staging_product/load_day=*/*.parquet"))) == 40
+    assert spark.read.parquet(f"{tmp_path}/staging_product").selectExpr("count(*)", "count(DISTINCT id)", "count(DISTINCT load_day)").first()[:] == (6000, 6000, 40)
